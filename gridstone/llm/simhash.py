@@ -1,12 +1,18 @@
-"""SimHash near-duplicates: exact pairs within a Hamming radius through vantage-point trees, then components.
+"""SimHash near-duplicates: exact pairs within a Hamming radius through vantage-point shards, then components.
 
 Distinct fingerprints are dealt to the leaves of a vantage-point tree, whose vantage points
-and median distances come from a bounded sample. Each fingerprint also queries every leaf
+and median distances come from a bounded sample. Each fingerprint also goes to every leaf
 that triangle bounds leave open: at a node with vantage point v and radius m, fingerprints
 within r of x can lie inside only if d(x, v) <= m + r and outside only if d(x, v) > m - r.
-A leaf task compares its members with its queries by further distances to a vantage point
-of its own. Links are handed on as forests, never as all pairs of a group, and components
-come from alternating large-star and small-star steps.
+
+Fingerprints of unrelated texts lie about 32 bits apart wherever one stands, so with r = 4 a
+level of the tree rules out a sixth of the pairs but sends two thirds of the rows both ways.
+The tree therefore has a fixed depth, and a leaf is cut further by agreement: of radius + 1
+blocks of bits, two fingerprints within the radius agree on one at least. A row is dealt a
+constant number of times at any size of the input.
+
+Links are handed on as few as connect a group, never as all its pairs, and components come
+from alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -21,12 +27,12 @@ from pyspark.sql import functions as F
 from gridstone.llm.common import materialize
 
 WORDS, RADIUS, SEED = 4, 4, 42
-#: Members of a leaf on average, and fingerprints that the tree's vantage points are taken from.
-LEAF, SAMPLE = 4096, 20_000
-#: Members of a leaf that one task compares at most; larger leaves are cut into chunks.
+#: Levels of the tree, and fingerprints that its vantage points are taken from.
+DEPTH, SAMPLE = 3, 20_000
+#: Rows of a task's group on average.
 CHUNK = 8192
-#: Fingerprint pairs that a task compares at once.
-BLOCK = 1 << 21
+#: Runs that agree on a block and are compared pair by pair; longer ones are searched from member to member.
+SHORT_RUN = 16
 
 
 def simhash(text: str | None, words: int = WORDS) -> int:
@@ -116,103 +122,90 @@ class VantageTree:
         return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def forest(members: np.ndarray, queries: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links between queries and members, and among members, that connect whatever lies within the radius; no more than a forest of the members and a link for each query and component.
+def forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that connect distinct members exactly as all pairs within the radius would: a spanning forest.
 
-    Members are sorted by distance to a vantage point; a query meets only those whose distance differs by the radius at most.
+    Members are sorted by distance to a vantage point of their own; one meets only those whose
+    distance differs by the radius at most and that no link has reached yet.
     """
-    members, queries = np.unique(members), np.unique(queries)
     links: list[tuple[int, int]] = []
-    if not len(members):
-        return links
     vantage = members[len(members) // 2]
     d = distances(members, vantage).astype(np.int64)
     order = np.argsort(d, kind="stable")
     members, d = members[order], d[order]
-    component = np.full(len(members), -1)
+    ends = np.searchsorted(d, [np.arange(65) - radius, np.arange(65) + radius + 1])
     left = np.ones(len(members), dtype=bool)
     for root in range(len(members)):
         if not left[root]:
             continue
         left[root] = False
-        component[root] = root
         stack = [root]
         while stack:
             k = stack.pop()
-            a, b = np.searchsorted(d, [d[k] - radius, d[k] + radius + 1])
-            open_rows = a + np.flatnonzero(left[a:b])
-            hits = open_rows[distances(members[open_rows], members[k]) <= radius]
+            a, b = ends[0, d[k]], ends[1, d[k]]
+            near = a + np.flatnonzero(left[a:b])
+            hits = near[distances(members[near], members[k]) <= radius]
             if len(hits):
                 left[hits] = False
-                component[hits] = root
                 links.extend((int(members[k]), int(members[j])) for j in hits)
                 stack.extend(hits.tolist())
-    dq = distances(queries, vantage).astype(np.int64)
-    order = np.argsort(dq, kind="stable")
-    queries, dq = queries[order], dq[order]
-    for at in np.unique(dq):
-        a, b = np.searchsorted(d, [at - radius, at + radius + 1])
-        if a == b:
-            continue
-        here = queries[slice(*np.searchsorted(dq, [at, at + 1]))]
-        step = max(1, BLOCK // (b - a))
-        for k in range(0, len(here), step):
-            q = here[k : k + step]
-            i, j = np.nonzero(distances(q[:, None], members[None, a:b]) <= radius)
-            if len(i):
-                _, first = np.unique(i * len(members) + component[a + j], return_index=True)
-                links.extend((int(x), int(y)) for x, y in zip(q[i[first]], members[a + j[first]]) if x != y)
     return links
 
 
-def fingerprint_links(prints: DataFrame, radius: int = RADIUS, leaf: int = LEAF, chunk: int = CHUNK) -> DataFrame:
+def blocks_of(x: np.ndarray, blocks: int) -> list[np.ndarray]:
+    """The fingerprints' bits cut into blocks of nearly equal width."""
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    return [(x >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
+
+
+def links_within(fp: np.ndarray, block: int, radius: int) -> np.ndarray:
+    """Links among fingerprints that agree on a block."""
+    fp = np.unique(fp)
+    value = blocks_of(fp, radius + 1)[block]
+    order = np.argsort(value, kind="stable")
+    fp, value = fp[order], value[order]
+    first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(fp) else np.empty(0, dtype=int)
+    sizes = np.diff(np.r_[first, len(fp)])
+    found = [np.empty((0, 2), dtype=np.uint64)]
+    short = np.repeat(sizes <= SHORT_RUN, sizes)
+    for step in range(1, min(SHORT_RUN, len(fp))):
+        near = np.flatnonzero(short[:-step] & (value[:-step] == value[step:]) & (distances(fp[:-step], fp[step:]) <= radius))
+        found.append(np.stack([fp[near], fp[near + step]], axis=1))
+    for a, n in zip(first[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN]):
+        found.append(np.array(forest(fp[a : a + n], radius), dtype=np.uint64).reshape(-1, 2))
+    return np.concatenate(found)
+
+
+def fingerprint_links(prints: DataFrame, radius: int = RADIUS, depth: int = DEPTH, chunk: int = CHUNK) -> DataFrame:
     """low, high: links that connect the distinct fingerprints of column fp exactly as all pairs within the radius would.
 
     prints must be stored; it is read three times. The sample that places the vantage points
-    bounds the driver's work and bears on speed alone: every fingerprint meets every other
-    that triangle bounds don't exclude.
+    bounds the driver's work and bears on speed alone.
     """
-    spark = prints.sparkSession
+    blocks = radius + 1
     n = prints.count()
     sample = np.array([r.fp for r in prints.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], dtype=np.int64)
-    depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
-    tree = VantageTree(sample, min(depth, 16))
+    tree = VantageTree(sample, depth)
+    parts = max(1, min(-(-n // chunk), 1 << (64 // blocks)))
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = batch["fp"].to_numpy()
             rows, leaves, own = tree.visits(fp, radius)
             home = np.zeros(len(fp), dtype=np.int64)
             home[rows[own]] = leaves[own]
-            once = leaves <= home[rows]  # of two leaves that are open to each other's members, the lower is asked
-            yield pd.DataFrame({"leaf": leaves[once], "fp": fp[rows[once]], "own": own[once]})
-
-    def owned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fp = batch["fp"].to_numpy()
-            rows, leaves, own = tree.visits(fp, 0)
-            yield pd.DataFrame({"leaf": leaves[own]})
-
-    sizes = prints.mapInPandas(owned, "leaf long").groupBy("leaf").agg(F.count("*").alias("n")).collect()  # at most 2 ** 16 rows
-    chunks = {r.leaf: -(-r.n // chunk) for r in sizes}
-
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Members go to one chunk of their leaf, queries to all; a member queries its own leaf's other chunks."""
-        for batch in route(batches):
-            parts = np.array([chunks.get(x, 0) for x in range(tree.leaves)], dtype=np.int64)[batch["leaf"]]
-            fp, own = batch["fp"].to_numpy(), batch["own"].to_numpy()
-            home = (fp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % np.maximum(parts, 1)
-            at = np.repeat(np.arange(len(batch)), parts)
-            part = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
-            yield pd.DataFrame({"leaf": batch["leaf"].to_numpy()[at], "part": part, "fp": fp[at], "own": own[at] & (part == home[at])})
+            once = leaves <= home[rows]  # of two leaves that are open to each other's rows, the lower is asked
+            rows, leaves = rows[once], leaves[once]
+            for block, value in enumerate(blocks_of(fp.view(np.uint64), blocks)):
+                mixed = (value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                yield pd.DataFrame({"leaf": leaves, "block": block, "part": (mixed % np.uint64(parts)).astype(np.int64)[rows], "fp": fp[rows]})
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
-        fp, own = batch["fp"].to_numpy().view(np.uint64), batch["own"].to_numpy()
-        links = np.array(forest(fp[own], fp[~own], radius), dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        links = links_within(batch["fp"].to_numpy().view(np.uint64), int(batch["block"].iloc[0]), radius).view(np.int64)
         return pd.DataFrame({"low": links.min(axis=1), "high": links.max(axis=1)})
 
-    dealt = prints.select("fp").mapInPandas(cells, "leaf long, part long, fp long, own boolean")
-    return dealt.groupBy("leaf", "part").applyInPandas(compare, "low long, high long").distinct()
+    dealt = prints.select("fp").mapInPandas(cells, "leaf long, block long, part long, fp long")
+    return dealt.groupBy("leaf", "block", "part").applyInPandas(compare, "low long, high long").distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

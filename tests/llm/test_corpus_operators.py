@@ -529,7 +529,7 @@ def test_links_connect_as_all_pairs_do(spark):
             prints.add(x)
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
     df = spark.createDataFrame(signed, "fp long")
-    links = simhash.fingerprint_links(df, leaf=32, chunk=50)
+    links = simhash.fingerprint_links(df, chunk=50)
     found = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(links).collect()}
     want = brute_components(prints)
     groups, expected = {}, {}
@@ -538,6 +538,13 @@ def test_links_connect_as_all_pairs_do(spark):
         expected.setdefault(want[p], set()).add(p)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
     assert links.count() < 40 * len(prints)
+    tree = simhash.VantageTree(np.array([x for x, in signed]), 5)
+    x = np.array(sorted(prints), dtype=np.uint64)
+    rows, leaves, own = tree.visits(x, simhash.RADIUS)
+    assert sorted(rows[own]) == list(range(len(x)))
+    home, open_to = dict(zip(rows[own], leaves[own])), set(zip(rows, leaves))
+    for i in range(0, len(x), 7):  # whatever is near a row lives in a leaf that is open to the row
+        assert all((i, home[j]) in open_to for j in np.flatnonzero(simhash.distances(x, x[i]) <= simhash.RADIUS))
 
 
 def test_chains_settle(spark):
