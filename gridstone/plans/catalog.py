@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from gridstone.plans import news
+
+QUERIES: dict = {**news.QUERIES}
+ORACLE_SQL: dict[str, str] = {**news.ORACLE_SQL}
