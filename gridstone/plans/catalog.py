@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridstone.plans import news
+from gridstone.plans import news, racing
 
-QUERIES: dict = {**news.QUERIES}
-ORACLE_SQL: dict[str, str] = {**news.ORACLE_SQL}
+QUERIES: dict = {**news.QUERIES, **racing.QUERIES}
+ORACLE_SQL: dict[str, str] = {**news.ORACLE_SQL, **racing.ORACLE_SQL}
