@@ -226,25 +226,39 @@ def top_tokens(rows: DataFrame, k: int = 20, least: int = 4) -> DataFrame:
     return rows.select(F.explode(words(F.col("text"))).alias("token")).where(F.length("token") >= least).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(k)
 
 
-def near_titles(documents: DataFrame, items: DataFrame, least: float = 0.58) -> DataFrame:
-    """doc_id, item_id, likeness: titles with a word overlap of at least `least` to an item's first 120 characters.
+def page_title(html: Column) -> Column:
+    """The text of a page's title element, "" where there is none."""
+    return F.trim(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
+
+
+def title_classes(titles: DataFrame) -> DataFrame:
+    """doc_id, first_id: the smallest doc_id whose title has the same set of words; titles without words are left out."""
+    tokens = F.array_sort(F.array_distinct(words(F.col("title"))))
+    rows = titles.select("doc_id", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    first = rows.groupBy("tokens").agg(F.min("doc_id").alias("first_id"))
+    return rows.join(first, "tokens").select("doc_id", "first_id", "tokens")
 
-    Rows meet on a shared word of each side's prefix of rarest words, which no such pair can
-    avoid: with overlap t, the smallest |A| - ceil(t |A|) + 1 words of each set under one fixed
-    order must intersect.
-    """
 
-    def prefixed(df: DataFrame, key: str, side: str) -> DataFrame:
-        tokens = F.array_sort(F.array_distinct(words(F.substring("text", 1, 120))))
-        order = F.transform(tokens, lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))
-        rows = df.select(F.col(key), tokens.alias(f"{side}_tokens"), F.array_sort(order).alias("o"))
-        n = F.size("o")
-        keep = (n - F.ceil(F.lit(least) * n) + 1).cast("int")
-        return rows.where(n > 0).select(key, f"{side}_tokens", F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select(key, f"{side}_tokens", F.col("p.h").alias("h"))
+def near_titles(titles: DataFrame, least: float = 0.58, contained: int = 4, least_words: int = 5) -> DataFrame:
+    """low_id, high_id, likeness: near-duplicates among the first articles of title classes (membership: title_classes).
 
-    a, b = prefixed(documents, "doc_id", "a"), prefixed(items, "item_id", "b")
-    pairs = a.join(b, "h").select("doc_id", "item_id", jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("likeness")).where(F.col("likeness") >= least)
-    return pairs.distinct().withColumn("likeness", F.round("likeness", 4))
+    Near are titles of which the smaller has `contained` words at least and lies in the larger,
+    or the larger has `least_words` and their word overlap is `least`. With n words in the
+    smaller, at least ceil(least * n) of them are common then, so one of its n - ceil(least * n) + 1
+    rarest words is in the larger: only those are joined, against all words of the others.
+    """
+    sets = title_classes(titles).where("doc_id = first_id").select(F.col("doc_id").alias("id"), "tokens").distinct()
+    spread = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    rare = spread.groupBy("token").agg(F.count("*").alias("df"))
+    order = W.partitionBy("id").orderBy("df", "token")
+    ranked = spread.join(rare, "token").withColumn("k", F.row_number().over(order))
+    probes = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select(F.col("id").alias("a"), F.col("n").alias("an"), "token")
+    met = probes.join(spread.select(F.col("id").alias("b"), F.col("n").alias("bn"), "token"), "token").where("a <> b and an <= bn").select("a", "b").distinct()
+    both = met.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+    small, large = F.size("x"), F.size("y")
+    like = jaccard(F.col("x"), F.col("y"))
+    near = ((small >= contained) & (F.size(F.array_except("x", "y")) == 0)) | ((large >= least_words) & (like >= least))
+    return both.where(near).select(F.least("a", "b").alias("low_id"), F.greatest("a", "b").alias("high_id"), F.round(like, 4).alias("likeness")).distinct()
 
 
 def quotes(rows: DataFrame) -> DataFrame:
@@ -256,9 +270,8 @@ def quotes(rows: DataFrame) -> DataFrame:
 def html_clean(pages: DataFrame) -> DataFrame:
     """Title and plain length of each page after scripts, styles and tags are gone and white space is one."""
     page = F.coalesce("html", F.lit(""))
-    title = F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)
     bare = F.regexp_replace(F.regexp_replace(page, r"(?is)<script.*?</script>|<style.*?</style>", " "), r"(?s)<[^>]*>", " ")
-    return pages.select("page_id", F.trim(title).alias("title"), F.length(F.trim(F.regexp_replace(bare, "[ \\t\\r\\n]+", " "))).cast(LONG).alias("plain_chars"))
+    return pages.select("page_id", page_title(F.col("html")).alias("title"), F.length(F.trim(F.regexp_replace(bare, "[ \\t\\r\\n]+", " "))).cast(LONG).alias("plain_chars"))
 
 
 def latest_by_source(pages: DataFrame) -> DataFrame:
@@ -302,6 +315,11 @@ def _of(name, f):
     return lambda s, d: f(table(s, d, name))
 
 
+def _titles(s: SparkSession, d: str) -> DataFrame:
+    """An article's title is its first line, whole."""
+    return table(s, d, "documents").select("doc_id", F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)).alias("title"))
+
+
 def _feed_page(a: DataFrame) -> DataFrame:
     rows = a.select("guid", "cluster", "published_at").where("cluster in ('error', 'purchase')")
     return keyset_page(rows, "published_at", "guid", 100, ("2024-01-20 00:00:00", 0)).select("guid", "cluster", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
@@ -325,7 +343,8 @@ QUERIES = {
     "lexical_sentiment_negation": _of("documents", lambda r: r.select("doc_id", F.round(lexical_sentiment(F.col("text")), 5).alias("sentiment"))),
     "term_count_sentiment": _of("documents", lambda r: r.select("doc_id", F.round(term_sentiment(F.col("text")), 5).alias("sentiment"))),
     "top_tokens": _of("conversations", top_tokens),
-    "near_dup_titles": lambda s, d: near_titles(table(s, d, "documents"), table(s, d, "benchmark")),
+    "near_dup_titles": lambda s, d: near_titles(_titles(s, d)),
+    "title_key_dedupe": lambda s, d: title_classes(_titles(s, d)).select("doc_id", "first_id"),
     "quote_extract": _of("conversations", quotes),
     "html_clean": _of("pages", html_clean),
     "latest_by_source": _of("pages", latest_by_source),
@@ -343,6 +362,8 @@ def _names(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
+_TITLES = r"""with t as (select doc_id, list_sort(list_distinct(regexp_extract_all(lower(split_part(coalesce(text, ''), chr(10), 1)), '[a-z]+'))) as t from documents),
+c as (select doc_id, t, len(t) as n, min(doc_id) over (partition by t) as first_id from t where len(t) > 0)"""
 _WEIGHT = "case x " + " ".join(f"when '{k}' then {v}" for k, v in (POSITIVE_WEIGHTS | {k: -v for k, v in NEGATIVE_WEIGHTS.items()}).items()) + " end"
 _FIGURES = """fig as (select cluster, count(*) as articles, count(*) filter (where age < 60) as recent, round(avg(cast(score as double)), 4) as score,
   count(*) filter (where source = 'official') as official, count(*) filter (where source = 'reddit') as reddit, round(max(priority), 4) as top_priority
@@ -405,8 +426,10 @@ select doc_id, round(tanh(coalesce(list_sum([case when list_has_any(w[greatest(i
     "term_count_sentiment": f"""with w as (select doc_id, {_WORDS} as w from documents), n as (select doc_id, len([x for x in w if x in {_names(POSITIVE_WEIGHTS)}]) as p, len([x for x in w if x in {_names(NEGATIVE_WEIGHTS)}]) as q from w)
 select doc_id, round((p - q) / greatest(3, p + q), 5) as sentiment from n""",
     "top_tokens": f"select token, count(*) as n from (select unnest({_WORDS}) as token from conversations) where length(token) >= 4 group by token order by n desc, token limit 20",
-    "near_dup_titles": """with a as (select doc_id, list_distinct(regexp_extract_all(lower(substr(coalesce(text, ''), 1, 120)), '[a-z]+')) as t from documents), b as (select item_id, list_distinct(regexp_extract_all(lower(substr(coalesce(text, ''), 1, 120)), '[a-z]+')) as u from benchmark),
-p as (select doc_id, item_id, len(list_intersect(t, u)) as n, len(t) + len(u) as m from a, b) select doc_id, item_id, round(n / (m - n), 4) as likeness from p where n > 0 and n / (m - n) >= 0.58""",
+    "near_dup_titles": _TITLES + """, f as (select first_id as id, any_value(t) as t, any_value(n) as n from c group by 1),
+p as (select a.id as low_id, b.id as high_id, len(list_intersect(a.t, b.t)) as k, least(a.n, b.n) as small, greatest(a.n, b.n) as large from f a join f b on a.id < b.id)
+select low_id, high_id, round(k / (small + large - k), 4) as likeness from p where (small >= 4 and k = small) or (large >= 5 and k / (small + large - k) >= 0.58)""",
+    "title_key_dedupe": _TITLES + " select doc_id, first_id from c",
     "quote_extract": """select conv_id, turn, unnest(regexp_extract_all(coalesce(text, ''), '"([^"\\n]{20,240})"', 1)) as quote from conversations""",
     "html_clean": r"""select page_id, trim(regexp_extract(coalesce(html, ''), '<title[^>]*>(.*?)</title>', 1, 'is')) as title,
  length(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script.*?</script>|<style.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '[ \t\r\n]+', ' ', 'g'))) as plain_chars from pages""",
