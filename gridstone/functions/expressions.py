@@ -17,7 +17,7 @@ def ratio(top: Column, bottom: Column) -> Column:
     return top / F.nullif(bottom, F.lit(0))
 
 
-def cascade(branches: Sequence[tuple[Column, str]], otherwise: str) -> Column:
+def cascade(branches: Sequence[tuple[Column, str]], otherwise: str | None) -> Column:
     """The name of the first branch that holds."""
     out = F
     for test, name in branches:

@@ -1,7 +1,8 @@
-"""Relational operators that Spark has no single call for: upserts, as-of and nearest joins, islands, point-in-time frames."""
+"""Relational operators that Spark has no single call for: upserts, as-of and nearest joins, islands, point-in-time frames, greedy choice."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -67,3 +68,34 @@ def keyset_page(df: DataFrame, ts: str, key: str, size: int, after: tuple | None
         at, k = F.lit(after[0]).cast("timestamp_ntz"), F.lit(after[1])
         df = df.where((F.col(ts) < at) | ((F.col(ts) == at) & (F.col(key) < k)))
     return df.orderBy(F.desc(ts), F.desc(key)).limit(size)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder and read back, so that lost executors don't cost what came before.
+
+    The folder is spark.checkpoint.dir; where that is unset (tests), a temporary one is made.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='gridstone-')}"
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def first_independent(nodes: DataFrame, edges: DataFrame, key: str, low: str = "low_id", high: str = "high_id") -> DataFrame:
+    """The nodes a reader in order of `key` keeps who drops every node with an edge to one kept before.
+
+    Each round keeps the nodes whose earlier neighbours are all dropped and drops their later
+    neighbours; the smallest open node is always among them, so rounds end with no open edge.
+    edges has each pair once, low < high.
+    """
+    open_edges = stored(edges.select(F.col(low).alias("low"), F.col(high).alias("high")).distinct())
+    dropped = stored(open_edges.select(F.col("high").alias("node")).limit(0))
+    while not open_edges.isEmpty():
+        waiting = open_edges.select(F.col("high").alias("low")).distinct()
+        free = open_edges.join(waiting, "low", "left_anti")  # edges from nodes that nothing before can drop
+        gone = stored(free.select(F.col("high").alias("node")).distinct())
+        dropped = stored(dropped.union(gone))
+        left = open_edges.join(gone.withColumnRenamed("node", "high"), "high", "left_anti").join(gone.withColumnRenamed("node", "low"), "low", "left_anti")
+        open_edges = stored(left)
+    return nodes.join(dropped.withColumnRenamed("node", key), key, "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridstone.functions.expressions import clamp, ratio
+from gridstone.functions.expressions import cascade, clamp, ratio
 from gridstone.operators.relational import asof_join, islands, previous_mean
 from gridstone.sources.tables import laps, results, sql, table
 
@@ -319,6 +319,72 @@ def resample(lap: DataFrame, frames: int = 8) -> DataFrame:
     return path.where(low <= high).select(*RUN, "lap", F.explode(F.sequence(low, high)).alias("frame"))
 
 
+def circuit_memory(r: DataFrame, lap: DataFrame) -> DataFrame:
+    """What races on a circuit (a round of every season) were like: grids, first stops, strategies and an archetype.
+
+    A stop is the start of a further stint, a strategy the sequence of compounds, of which the
+    most frequent (ties: the first by name) is common; its entropy is relative to that of equal shares.
+    """
+    runs = islands(lap, RUN, ["lap"], "compound").groupBy(*RUN, "island").agg(F.min("lap").alias("start"), F.first("compound").alias("compound"))
+    plan = runs.groupBy(*RUN).agg(
+        (F.count("*") - 1).alias("stops"), F.min(F.when(F.col("island") == 2, F.col("start") - 1)).alias("first_stop"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("island", "compound"))), lambda x: x["compound"]), "-").alias("strategy"),
+    )
+    rows = r.join(plan, RUN, "left").withColumn("gain", F.col("grid") - F.col("finish"))
+    middle = rows.groupBy("round").agg(F.median("first_stop").alias("middle"))
+    rows = rows.join(middle, "round").withColumn("early", F.col("first_stop") <= F.col("middle"))
+    stopped = F.col("first_stop").isNotNull()
+    share = lambda test, among: F.avg(F.when(among, test.cast("int")))
+    s = rows.groupBy("round").agg(
+        F.count_distinct("season").alias("races"), F.avg(F.abs("gain")).alias("volatility"), F.coalesce(share(F.col("finish") <= 3, F.col("grid") <= 3), F.lit(0.55)).alias("front_hold"),
+        F.coalesce(share(F.abs("gain") >= 3, F.col("grid") <= 10), F.lit(0.30)).alias("shuffle"), F.avg(F.col("is_dnf").cast("int")).alias("dnf"),
+        F.coalesce(F.avg(F.when(stopped, F.col("stops"))), F.lit(2.0)).alias("stops"), F.coalesce(share(F.col("stops") == 1, stopped), F.lit(0.45)).alias("one_stop"),
+        F.coalesce(F.max("middle"), F.lit(20.0)).alias("first_stop"),
+        (F.coalesce(F.avg(F.when(F.col("early"), F.col("gain"))), F.lit(0.0)) - F.coalesce(F.avg(F.when(~F.col("early"), F.col("gain"))), F.lit(0.0))).alias("early_gain"),
+    )
+    plans = rows.where(stopped).groupBy("round", "strategy").agg(F.count("*").alias("k"))
+    p = F.col("k") / F.sum("k").over(W.partitionBy("round"))
+    mixed = plans.withColumn("p", p).groupBy("round").agg(F.min(F.struct(-F.col("k"), "strategy"))["strategy"].alias("common"), (-F.sum(F.col("p") * F.ln("p"))).alias("h"), F.count("*").alias("kinds"))
+    s = s.join(mixed, "round", "left")
+    entropy = F.when(F.col("kinds") > 1, F.col("h") / F.ln("kinds")).otherwise(0.0)
+    kind = cascade([(F.col("early_gain") >= 0.8, "undercut_friendly"), ((F.col("one_stop") >= 0.58) & (F.col("volatility") <= 2.8), "track_position"), (F.col("stops") >= 1.7, "high_degradation")], "balanced")
+    rounded = [F.round(c, 3).alias(c) for c in ("volatility", "front_hold", "shuffle", "dnf", "stops", "one_stop", "first_stop", "early_gain")]
+    return s.select("round", "races", *rounded, F.round(entropy, 3).alias("entropy"), F.coalesce("common", F.lit("UNKNOWN")).alias("common"), kind.alias("archetype"))
+
+
+#: Weights of the practice sessions.
+PRACTICE_WEIGHTS = (0.5, 0.35, 0.15)
+
+
+def practice_pace(lap: DataFrame, cap: float = 0.2, scale: float = 5000.0) -> DataFrame:
+    """Per driver and race: gap of the median lap to the best median of each practice sector, capped and weighted over the sectors that the race has."""
+    medians = lap.where("sector <= 3").groupBy(*RUN, "sector").agg(F.median("lap_ms").alias("m"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in PRACTICE_WEIGHTS]), F.col("sector").cast("int"))
+    best = medians.groupBy(*SESSION, "sector").agg(F.min("m").alias("best"))
+    total = best.groupBy(*SESSION).agg(F.sum(weight).alias("total"))
+    loss = -F.least((F.col("m") - F.col("best")) / scale, F.lit(cap)) * weight / F.col("total")
+    return medians.join(best, [*SESSION, "sector"]).join(total, SESSION).groupBy(*RUN).agg(F.round(F.sum(loss), 6).alias("pace"))
+
+
+def training_weights(r: DataFrame, since: int = 1998, older: float = 0.55, newer: float = 2.25, latest: float = 2.0, rounds: int = 3) -> DataFrame:
+    """Weight of each race in training: less before a change of rules, more after it, twice for the last four rounds."""
+    races = r.select(*SESSION).distinct()
+    newest = races.agg(F.max(F.struct(*SESSION)).alias("m")).select(F.col("m.season").alias("s"), (F.col("m.round") - rounds).alias("k"))
+    w = F.when(F.col("season") < since, older).otherwise(newer) * F.when(F.struct("season", "round") >= F.struct("s", "k"), latest).otherwise(1.0)
+    return races.crossJoin(F.broadcast(newest)).select(*SESSION, F.round(w, 4).alias("weight"))
+
+
+def standings(r: DataFrame, top: int = 5) -> DataFrame:
+    """The first five drivers and teams of the last season by points (ties: wins, then number)."""
+    last = _last_season(r)
+    out = []
+    for kind in ("driver", "team"):
+        per = last.groupBy(F.col(kind).cast("long").alias("id")).agg(F.sum("points").alias("points"), F.count_if(F.col("finish") == 1).alias("wins")).orderBy(F.desc("points"), F.desc("wins"), "id").limit(top)
+        place = F.row_number().over(W.orderBy(F.desc("points"), F.desc("wins"), "id"))  # over `top` rows
+        out.append(per.select(F.lit(kind).alias("kind"), place.alias("place"), "id", "points", "wins"))
+    return out[0].unionByName(out[1])
+
+
 def _r(f):
     return lambda s, d: f(results(s, d))
 
@@ -333,6 +399,7 @@ QUERIES = {
     "championship_projection": _r(projection), "prior_softmax": _r(prior), "prediction_scoring": _r(scoring), "model_version_pick": _r(model_version),
     "team_weekend_report": lambda s, d: team_report(results(s, d), laps(s, d)), "completeness_check": _r(completeness), "sessions_with_counts": lambda s, d: session_counts(results(s, d), laps(s, d)),
     "asof_position": positions_as_of, "nearest_weather": nearest, "status_ranges": status_ranges, "telemetry_resample": _l(resample),
+    "circuit_memory": lambda s, d: circuit_memory(results(s, d), laps(s, d)), "practice_pace": _l(practice_pace), "training_weights": _r(training_weights), "standings_top": _r(standings),
     "elo_ratings": _r(elo), "monte_carlo": _r(simulate), "ridge_predict": _r(ridge), "forest_predict": _r(forest), "isotonic_calibration": _r(calibration),
 }
 
@@ -344,6 +411,29 @@ ORACLE_SQL = {
     "stints_islands": sql(f""", l as (select *, lag(compound) over (partition by season, round, driver order by lap) as before, lap as k from laps),
 i as (select *, {_ISLAND.format(v='compound', p='season, round, driver')} as stint from l)
 select season, round, driver, cast(stint as bigint) as stint, min(compound) as compound, min(lap) as start_lap, max(lap) as end_lap, count(*) as laps from i group by 1, 2, 3, 4""", "laps"),
+    "circuit_memory": sql(""", l as (select *, lag(compound) over (partition by season, round, driver order by lap) as before from laps),
+i as (select *, sum(case when lap = 1 or compound is distinct from before then 1 else 0 end) over (partition by season, round, driver order by lap) as island from l),
+u as (select season, round, driver, island, min(lap) as start, any_value(compound) as compound from i group by all),
+n as (select season, round, driver, count(*) - 1 as stops, min(start - 1) filter (where island = 2) as first_stop, string_agg(compound, '-' order by island) as strategy from u group by 1, 2, 3),
+x as (select *, grid - finish as gain from results left join n using (season, round, driver)),
+y as (select x.*, m.middle, first_stop <= middle as early from x join (select round, median(first_stop) as middle from x group by 1) m using (round)),
+g as (select round, count(distinct season) as races, avg(abs(gain)) as volatility, coalesce(avg(cast(finish <= 3 as int)) filter (where grid <= 3), 0.55) as front_hold,
+ coalesce(avg(cast(abs(gain) >= 3 as int)) filter (where grid <= 10), 0.3) as shuffle, avg(cast(is_dnf as int)) as dnf, coalesce(avg(stops) filter (where first_stop is not null), 2) as stops,
+ coalesce(avg(cast(stops = 1 as int)) filter (where first_stop is not null), 0.45) as one_stop, coalesce(max(middle), 20) as first_stop,
+ coalesce(avg(gain) filter (where early), 0) - coalesce(avg(gain) filter (where not early), 0) as early_gain from y group by round),
+k as (select round, strategy, count(*) as k from y where first_stop is not null group by 1, 2), q as (select *, k / sum(k) over (partition by round) as p from k),
+e as (select round, first(strategy order by k desc, strategy) as common, -sum(p * ln(p)) as h, count(*) as kinds from q group by round)
+select round, races, round(volatility, 3) as volatility, round(front_hold, 3) as front_hold, round(shuffle, 3) as shuffle, round(dnf, 3) as dnf, round(stops, 3) as stops, round(one_stop, 3) as one_stop,
+ round(first_stop, 3) as first_stop, round(early_gain, 3) as early_gain, round(case when kinds > 1 then h / ln(kinds) else 0 end, 3) as entropy, coalesce(common, 'UNKNOWN') as common,
+ case when early_gain >= 0.8 then 'undercut_friendly' when one_stop >= 0.58 and volatility <= 2.8 then 'track_position' when stops >= 1.7 then 'high_degradation' else 'balanced' end as archetype from g left join e using (round)""", "results", "laps"),
+    "practice_pace": sql(""", m as (select season, round, driver, sector, median(lap_ms) as m from laps where sector <= 3 group by 1, 2, 3, 4),
+b as (select *, [cast(0.5 as double), 0.35, 0.15][sector] as w from (select season, round, sector, min(m) as best from m group by 1, 2, 3)), t as (select season, round, sum(w) as total from b group by 1, 2)
+select season, round, driver, round(sum(-least((m - best) / 5000.0, cast(0.2 as double)) * w / total), 6) as pace from m join b using (season, round, sector) join t using (season, round) group by 1, 2, 3""", "laps"),
+    "training_weights": sql(""", c as (select distinct season, round from results), m as (select season as s, round - 3 as k from c order by season desc, round desc limit 1)
+select season, round, round(case when season < 1998 then cast(0.55 as double) else cast(2.25 as double) end * case when season > s or season = s and round >= k then 2 else 1 end, 4) as weight from c, m""", "results"),
+    "standings_top": sql(""", l as (select * from results where season = (select max(season) from results)),
+a as (select 'driver' as kind, driver as id, sum(points) as points, count(*) filter (where finish = 1) as wins from l group by 2 union all select 'team', team, sum(points), count(*) filter (where finish = 1) from l group by 2)
+select kind, row_number() over (partition by kind order by points desc, wins desc, id) as place, id, points, wins from a qualify place <= 5""", "results"),
     "practice_agg": sql(""", c as (select season, round, driver, sector, compound, count(*) as n from laps where sector <= 3 group by all), t as (select season, round, driver, sector, list(compound order by n desc, compound)[1] as compound from c group by all),
 f as (select season, round, driver, sector, min(lap_ms) as best, round(median(lap_ms), 3) as median, count(*) as laps from laps where sector <= 3 group by all) select * from f join t using (season, round, driver, sector)""", "laps"),
     "quali_gap": sql(_Q + " select * from qual", "laps"),

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridstone.functions.expressions import tone_label
-from gridstone.operators.relational import asof_join, islands, upsert
-from gridstone.plans import news, racing
+from gridstone.operators.relational import asof_join, first_independent, islands, upsert
+from gridstone.plans import news, racing, weekend
+from gridstone.sources.files import csv_rows, feed_items, json_rows, write_partitioned
 from gridstone.sources.tables import results, table
 from gridstone.streaming.incremental import TableUpsert, event_stream, first_seen, hourly_counts
 
@@ -87,3 +88,64 @@ def test_streams_give_what_tables_give(spark, tmp_path):
     target(rows.where("event_id % 2 = 1"), 1)
     kept = spark.read.parquet(target.version(1))
     assert {(r.user_id, r.ts) for r in kept.collect()} == {tuple(r) for r in events.groupBy("user_id").agg(F.max("ts")).collect()}
+
+
+def test_first_independent_against_a_reader(spark):
+    pairs = [(1, 2), (2, 3), (3, 4), (1, 5), (4, 5), (5, 6), (7, 9), (8, 9), (9, 10)]
+    nodes = spark.range(1, 13).toDF("id")
+    got = {r.id for r in first_independent(nodes, spark.createDataFrame(pairs, "low_id long, high_id long"), "id").collect()}
+    kept: set = set()
+    for k in range(1, 13):
+        if not any((j, k) in pairs for j in kept):
+            kept.add(k)
+    assert got == kept
+    none = first_independent(nodes, spark.createDataFrame([], "low_id long, high_id long"), "id")
+    assert none.count() == 12
+
+
+def test_newsletter_against_a_reader(spark):
+    titles = [
+        (1, "Team one wins the night race"), (2, "team ONE wins the night race!"), (3, "Team one wins the night race again today"), (4, "wins the race"), (5, None), (6, ""),
+        (7, "A penalty for the second driver after the sprint"), (8, "A penalty for the second driver after the finish"), (9, "rain expected"), (9, "rain expected"), (None, "rain expected"),
+    ]
+    df = spark.createDataFrame(titles, "doc_id long, title string")
+    sets = sorted((k, frozenset(t.lower().replace("!", "").split())) for k, t in titles if k and t)
+
+    def near(a, b):
+        k, small, large = len(a & b), min(len(a), len(b)), max(len(a), len(b))
+        return a == b or (small >= 4 and k == small) or (large >= 5 and k / len(a | b) >= 0.58)
+
+    kept: list = []
+    for k, t in sets:
+        if not any(near(t, u) for _, u in kept):
+            kept.append((k, t))
+    assert sorted(r.doc_id for r in weekend.newsletter(df).collect()) == sorted({k for k, _ in kept}) == [1, 4, 7, 9]
+    assert weekend.newsletter(df.limit(0)).count() == 0
+
+
+def test_weekend_sessions(spark):
+    races = spark.sql("select 1998 as season, 8 as round, date'1998-08-09' as race_date, date'1998-08-07' as fp1_date, null as fp3_date, date'1998-08-08' as quali_date, date'1998-08-08' as sprint_date")
+    races = races.withColumn("fp3_date", F.col("fp3_date").cast("date"))
+    for day, session in (("1998-08-09", "RACE"), ("1998-08-08", "SPRINT / QUALIFYING"), ("1998-08-07", "FP1"), ("1998-08-05", "RACE_WEEK"), ("1998-07-01", None)):
+        assert weekend.weekend_state(races, day).first().current_session == session
+    assert weekend.weekend_state(races, "1998-08-10").count() == 0
+
+
+def test_files_in_and_out(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("""<rss><channel><title>x</title>
+<item><title> One </title><link>http://a/1</link><guid>g1</guid><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate><description>&lt;p&gt;Some  text&lt;/p&gt;</description></item>
+<item><title>Old</title><guid>g1</guid><pubDate>Mon, 01 Jan 2024 10:00:00 +0100</pubDate></item>
+<item><title>Two</title><link>http://a/2</link><pubDate>2024-01-03T12:00:00+02:00</pubDate></item>
+<item><title>No key</title></item></channel></rss>""")
+    got = {r.guid: r for r in feed_items(spark, str(tmp_path / "a.xml")).collect()}
+    assert sorted(got) == ["g1", "http://a/2"]
+    assert (got["g1"].title, got["g1"].summary, str(got["g1"].published_at)) == ("One", "Some text", "2024-01-02 10:00:00")
+    assert str(got["http://a/2"].published_at) == "2024-01-03 10:00:00"
+    (tmp_path / "b.json").write_text('{"k": 1, "v": "x"}\n{"k": broken\n')
+    assert [(r.k, r.v, r._corrupt is None) for r in json_rows(spark, str(tmp_path / "b.json"), "k int, v string").collect()] == [(1, "x", True), (None, None, False)]
+    (tmp_path / "c.csv").write_text('k,v\n1,"two\nlines, ""quoted"""\n')
+    assert [tuple(r)[:2] for r in csv_rows(spark, str(tmp_path / "c.csv"), "k int, v string").collect()] == [(1, 'two\nlines, "quoted"')]
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "k int, p string")
+    write_partitioned(rows, str(tmp_path / "t"), ["p"], files=2)
+    write_partitioned(spark.createDataFrame([(9, "a")], "k int, p string"), str(tmp_path / "t"), ["p"])
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(9, "a"), (2, "b")}
