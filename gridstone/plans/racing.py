@@ -43,9 +43,14 @@ def qualifying(lap: DataFrame) -> DataFrame:
 
 
 def clean_laps(lap: DataFrame, within: float = 1.2) -> DataFrame:
-    """Laps of at most `within` times their session's median; the median is one row per session and is joined back."""
+    """Laps of at most `within` times their session's median; the median is one row per session and is joined back.
+
+    The mean is rounded half up from whole cents, so that neither the order of summation nor a tie can move it.
+    """
+    cents = F.sum(F.round(F.col("lap_ms") * 100).cast("bigint"))
+    mean = F.floor((20 * cents + F.count("*")) / (2 * F.count("*"))) / 1000
     middle = lap.groupBy(*SESSION).agg(F.median("lap_ms").alias("middle"))
-    return lap.join(middle, SESSION).where(F.col("lap_ms") <= within * F.col("middle")).groupBy(*SESSION).agg(F.count("*").alias("laps"), F.round(F.avg("lap_ms"), 3).alias("mean"))
+    return lap.join(middle, SESSION).where(F.col("lap_ms") <= within * F.col("middle")).groupBy(*SESSION).agg(F.count("*").alias("laps"), mean.alias("mean"))
 
 
 def pace(lap: DataFrame, low: float = 5_000, high: float = 300_000, clip: float = 1.07) -> DataFrame:
@@ -437,7 +442,7 @@ select kind, row_number() over (partition by kind order by points desc, wins des
     "practice_agg": sql(""", c as (select season, round, driver, sector, compound, count(*) as n from laps where sector <= 3 group by all), t as (select season, round, driver, sector, list(compound order by n desc, compound)[1] as compound from c group by all),
 f as (select season, round, driver, sector, min(lap_ms) as best, round(median(lap_ms), 3) as median, count(*) as laps from laps where sector <= 3 group by all) select * from f join t using (season, round, driver, sector)""", "laps"),
     "quali_gap": sql(_Q + " select * from qual", "laps"),
-    "outlier_laps": sql(""", m as (select season, round, median(lap_ms) as middle from laps group by 1, 2) select season, round, count(*) as laps, round(avg(lap_ms), 3) as mean from laps join m using (season, round) where lap_ms <= cast(1.2 as double) * middle group by 1, 2""", "laps"),
+    "outlier_laps": sql(""", m as (select season, round, median(lap_ms) as middle from laps group by 1, 2) select season, round, count(*) as laps, floor((20 * sum(cast(round(lap_ms * 100) as bigint)) + count(*)) / (2 * count(*))) / 1000 as mean from laps join m using (season, round) where lap_ms <= cast(1.2 as double) * middle group by 1, 2""", "laps"),
     "lap_pace_clip": sql(""", x as (select * from laps where lap_ms between 5000 and 300000), b as (select season, round, min(lap_ms) as best from x group by 1, 2)
 select season, round, driver, count(*) as laps, round(min(lap_ms), 2) as fastest from x join b using (season, round) where lap_ms <= cast(1.07 as double) * best group by 1, 2, 3""", "laps"),
     "sector_best": sql("select season, round, sector, min(lap_ms) as best, list(driver order by lap_ms, driver)[1] as owner from laps group by 1, 2, 3", "laps"),
