@@ -19,8 +19,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: the one with the smallest doc_id."""
-    return simhash.keep_first(docs)
+    """One document, that with the smallest doc_id, of each component of near copies: five-word shingles, similarity 0.8 or more."""
+    return simhash.keep_first_similar(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

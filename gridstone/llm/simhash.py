@@ -256,17 +256,137 @@ def keep_first(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Rows that repeat id and fingerprint of the first stay once.
     """
-    found = materialize(simhash_components(documents, radius), "components")
+    return _first_rows(documents, simhash_components(documents, radius), fingerprinted)
+
+
+def _first_rows(documents: DataFrame, found: DataFrame, print_of) -> DataFrame:
+    found = materialize(found, "components")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("first"))
     keep = first.select(F.col("first.doc_id").alias("_gs_keep"), F.col("first.fp").alias("_gs_fp_keep"))
     rows = documents.withColumn("_gs_id", F.col("doc_id").cast("long"))
     if found.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return rows.join(keep, F.col("_gs_id") == F.col("_gs_keep"), "left_semi").select(*documents.columns)
-    rows = rows.withColumn("_gs_fp", fingerprinted(F.col("text")))
+    rows = rows.withColumn("_gs_fp", print_of(F.col("text")))
     same = F.col("_gs_id").eqNullSafe(F.col("_gs_keep")) & (F.col("_gs_fp") == F.col("_gs_fp_keep"))
     return rows.join(keep, same, "left_semi").dropDuplicates(["_gs_id", "_gs_fp"]).select(*documents.columns)
 
 
+# -- near copies by similarity, for the pipeline
+
+#: Words of a shingle and the Jaccard similarity of near copies; bands and minima of a band that find candidates.
+COPY_WORDS, SIMILAR = 5, 0.8
+BANDS, ROWS = 32, 5
+#: Unreached members up to which a member is compared one by one, without posting lists.
+FEW = 64
+
+
+def shingle_set(text: str | None, words: int = COPY_WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; a text of fewer words is one shingle, one without words none."""
+    import xxhash
+
+    w = (text or "").encode("utf-8", "replace").lower().split()
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(w) - words + 1) if w else 0
+    return np.unique(np.array([digest(b" ".join(w[i : i + words]), SEED) for i in range(n)], dtype=np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """One key a band, of ROWS minima each: sets of similarity s agree on a key with s ** ROWS."""
+    import xxhash
+
+    if not len(shingles):
+        return []
+    rng = np.random.default_rng(SEED)
+    odd, mask = rng.integers(0, 1 << 64, size=(2, BANDS * ROWS, 1), dtype=np.uint64)
+    odd |= np.uint64(1)
+    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(shingles), 2048):
+        least = np.minimum(least, ((shingles[None, at : at + 2048] ^ mask) * odd).min(axis=1))
+    return [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+
+
+def shingled(text: Column) -> Column:
+    """struct<fp, keys>: a hash of a text's shingle set, and the set's band keys."""
+
+    @F.pandas_udf("fp long, keys array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for texts in batches:
+            sets = [shingle_set(t) for t in texts]
+            fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"fp": fp, "keys": [np.array(band_keys(x), dtype=np.uint64).view(np.int64) for x in sets]})
+
+    return run(text)
+
+
+def similar_groups(sets: list[np.ndarray], similar: float = SIMILAR) -> np.ndarray:
+    """The first member of each set's component, where sets of at least that Jaccard similarity are linked. Exact.
+
+    A member meets only those that no link has reached yet: one by one if they are few, else
+    through the posting lists of its shingles.
+    """
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    flat = np.concatenate(sets) if len(sets) else np.empty(0, dtype=np.uint64)
+    known, at = np.unique(flat, return_inverse=True)
+    posted = owner[np.argsort(at, kind="stable")]
+    starts = np.r_[0, np.cumsum(np.bincount(at, minlength=len(known)))]
+    spans = np.split(at, np.cumsum(sizes)[:-1])
+    root = np.full(len(sets), -1, dtype=np.int64)
+    for first in range(len(sets)):
+        if root[first] >= 0:
+            continue
+        root[first] = first
+        stack = [first]
+        while stack:
+            k = stack.pop()
+            left = np.flatnonzero((root < 0) & (np.minimum(sizes, sizes[k]) >= similar * np.maximum(sizes, sizes[k]) - 1e-9))
+            if not len(left):
+                continue
+            if len(left) <= FEW:
+                common = np.array([len(np.intersect1d(spans[k], spans[j], assume_unique=True)) for j in left])
+            else:
+                met = np.zeros(len(sets), dtype=np.int64)
+                for x in spans[k]:
+                    met[posted[starts[x] : starts[x + 1]]] += 1  # a set has a shingle once
+                common = met[left]
+            hits = left[common >= similar * (sizes[k] + sizes[left] - common) - 1e-9]
+            root[hits] = first
+            stack.extend(hits.tolist())
+    return root
+
+
+def similar_components(documents: DataFrame) -> DataFrame:
+    """doc_id, fp, root of every row: rows whose five-word shingle sets have a Jaccard similarity of 0.8 or more are linked.
+
+    Sets of that similarity agree on a band with a chance of 1 - (1 - 0.8 ** 5) ** 32 (0.999997) at least;
+    agreement only makes candidates. Each component of candidates is then compared by whole
+    shingle sets. fp is a hash of the set; equal sets are linked. Texts without words are alike.
+    """
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", shingled(F.col("text")).alias("s"))
+    rows = materialize(rows.select("doc_id", "text", "s.fp", "s.keys"), "shingled")
+    keyed = materialize(rows.select("fp", F.explode("keys").alias("key")).distinct(), "keys")
+    hubs = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
+    links = keyed.join(hubs, "key").where("fp <> low").select("low", F.col("fp").alias("high"))
+    near = components(links)
+    near = materialize(near.select(F.col("node").alias("fp"), "root").union(near.select("root", "root")).distinct(), "near")
+
+    def compare(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("fp")
+        fp = batch["fp"].to_numpy()
+        return pd.DataFrame({"fp": fp, "root": fp[similar_groups([shingle_set(t) for t in batch["text"]])]})
+
+    texts = rows.join(near, "fp").groupBy("fp", "root").agg(F.min("text").alias("text"))
+    found = materialize(texts.groupBy("root").applyInPandas(compare, "fp long, root long"), "similar")
+    return rows.select("doc_id", "fp").join(found, "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_first_similar(documents: DataFrame) -> DataFrame:
+    """As keep_first, for components of similarity 0.8 or more over five-word shingles."""
+    return _first_rows(documents, similar_components(documents), lambda text: shingled(text)["fp"])
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridstone.llm.common import table
 

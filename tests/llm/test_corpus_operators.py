@@ -15,6 +15,7 @@ import public_tokenizers
 import xxhash
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from gridstone.llm import bpe, catalog, html_text, packing, quality_bayes, quality_rules, secrets, simhash, syncmers, url_filter, warc
 
 SMALL = "/root/testdata/sf0.001"
@@ -553,3 +554,61 @@ def test_chains_settle(spark):
     random.Random(9).shuffle(order)
     links = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(order, order[1:])], "low long, high long")
     assert {(r.node, r.root) for r in simhash.components(links).collect()} == {(k, 0) for k in range(1, n)}
+
+
+def brute_similar(texts):
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(sets)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return [top(k) for k in range(len(sets))]
+
+
+def test_pipeline_drops_copies_of_similarity_0_8(spark, none_at_all):
+    rng = random.Random(9)
+    texts = [None, "", "one two", "One  two"]
+    for _ in range(6):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([40, 300]))]
+        for edits in (0, *range(1, 8)):  # from nearly equal to below 0.8
+            words = list(base)
+            for at in rng.sample(range(len(base)), min(edits * len(base) // 150 + (edits > 0), 12)):
+                words[at] = f"x{rng.randint(0, 10**6)}"
+            texts.append(" ".join(words))
+    real = spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()
+    texts += [r.text for r in real if r.text is None or r.text.isascii()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {k for k, r in enumerate(brute_similar(texts)) if k == r}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, SMALL).collect()} == want
+    assert {r.doc_id for r in simhash.keep_first(df).collect()} != want
+    assert simhash.keep_first_similar(none_at_all).count() == 0
+
+
+def test_similar_groups_are_exact():
+    rng = np.random.default_rng(4)
+    for few in (0, simhash.FEW):
+        kept, simhash.FEW = simhash.FEW, few
+        try:
+            sets = [np.unique(rng.integers(0, 14, size=12)).astype(np.uint64) for _ in range(120)] + [np.empty(0, dtype=np.uint64)] * 2
+            texts = [{*x.tolist()} for x in sets]
+            root = simhash.similar_groups(sets)
+            seen = {k: k for k in range(len(sets))}
+            for _ in sets:  # to the least of the neighbours until nothing changes
+                for i, a in enumerate(texts):
+                    seen[i] = min(seen[j] for j, b in enumerate(texts) if 5 * len(a & b) >= 4 * len(a | b))
+            assert root.tolist() == [seen[k] for k in range(len(sets))]
+        finally:
+            simhash.FEW = kept
