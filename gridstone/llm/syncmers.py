@@ -3,8 +3,10 @@
 Words are hashed; k words in a row are an anchor if the smallest of their inner s-word
 hashes stands at either edge. Whether k words are an anchor depends on them alone, so equal
 passages have equal anchors wherever they stand and whatever surrounds them. A fingerprint
-keeps the smallest anchor hashes, each as eight hexadecimal digits; two fingerprints are
-compared by the share of common hashes among the smallest of both.
+holds the hashes of all distinct anchors, ascending, each as eight hexadecimal digits, so it
+grows with the text; two fingerprints are compared by the share of common hashes among all of
+both. Positions tell whether anchors also follow each other alike: two texts are aligned by
+their steps, an anchor with the next one and the words between them.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 from gridstone.llm.common import SPACE, let
 
-#: Words of an anchor, words of its inner substrings, hashes of a fingerprint.
-K, S, SKETCH = 4, 2, 64
+#: Words of an anchor, words of its inner substrings, hashes of a fingerprint (None: all).
+K, S, SKETCH = 4, 2, None
 #: Hexadecimal digits of one hash.
 DIGITS = 8
 #: Documents of an id bucket on average, and most buckets.
@@ -56,38 +58,56 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return let(_word_hashes(text), of_hashes)
 
 
-def sketch(text: Column, k: int = K, s: int = S, size: int = SKETCH) -> Column:
-    """array<bigint>: the smallest distinct 32-bit anchor hashes, ascending."""
+def distinct_hashes(found: Column) -> Column:
+    """array<bigint>: the distinct 32-bit hashes of anchors, ascending."""
     cut = (1 << (4 * DIGITS)) - 1
-    hashes = F.transform(anchors(text, k, s), lambda a: a["hash"].bitwiseAND(F.lit(cut)))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, size)
+    return F.sort_array(F.array_distinct(F.transform(found, lambda a: a["hash"].bitwiseAND(F.lit(cut)))))
+
+
+def steps(found: Column) -> Column:
+    """array<bigint>: distinct hashes of each anchor with the next anchor and the words from one to the other.
+
+    Texts that share a step share both anchors at the same shift; the only anchor of a text is a step alone.
+    """
+
+    def of(a: Column) -> Column:
+        pair = lambda x, i: F.xxhash64(x["hash"], F.get(a, i + 1)["hash"], F.get(a, i + 1)["position"] - x["position"])
+        return F.array_distinct(F.when(F.size(a) > 1, F.slice(F.transform(a, pair), 1, F.size(a) - 1)).otherwise(F.transform(a, lambda x: x["hash"])))
+
+    return let(found, of)
+
+
+def sketch(text: Column, k: int = K, s: int = S) -> Column:
+    """array<bigint>: all distinct 32-bit anchor hashes of a text, ascending."""
+    return distinct_hashes(anchors(text, k, s))
 
 
 def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda x: F.lower(F.lpad(F.hex(x), DIGITS, "0"))), "")
 
 
-def likeness(left: Column, right: Column, size: int = SKETCH) -> Column:
-    """Share of common hashes among the smallest `size` of two sketches: 1 for two empty ones, 0 for an empty and another."""
+def likeness(left: Column, right: Column) -> Column:
+    """Share of common hashes among all of two arrays of distinct hashes: 1 for two empty ones, 0 for an empty and another."""
 
-    def of_both(both: Column) -> Column:
-        common = F.size(F.array_intersect(F.array_intersect(both, left), right))
-        return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common / F.size(both))
+    def of_common(common: Column) -> Column:
+        both = F.size(left) + F.size(right) - common
+        return F.when(both == 0, F.lit(1.0)).otherwise(common / both)
 
-    return let(F.slice(F.sort_array(F.array_union(left, right)), 1, size), of_both)
+    return let(F.size(F.array_intersect(left, right)), of_common)
 
 
 def matched_anchors(left: DataFrame, right: DataFrame, doc: str = "doc_id", text: str = "text", k: int = K, s: int = S) -> DataFrame:
     """Anchors common to two tables of documents: left_id, right_id, hash, left_position, right_position.
 
-    An anchor that stands several times in a document is taken at its first place.
+    An anchor that stands several times in both documents is matched place by place in order.
     """
 
     def spread(df: DataFrame, side: str) -> DataFrame:
         rows = df.select(F.col(doc).alias(f"{side}_id"), F.explode(anchors(F.col(text), k, s)).alias("a"))
-        return rows.groupBy(f"{side}_id", F.col("a.hash").alias("hash")).agg(F.min("a.position").alias(f"{side}_position"))
+        places = rows.groupBy(f"{side}_id", F.col("a.hash").alias("hash")).agg(F.sort_array(F.collect_list("a.position")).alias("places"))
+        return places.select(f"{side}_id", "hash", F.posexplode("places").alias("nth", f"{side}_position"))
 
-    return spread(left, "left").join(spread(right, "right"), "hash").select("left_id", "right_id", "hash", "left_position", "right_position")
+    return spread(left, "left").join(spread(right, "right"), ["hash", "nth"]).select("left_id", "right_id", "hash", "left_position", "right_position")
 
 
 def with_next(documents: DataFrame, carried: dict[str, Column]) -> DataFrame:
@@ -126,22 +146,23 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
-    """One row per document row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row per document row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_*, aligned_*.
 
-    Null text is empty. A row without doc_id has no next document: its edited text loses its
-    end and gets nothing for it, and near_next is 0 (1 if its own fingerprint is empty).
-    Repeated ids follow each other by text. An empty table gives no rows.
+    near_edited and near_next are shares of common anchors, aligned_edited and aligned_next of
+    common steps, all from whole texts. Null text is empty. A row without doc_id has no next
+    document: its edited text loses its end and gets nothing for it, and near_next is 0 (1 if its
+    own fingerprint is empty). Repeated ids follow each other by text. An empty table gives no rows.
     """
-    rows = with_next(documents, {"sketch": sketch(F.col("text"))})
+    rows = with_next(documents, {})
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", F.coalesce("next_sketch", F.array().cast("array<bigint>")).alias("next_sketch"))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-    )
+    # the next text's anchors are made anew from it: they would be larger to shuffle than the text is
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"), anchors(F.col("text")).alias("own"), anchors(edited).alias("edited"), anchors(F.col("next_text")).alias("next"))
+    whole = [f(F.col(c)).alias(f"{c}_{f.__name__}") for c in ("own", "edited", "next") for f in (distinct_hashes, steps)]
+    rows = rows.select("doc_id", "n_chars", "edited_sha256", *whole)
+    near = [likeness(F.col(f"own_{f}"), F.col(f"{c}_{f}")).alias(f"{name}_{c}") for name, f in (("near", "distinct_hashes"), ("aligned", "steps")) for c in ("edited", "next")]
+    return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own_distinct_hashes")).alias("fingerprint"), as_text(F.col("edited_distinct_hashes")).alias("edited_fingerprint"), *near)
 
 
 def op6_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

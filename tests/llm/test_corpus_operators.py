@@ -354,6 +354,29 @@ def test_matched_anchors_keep_their_shift(spark):
     assert len(found) > 20 and {r.right_position - r.left_position for r in found} == {3}
 
 
+def test_long_texts_keep_all_anchors_and_their_order(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(2000)]
+    blocks = [words[k : k + 8] for k in range(0, 2000, 8)]
+    rng.shuffle(blocks)
+    mixed = [w for b in blocks for w in b]
+    tail = words[1990:] + [f"z{k}" for k in range(1990)]  # the few common anchors are lost in any small sample
+    df = spark.createDataFrame([(9, " ".join(words)), (8, " ".join(mixed)), (7, " ".join(tail)), (6, " ".join(words))], "doc_id long, text string")
+    got = {r.doc_id: r for r in syncmers.edited_fingerprints(df).collect()}
+    assert len(got[9].fingerprint) > 64 * syncmers.DIGITS * 10
+    assert got[6].near_next == got[6].aligned_next == 1.0  # the first follows the last
+    assert got[9].near_next > 0.2 and got[9].aligned_next < got[9].near_next - 0.05
+    assert 0 < got[7].near_next < 0.01 and 0.6 < got[6].aligned_edited < got[6].near_edited < 0.8
+
+
+def test_matched_anchors_keep_every_place(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(1, f"{text} {text}")], "doc_id long, text string")
+    found = syncmers.matched_anchors(df, df).collect()
+    assert {r.left_position for r in found} >= {r.left_position + 30 for r in found if r.left_position < 27}
+    assert all(r.left_position == r.right_position for r in found)
+
+
 # -- WARC
 
 
