@@ -9,6 +9,7 @@ its own evidence plus the log odds of its path's prior, from which it is itself
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import materialize, small_enough
+from gridstone.llm.common import labelled_rows, materialize, small_enough
 
 #: Most labelled documents of each class that training reads.
 TRAIN_PER_CLASS = 2000
@@ -31,10 +32,12 @@ MAX_SITE_SHIFT = 2.0
 
 _UPPER, _DIGIT, _SYMBOLS = bytes(range(65, 91)), bytes(range(48, 58)), b"#*$%&|<>"
 N_FIGURES = 12
+#: Buckets that a text's distinct words are hashed to; their shares are further figures.
+WORD_BUCKETS = 128
 
 
 def figures(text: str | None) -> list[float]:
-    """Length-free figures of a whole text, each about 0 to 1."""
+    """Length-free figures of a whole text, each about 0 to 1: N_FIGURES of its surface, then the shares of hashed words."""
     raw = (text or "").encode("utf-8", "replace")
     words = raw.split()
     n, size = max(1, len(words)), max(1, len(raw))
@@ -45,6 +48,10 @@ def figures(text: str | None) -> list[float]:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     windows = list(zip(words, words[1:], words[2:]))
     letters = sum(map(len, words))
+    shares = [0.0] * WORD_BUCKETS
+    different = set(words)
+    for w in different:
+        shares[zlib.crc32(w) % WORD_BUCKETS] += 1 / len(different)
     return [
         1.0,
         min(1.0, 5 * share(_SYMBOLS)),
@@ -52,12 +59,13 @@ def figures(text: str | None) -> list[float]:
         min(1.0, 5 * share(_DIGIT)),
         min(1.0, raw.count(b"|") / n),
         min(1.0, raw.count(b"!") / n),
-        1 - len(set(words)) / n,
+        1 - len(different) / n,
         1 - len(set(windows)) / len(windows) if windows else 0.0,
         1 - len(set(lines)) / len(lines) if lines else 0.0,
         min(1.0, letters / n / 20),
         min(1.0, (raw.count(b".") + raw.count(b",")) / n),
         float(len(words) < 4),
+        *shares,
     ]
 
 
@@ -78,15 +86,10 @@ def train(documents: DataFrame, labels: DataFrame) -> np.ndarray:
 
     Reads at most TRAIN_PER_CLASS documents of each class, those with the smallest hash of the id.
     """
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    sample = known.where("quality = 1").orderBy(*order).limit(TRAIN_PER_CLASS).union(known.where("quality = 0").orderBy(*order).limit(TRAIN_PER_CLASS))
-    seen = F.pandas_udf(lambda s: s.map(figures), "array<double>")
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", seen("text").alias("x")).collect()
-    rows = sorted((r.doc_id, r.quality, tuple(r.x)) for r in rows)
-    if len({q for _, q, _ in rows}) < 2:
-        return np.zeros(N_FIGURES)
-    return fit_logistic(np.array([x for *_, x in rows]), np.array([q for _, q, _ in rows]))
+    rows = labelled_rows(documents, labels, TRAIN_PER_CLASS, F.pandas_udf(lambda t: t.map(figures), "array<double>"))
+    if len({r.quality for r in rows}) < 2:
+        return np.zeros(N_FIGURES + WORD_BUCKETS)
+    return fit_logistic(np.array([r.x for r in rows]), np.array([r.quality for r in rows]))
 
 
 def evidence(text: Column, weights: np.ndarray) -> Column:
@@ -95,7 +98,7 @@ def evidence(text: Column, weights: np.ndarray) -> Column:
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.clip(np.array([figures(t) for t in texts]).reshape(-1, N_FIGURES) @ weights, -12, 12))
+            yield pd.Series(np.clip(np.array([figures(t) for t in texts]).reshape(-1, N_FIGURES + WORD_BUCKETS) @ weights, -12, 12))
 
     return run(text)
 
@@ -140,11 +143,17 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def with_posterior(documents: DataFrame, corpus: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
-    """documents with a struct column _gs of host, path, evidence, prior, posterior and kept."""
+def with_posterior(documents: DataFrame, corpus: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
+    """columns (all, if None) of documents with a struct column _gs of host, path, evidence, prior, posterior and kept.
+
+    The rows are stored once with their evidence, since the priors need all of them before the
+    first verdict; so every text is judged once.
+    """
     weights = train(corpus, labels)
     keyed = documents.withColumn("_gs_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).withColumn("_gs_path", F.coalesce(F.col(path).cast("string"), F.lit("")))
-    scored = keyed.withColumn("_gs_llr", evidence(F.col("text"), weights))
+    columns = documents.columns if columns is None else columns
+    salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")
+    scored = materialize(keyed.select(*columns, "_gs_host", "_gs_path", salt.alias("_gs_salt"), evidence(F.col("text"), weights).alias("_gs_llr")), "evidence")
     p = 1 / (1 + F.exp(-F.col("_gs_llr")))
     sites, pull, overall = site_priors(scored.select(F.col("_gs_host").alias("host"), F.col("_gs_path").alias("path"), p.alias("p")))
     sites = sites.select(F.col("host").alias("_gs_host"), F.col("path").alias("_gs_path"), F.col("n").alias("_gs_n"), F.col("good").alias("_gs_good"), F.col("base").alias("_gs_base"))
@@ -152,8 +161,7 @@ def with_posterior(documents: DataFrame, corpus: DataFrame, labels: DataFrame, h
         joined = scored.join(F.broadcast(sites), ["_gs_host", "_gs_path"])
     else:
         salted = sites.withColumn("_gs_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = scored.withColumn("_gs_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(salted, ["_gs_host", "_gs_path", "_gs_salt"])
+        joined = scored.join(salted, ["_gs_host", "_gs_path", "_gs_salt"])
     prior = (F.col("_gs_good") - p + F.lit(pull) * F.col("_gs_base")) / (F.col("_gs_n") - 1 + F.lit(pull))
     shift = F.least(F.greatest(_logit(prior) - _logit(F.lit(overall)), F.lit(-MAX_SITE_SHIFT)), F.lit(MAX_SITE_SHIFT))
     odds = F.col("_gs_llr") + _logit(F.lit(overall)) + shift
@@ -168,7 +176,7 @@ def quality_bayes(documents: DataFrame, labels: DataFrame, host: str = "source",
     texts of no words. Repeated rows each get their row and each count for their site; an empty
     table gives none. Without labelled rows of both classes the evidence is 0 and the prior decides.
     """
-    return with_posterior(documents, documents, labels, host, path, threshold).select("doc_id", "_gs.*")
+    return with_posterior(documents, documents, labels, host, path, threshold, ["doc_id"]).select("doc_id", "_gs.*")
 
 
 def keep_good(documents: DataFrame, corpus: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:

@@ -22,9 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridstone.llm.common import labelled_rows
+
 CONTENT, BOILERPLATE = 1, 0
-#: Most labelled documents of each class that training reads, and lines of each.
-TRAIN_PER_CLASS, TRAIN_LINES = 1000, 64
+#: Most labelled documents of each class that training reads, with all their lines.
+TRAIN_PER_CLASS = 1000
+#: Lines of a training chain: longer documents are cut into chains of so many lines, none left out.
+CHAIN_LINES = 64
 #: Words on content lines over all words, from which a document stays.
 CONTENT_SHARE = 0.5
 
@@ -204,18 +208,15 @@ def _fit(x: np.ndarray, y: np.ndarray, at: tuple[np.ndarray, np.ndarray], chain:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> LineCRF:
-    """Fits the chain on at most TRAIN_PER_CLASS labelled documents of each quality, TRAIN_LINES lines each.
+    """Fits the chain on all lines of at most TRAIN_PER_CLASS labelled documents of each quality.
 
     The sample is the labelled ids with the smallest hash; null labels or ids don't count,
-    of repeated labels the greatest holds. Without both classes the blank chain is returned.
+    of repeated labels the greatest holds, of documents that repeat an id the one whose text has
+    the smallest hash. Without both classes the blank chain is returned.
     """
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    sample = known.where("quality = 1").orderBy(*order).limit(TRAIN_PER_CLASS).union(known.where("quality = 0").orderBy(*order).limit(TRAIN_PER_CLASS))
-    lines = F.pandas_udf(lambda s: s.map(lambda t: line_masks(t)[0][:TRAIN_LINES]), "array<long>")
-    # at most 2 * TRAIN_PER_CLASS ids, so the broadcast is bounded
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", lines("text").alias("masks")).collect()
-    rows = sorted({(r.doc_id, r.quality, tuple(r.masks)) for r in rows if r.masks})
+    lines = F.pandas_udf(lambda s: s.map(lambda t: line_masks(t)[0]), "array<long>")
+    rows = labelled_rows(documents, labels, TRAIN_PER_CLASS, lines)
+    rows = [(r.doc_id, r.quality, r.x[k : k + CHAIN_LINES]) for r in rows for k in range(0, len(r.x), CHAIN_LINES)]
     if len({q for _, q, _ in rows}) < 2:
         return LineCRF.blank()
     masks = np.array([m for *_, ms in rows for m in ms], dtype=np.int64)
