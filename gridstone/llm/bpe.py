@@ -1,7 +1,7 @@
 """Byte-level BPE encoding by backtracking over longest matches, and decoding by an offset table.
 
-An Aho-Corasick automaton over the vocabulary gives the longest token at each position of a
-split word. Tokens are taken greedily; a token is kept only if the pair with its predecessor
+An Aho-Corasick automaton over the vocabulary runs once over a split word and gives the
+longest token at each of its positions. Tokens are taken greedily; a token is kept only if the pair with its predecessor
 is compatible, that is, if merging the two tokens' bytes on their own would give the same two
 tokens. Otherwise the next shorter token is tried and, failing that, the predecessor is given
 up and its position is marked, so that each position fails once: linear time, exact merges.
@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,8 +23,54 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how the byte-level vocabulary splits text before its merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Most split words that a worker remembers; it starts anew beyond.
-REMEMBERED = 1_000_000
+#: Most split words that a worker remembers (it starts anew beyond), and the longest of them in characters.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 64
+
+
+@lru_cache(maxsize=1)
+def exact_split() -> tuple[str, str]:
+    """SPLIT with the tokenizers library's letters, numbers and spaces, and the class of characters where it matters.
+
+    The two libraries know different editions of Unicode. All code points of one class here are
+    shown to the other library's splitter in one string, which cuts it wherever it sees another
+    class; one question a cut-out run tells which. Texts without any character of the second pattern are
+    split by SPLIT alone.
+    """
+    import regex
+    from tokenizers import pre_tokenizers
+
+    theirs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) not in " '")
+    here = {k: regex.findall(r, every) for k, r in (("L", r"\p{L}"), ("N", r"\p{N}"), ("Z", r"\s"), ("O", r"[^\s\p{L}\p{N}]"))}
+
+    def kind_there(c: str) -> str:
+        for k, before in (("L", "a"), ("N", "1"), ("O", "!")):
+            if len(theirs.pre_tokenize_str(before + c)) == 1:
+                return k
+        return "Z"
+
+    add: dict[str, list[str]] = {k: [] for k in "LNZO"}
+    drop: dict[str, list[str]] = {k: [] for k in "LNZO"}
+    for k, chars in here.items():
+        text = "".join(chars)
+        for _, (a, b) in theirs.pre_tokenize_str(text):
+            found = kind_there(text[a])
+            if found != k:
+                add[found] += text[a:b]
+                drop[k] += text[a:b]
+
+    def listed(chars: list[str]) -> str:
+        codes = np.sort(np.fromiter(map(ord, chars), dtype=np.int64, count=len(chars)))
+        runs = np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1)
+        return "".join(f"\\U{r[0]:08X}-\\U{r[-1]:08X}" for r in runs if len(r))
+
+    def as_class(base: str, k: str) -> str:
+        return "[" + base + (f"||[{listed(add[k])}]" if add[k] else "") + (f"--[{listed(drop[k])}]" if drop[k] else "") + "]"
+
+    letter, number, space = as_class(r"\p{L}", "L"), as_class(r"\p{N}", "N"), as_class(r"\s", "Z")
+    moved = [c for chars in drop.values() for c in chars]
+    whole = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?[^{space}{letter}{number}]+|{space}+(?![^{space}])|{space}+"
+    return whole, f"[{listed(moved)}]" if moved else r"(?!)"
 
 
 def byte_characters() -> dict[str, int]:
@@ -35,7 +83,7 @@ def byte_characters() -> dict[str, int]:
 class ByteBPE:
     """A vocabulary file's merges as matching, compatibility and offset tables."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, split: tuple[str, str] | None = None):
         import ahocorasick
         import regex
 
@@ -47,7 +95,6 @@ class ByteBPE:
         self.ids = ids
         self.bytes = {n: token for token, n in ids.items()}
         self.size = {n: len(token) for n, token in self.bytes.items()}
-        self.most = max(self.size.values())
         self.parts = {n: (n, n) for n in self.bytes}
         self.rank = {n: -1 for n in self.bytes}
         self.pairs: dict[tuple[int, int], int] = {}
@@ -63,7 +110,8 @@ class ByteBPE:
         self.match.make_automaton()
         self.shorter: dict[int, int | None] = {}
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.split = regex.compile(SPLIT)
+        whole, moved = split or exact_split()
+        self.split, self.split_moved, self.moved = regex.compile(SPLIT), regex.compile(whole), re.compile(moved)
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         top = max([*self.bytes, *self.special.values()]) + 1
         table = [self.bytes.get(n, b"") for n in range(top)]
@@ -105,31 +153,30 @@ class ByteBPE:
         self.compatible[key] = answer
         return answer
 
+    def longest_matches(self, raw: bytes) -> list[int]:
+        """The longest token that starts at each byte, from one run of the automaton."""
+        found, size = [0] * len(raw), self.size
+        for end, token in self.match.iter(raw.decode("latin-1")):
+            found[end + 1 - size[token]] = token  # a start's matches come by ascending end
+        return found
+
     def encode_word(self, raw: bytes) -> list[int]:
         """Token ids of one split word."""
         n = len(raw)
         if n == 1:
             return [self.ids[raw]]
         size, known, compatible, shorter_of = self.size, self.compatible.get, self._compatible, self.shorter
-        ids, prefix, most, chars = self.ids, self.match.longest_prefix, self.most, raw.decode("latin-1")
-
-        def longest(at: int) -> int:
-            """The longest token that starts here: the automaton's deepest state, then its nearest accepting one."""
-            k = prefix(chars[at : at + most])
-            while (token := ids.get(raw[at : at + k])) is None:
-                k -= 1
-            return token
-
+        longest = self.longest_matches(raw)
         closed = set()
         out: list[int] = []
-        at, token = 0, longest(0)
+        at, token = 0, longest[0]
         while True:
             end = at + size[token]
             if end not in closed and (not out or (ok if (ok := known((out[-1], token))) is not None else compatible(out[-1], token))):
                 out.append(token)
                 if end == n:
                     return out
-                at, token = end, longest(end)
+                at, token = end, longest[end]
                 continue
             shorter = shorter_of[token] if token in shorter_of else self._shorter(token)
             if shorter is not None:
@@ -141,9 +188,11 @@ class ByteBPE:
 
     def _word(self, word: str) -> tuple[bytes, str]:
         ids = self.encode_word(word.encode())
-        if len(self._words) >= REMEMBERED:
-            self._words.clear()
-        self._words[word] = found = (struct.pack(f"<{len(ids)}I", *ids), ",".join(map(str, ids)))
+        found = (struct.pack(f"<{len(ids)}I", *ids), ",".join(map(str, ids)))
+        if len(word) <= REMEMBERED_CHARS:
+            if len(self._words) >= REMEMBERED:
+                self._words.clear()
+            self._words[word] = found
         return found
 
     def _stretches(self, text: str) -> Iterator[tuple[str, int | None]]:
@@ -161,7 +210,7 @@ class ByteBPE:
         raw, shown = [], []
         for stretch, special in self._stretches(text):
             get, new = self._words.get, self._word
-            found = [get(word) or new(word) for word in self.split.findall(stretch)]
+            found = [get(word) or new(word) for word in (self.split_moved if self.moved.search(stretch) else self.split).findall(stretch)]
             raw += [x[0] for x in found]
             shown += [x[1] for x in found]
             if special is not None:
@@ -182,10 +231,11 @@ class ByteBPE:
 
 def encoded(text: Column, vocabulary: str) -> Column:
     """array<int> of token ids; null text as empty."""
+    split = exact_split()
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = ByteBPE(vocabulary)
+        bpe = ByteBPE(vocabulary, split)
         for texts in batches:
             yield pd.Series([bpe.encode(t or "")[0].astype("int32") for t in texts])
 
@@ -197,7 +247,7 @@ def decoded(ids: Column, vocabulary: str) -> Column:
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = ByteBPE(vocabulary)
+        bpe = ByteBPE(vocabulary, (SPLIT, r"(?!)"))  # decoding splits nothing
         for arrays in batches:
             yield pd.Series([bpe.decode([] if a is None else a).decode("utf-8", "replace") for a in arrays])
 
@@ -213,10 +263,11 @@ def round_trips(documents: DataFrame, vocabulary: str) -> DataFrame:
     Null and empty texts have no tokens (hashes of nothing). Special tokens' strings in a text
     are those tokens. Repeated rows and null ids each get their row; an empty table gives none.
     """
+    split = exact_split()
 
     @F.pandas_udf(_DIGEST)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = ByteBPE(vocabulary)
+        bpe = ByteBPE(vocabulary, split)
         for texts in batches:
             out = []
             for text in texts:
