@@ -6,10 +6,12 @@ that triangle bounds leave open: at a node with vantage point v and radius m, fi
 within r of x can lie inside only if d(x, v) <= m + r and outside only if d(x, v) > m - r.
 
 Fingerprints of unrelated texts lie about 32 bits apart wherever one stands, so with r = 4 a
-level of the tree rules out a sixth of the pairs but sends two thirds of the rows both ways.
-The tree therefore has a fixed depth, and a leaf is cut further by agreement: of radius + 1
-blocks of bits, two fingerprints within the radius agree on one at least. A row is dealt a
-constant number of times at any size of the input.
+level of the tree rules out a sixth of the pairs but sends two thirds of the rows both ways:
+depth costs more copies than it saves comparisons. The tree therefore has a fixed depth, and
+as an inner step a leaf is cut further by agreement: of radius + 1 blocks of bits, two
+fingerprints within the radius agree on one at least; a long run that agrees on one is cut by
+blocks of its other bits in the same way. A row is dealt a constant number of times at any
+size of the input.
 
 Links are handed on as few as connect a group, never as all its pairs, and components come
 from alternating large-star and small-star steps.
@@ -24,15 +26,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import materialize
+from gridstone.llm.common import join_hot, materialize
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Levels of the tree, and fingerprints that its vantage points are taken from.
 DEPTH, SAMPLE = 3, 20_000
 #: Rows of a task's group on average.
 CHUNK = 8192
-#: Runs that agree on a block and are compared pair by pair; longer ones are searched from member to member.
+#: Runs that agree on a block and are compared pair by pair; longer ones are cut further, while bits are left.
 SHORT_RUN = 16
+#: Runs that are compared at once, as a square.
+SQUARE = 512
 
 
 def simhash(text: str | None, words: int = WORDS) -> int:
@@ -152,28 +156,58 @@ def forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def blocks_of(x: np.ndarray, blocks: int) -> list[np.ndarray]:
-    """The fingerprints' bits cut into blocks of nearly equal width."""
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
+def blocks_of(x: np.ndarray, blocks: int, bits: tuple[int, int] = (0, 64)) -> list[np.ndarray]:
+    """The fingerprints' bits [from, to) cut into blocks of nearly equal width."""
+    cuts = [bits[0] + (bits[1] - bits[0]) * k // blocks for k in range(blocks + 1)]
     return [(x >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
 
 
-def links_within(fp: np.ndarray, block: int, radius: int) -> np.ndarray:
-    """Links among fingerprints that agree on a block."""
-    fp = np.unique(fp)
-    value = blocks_of(fp, radius + 1)[block]
+def _rotated(fp: np.ndarray, block: int, blocks: int) -> tuple[np.ndarray, int]:
+    """Fingerprints turned so that the given block's bits come last, and the number of other bits."""
+    a, b = 64 * block // blocks, 64 * (block + 1) // blocks
+    turn = np.uint64(b % 64)
+    return ((fp >> turn) | (fp << (np.uint64(64) - turn)) if turn else fp), 64 - (b - a)
+
+
+def _run_links(fp: np.ndarray, value: np.ndarray, radius: int, narrower) -> list[np.ndarray]:
+    """Links among distinct fingerprints of equal value; a long run goes to narrower(run)."""
     order = np.argsort(value, kind="stable")
     fp, value = fp[order], value[order]
     first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(fp) else np.empty(0, dtype=int)
     sizes = np.diff(np.r_[first, len(fp)])
-    found = [np.empty((0, 2), dtype=np.uint64)]
+    found = []
     short = np.repeat(sizes <= SHORT_RUN, sizes)
     for step in range(1, min(SHORT_RUN, len(fp))):
         near = np.flatnonzero(short[:-step] & (value[:-step] == value[step:]) & (distances(fp[:-step], fp[step:]) <= radius))
-        found.append(np.stack([fp[near], fp[near + step]], axis=1))
+        if len(near):
+            found.append(np.stack([fp[near], fp[near + step]], axis=1))
     for a, n in zip(first[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN]):
-        found.append(np.array(forest(fp[a : a + n], radius), dtype=np.uint64).reshape(-1, 2))
-    return np.concatenate(found)
+        found += narrower(fp[a : a + n])
+    return found
+
+
+def links_within(fp: np.ndarray, block: int, radius: int) -> np.ndarray:
+    """Links among fingerprints that agree on a block.
+
+    A long run is cut by blocks of its other bits; runs that agree on two blocks and are still
+    long are searched from member to member.
+    """
+    blocks = radius + 1
+
+    def linked(run: np.ndarray) -> list[np.ndarray]:
+        if len(run) <= SQUARE:
+            i, j = np.nonzero(np.triu(distances(run[:, None], run) <= radius, 1))
+            if len(i) <= 2 * len(run):  # else a dense family, of which a forest is enough
+                return [np.stack([run[i], run[j]], axis=1)]
+        return [np.array(forest(run, radius), dtype=np.uint64).reshape(-1, 2)]
+
+    def cut_further(run: np.ndarray) -> list[np.ndarray]:
+        turned, bits = _rotated(run, block, blocks)
+        return [x for value in blocks_of(turned, blocks, (0, bits)) for x in _run_links(run, value, radius, linked)]
+
+    fp = np.unique(fp)
+    found = _run_links(fp, blocks_of(fp, blocks)[block], radius, cut_further)
+    return np.concatenate([np.empty((0, 2), dtype=np.uint64), *found])
 
 
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, depth: int = DEPTH, chunk: int = CHUNK) -> DataFrame:
@@ -222,11 +256,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     seen = mark(now)
     for _ in range(rounds):
         ends = now.select(F.col("low").alias("u"), F.col("high").alias("v")).union(now.select(F.col("high").alias("u"), F.col("low").alias("v")))
-        least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ends.join(least, "u").where("v > u and v <> m").select(F.col("m").alias("low"), F.col("v").alias("high"))
+        least = ends.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(ends, least, "u", "n").where("v > u and v <> m").select(F.col("m").alias("low"), F.col("v").alias("high"))
         large = large.union(least.where("m < u").select(F.col("m").alias("low"), F.col("u").alias("high"))).distinct()
-        down = large.groupBy("high").agg(F.min("low").alias("m"))
-        small = large.join(down, "high").where("low <> m").select(F.col("m").alias("a"), F.col("low").alias("b"))
+        down = large.groupBy("high").agg(F.min("low").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, down, "high", "n").where("low <> m").select(F.col("m").alias("a"), F.col("low").alias("b"))
         small = small.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).union(down.select(F.col("m").alias("low"), "high")).where("low <> high").distinct()
         now = materialize(small, "links")
         if (found := mark(now)) == seen:
@@ -246,9 +280,9 @@ def simhash_components(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "prints")
     roots = components(fingerprint_links(prints, radius)).select(F.col("node").alias("fp"), "root")
     member = materialize(prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "members")
-    whole = member.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("n_component"))
-    of_print = member.join(whole, "root").select("fp", "root", "component_id", "n_component")
-    return rows.join(of_print, "fp").select("doc_id", "fp", "root", "component_id", "n_component")
+    whole = materialize(member.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("n_component"), F.count("*").alias("members")), "whole")
+    of_print = materialize(join_hot(member, whole, "root", "members").select("fp", "n", "root", "component_id", "n_component"), "of_print")
+    return join_hot(rows, of_print, "fp", "n").select("doc_id", "fp", "root", "component_id", "n_component")
 
 
 def keep_first(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -278,6 +312,8 @@ COPY_WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Unreached members up to which a member is compared one by one, without posting lists.
 FEW = 64
+#: Shingles of a candidate component, or of a slice of a larger one, that one task compares.
+GROUP = 4_000_000
 
 
 def shingle_set(text: str | None, words: int = COPY_WORDS) -> np.ndarray:
@@ -306,16 +342,16 @@ def band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def shingled(text: Column) -> Column:
-    """struct<fp, keys>: a hash of a text's shingle set, and the set's band keys."""
+    """struct<fp, keys, size>: a hash of a text's shingle set, the set's band keys and its number of shingles."""
 
-    @F.pandas_udf("fp long, keys array<long>")
+    @F.pandas_udf("fp long, keys array<long>, size long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for texts in batches:
             sets = [shingle_set(t) for t in texts]
             fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"fp": fp, "keys": [np.array(band_keys(x), dtype=np.uint64).view(np.int64) for x in sets]})
+            yield pd.DataFrame({"fp": fp, "keys": [np.array(band_keys(x), dtype=np.uint64).view(np.int64) for x in sets], "size": [len(x) for x in sets]})
 
     return run(text)
 
@@ -357,29 +393,104 @@ def similar_groups(sets: list[np.ndarray], similar: float = SIMILAR) -> np.ndarr
     return root
 
 
-def similar_components(documents: DataFrame) -> DataFrame:
+def _similarity(a: np.ndarray, b: np.ndarray) -> float:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / max(1, len(a) + len(b) - common)
+
+
+def _links_of(low: pd.DataFrame, high: pd.DataFrame) -> pd.DataFrame:
+    """low, high: for each row of high (fp, text) the rows of low whose sets are similar enough, found by posting lists."""
+    sets = [shingle_set(t) for t in low["text"]]
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    known, at = np.unique(np.concatenate(sets), return_inverse=True)
+    posted = np.repeat(np.arange(len(sets)), sizes)[np.argsort(at, kind="stable")]
+    starts = np.r_[0, np.cumsum(np.bincount(at, minlength=len(known)))]
+    fps = low["fp"].to_numpy()
+    out = []
+    for fp, text in zip(high["fp"], high["text"]):
+        x = shingle_set(text)
+        met = np.zeros(len(sets), dtype=np.int64)
+        k = np.searchsorted(known, x)
+        for j in k[(k < len(known)) & (known[np.minimum(k, len(known) - 1)] == x)]:
+            met[posted[starts[j] : starts[j + 1]]] += 1
+        hits = fps[met >= SIMILAR * (sizes + len(x) - met) - 1e-9]
+        out.append(pd.DataFrame({"low": np.minimum(hits, fp), "high": np.maximum(hits, fp)}))
+    return pd.concat(out)
+
+
+def _large_links(large: DataFrame, keyed: DataFrame, group: int) -> DataFrame:
+    """low, high: links that connect the members of large candidate components as all similar pairs would.
+
+    Members similar to their component's root are linked to it, by a join that deals hot roots; a
+    family of near copies ends here. The rest meets all members that agree on a band with it, in
+    tasks of one slice against another, each of at most about `group` shingles.
+    """
+    hubs = large.where("fp = root").select("root", F.col("text").alias("hub_text"), "n_root")
+
+    @F.pandas_udf("double")
+    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_similarity(shingle_set(x), shingle_set(y)) for x, y in zip(a, b)])
+
+    near = join_hot(large.drop("n_root"), hubs, "root", "n_root").select("fp", "root", "text", "size", (likeness("text", "hub_text") >= SIMILAR - 1e-9).alias("to_hub"))
+    near = materialize(near, "to_hub")
+    rest = near.where("not to_hub")
+    keys = rest.select("fp").join(keyed, "fp").select("key").distinct()
+    at_key = keyed.join(keys, "key").join(near, "fp")
+    slices = at_key.groupBy("key").agg(F.ceil(F.sum("size") / group).alias("slices"))
+    dealt = materialize(at_key.join(slices, "key").withColumn("slice", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("slices"))), "dealt")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))
+    asks = dealt.where("not to_hub").select("key", F.col("slice").alias("asking"), every.alias("asked"), "fp", "text", F.lit(True).alias("asks"))
+    asked = dealt.select("key", every.alias("asking"), F.col("slice").alias("asked"), "fp", "text", F.lit(False).alias("asks"))
+
+    def compare(batch: pd.DataFrame) -> pd.DataFrame:
+        high, low = batch[batch["asks"]], batch[~batch["asks"]]
+        return _links_of(low, high) if len(high) and len(low) else pd.DataFrame({"low": [], "high": []}, dtype="int64")
+
+    found = asks.union(asked).groupBy("key", "asking", "asked").applyInPandas(compare, "low long, high long")
+    return near.where("to_hub").select(F.least("fp", "root").alias("low"), F.greatest("fp", "root").alias("high")).union(found).where("low <> high")
+
+
+def similar_components(documents: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, fp, root of every row: rows whose five-word shingle sets have a Jaccard similarity of 0.8 or more are linked.
 
-    Sets of that similarity agree on a band with a chance of 1 - (1 - 0.8 ** 5) ** 32 (0.999997) at least;
-    agreement only makes candidates. Each component of candidates is then compared by whole
-    shingle sets. fp is a hash of the set; equal sets are linked. Texts without words are alike.
+    Candidates are the pairs that vantage-point shards find within RADIUS bits of five-word
+    SimHash fingerprints and, since a similarity of 0.8 lies about ten bits away, pairs that agree
+    on a band: sets of 0.8 do with a chance of 1 - (1 - 0.8 ** 5) ** 32 (0.999997) at least. Either
+    only makes candidates; whole shingle sets decide. Components of candidates with at most
+    `group` shingles are compared in one task, larger ones in slices. fp is a hash of the
+    set; equal sets are linked. Texts without words are alike.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", shingled(F.col("text")).alias("s"))
-    rows = materialize(rows.select("doc_id", "text", "s.fp", "s.keys"), "shingled")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", shingled(F.col("text")).alias("s"), fingerprinted(F.col("text"), COPY_WORDS).alias("print"))
+    rows = materialize(rows.select("doc_id", "text", "s.fp", "s.keys", "s.size", "print"), "shingled")
+    sets = materialize(rows.groupBy("fp").agg(F.min("print").alias("print"), F.count("*").alias("n")), "sets")
     keyed = materialize(rows.select("fp", F.explode("keys").alias("key")).distinct(), "keys")
     hubs = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
-    links = keyed.join(hubs, "key").where("fp <> low").select("low", F.col("fp").alias("high"))
+    bands = join_hot(keyed, hubs, "key", "n").where("fp <> low").select("low", F.col("fp").alias("high"))
+    prints = materialize(sets.groupBy(F.col("print").alias("fp")).agg(F.min("fp").alias("low"), F.count("*").alias("n")), "prints")
+    alike = join_hot(sets.select("fp", F.col("print").alias("_print")).withColumnRenamed("_print", "print"), prints.withColumnRenamed("fp", "print"), "print", "n")
+    at = prints.select("fp", F.col("low").alias("set"))
+    close = fingerprint_links(prints.select("fp")).withColumnRenamed("low", "fp").join(at, "fp").select(F.col("set").alias("low"), F.col("high").alias("fp")).join(at, "fp").select("low", F.col("set").alias("high"))
+    links = bands.union(alike.where("fp <> low").select("low", F.col("fp").alias("high"))).union(close.select(F.least("low", "high"), F.greatest("low", "high")))
     near = components(links)
     near = materialize(near.select(F.col("node").alias("fp"), "root").union(near.select("root", "root")).distinct(), "near")
+    # one text stands for all rows of a set; a copied set's rows are combined before they are shuffled
+    texts = rows.join(near, "fp").groupBy("fp", "root").agg(F.min("text").alias("text"), F.max("size").alias("size"))
+    texts = materialize(texts, "texts")
+    weights = materialize(texts.groupBy("root").agg(F.sum("size").alias("weight"), F.count("*").alias("n_root")), "weights")
+    small = texts.join(weights.where(F.col("weight") <= group).select("root"), "root")
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("fp")
         fp = batch["fp"].to_numpy()
         return pd.DataFrame({"fp": fp, "root": fp[similar_groups([shingle_set(t) for t in batch["text"]])]})
 
-    texts = rows.join(near, "fp").groupBy("fp", "root").agg(F.min("text").alias("text"))
-    found = materialize(texts.groupBy("root").applyInPandas(compare, "fp long, root long"), "similar")
-    return rows.select("doc_id", "fp").join(found, "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+    found = small.groupBy("root").applyInPandas(compare, "fp long, root long")
+    large = weights.where(F.col("weight") > group)
+    if not large.isEmpty():
+        members = join_hot(texts, large.drop("weight").withColumn("weight", F.col("n_root")), "root", "weight")
+        found = found.union(components(_large_links(materialize(members, "large"), keyed, group)).select(F.col("node").alias("fp"), "root"))
+    found = sets.select("fp", "n").join(found, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
+    return join_hot(rows.select("doc_id", "fp"), materialize(found, "similar"), "fp", "n")
 
 
 def keep_first_similar(documents: DataFrame) -> DataFrame:
