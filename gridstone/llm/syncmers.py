@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from gridstone.llm.common import SPACE, let
 
-#: Words of an anchor, words of its inner substrings, hashes of a fingerprint (None: all).
-K, S, SKETCH = 4, 2, None
+#: Words of an anchor and of its inner substrings: two of K - S + 1 windows are anchors.
+K, S = 5, 2
 #: Hexadecimal digits of one hash.
 DIGITS = 8
-#: Documents of an id bucket on average, and most buckets.
-BUCKET_ROWS, MAX_BUCKETS = 512, 65_536
+#: Documents of an id bucket on average, most buckets, and sampled ids of a bucket that place its border.
+BUCKET_ROWS, MAX_BUCKETS, SAMPLED = 512, 65_536, 32
+#: Rows that repeat a frequent id are dealt by so many bits of a hash of their text.
+TEXT_BITS = 20
 
 
 def _word_hashes(text: Column) -> Column:
@@ -96,48 +98,67 @@ def likeness(left: Column, right: Column) -> Column:
     return let(F.size(F.array_intersect(left, right)), of_common)
 
 
-def matched_anchors(left: DataFrame, right: DataFrame, doc: str = "doc_id", text: str = "text", k: int = K, s: int = S) -> DataFrame:
-    """Anchors common to two tables of documents: left_id, right_id, hash, left_position, right_position.
+def _borders(ids: DataFrame, n: int) -> list[int]:
+    """Ascending ids that cut the documents into buckets of about equal size, from a sample of bounded size; a frequent id repeats.
 
-    An anchor that stands several times in both documents is matched place by place in order.
+    The borders bear on speed alone: any would give the same rows.
     """
+    buckets = min(n // BUCKET_ROWS, MAX_BUCKETS)
+    if buckets < 2:
+        return []
+    cuts = [k / buckets for k in range(1, buckets)]
+    seen = ids.where("doc_id is not null").sample(min(1.0, SAMPLED * buckets / n), seed=1)
+    return seen.agg(F.percentile_approx("doc_id", cuts, SAMPLED * buckets).alias("cuts")).first().cuts or []
 
-    def spread(df: DataFrame, side: str) -> DataFrame:
-        rows = df.select(F.col(doc).alias(f"{side}_id"), F.explode(anchors(F.col(text), k, s)).alias("a"))
-        places = rows.groupBy(f"{side}_id", F.col("a.hash").alias("hash")).agg(F.sort_array(F.collect_list("a.position")).alias("places"))
-        return places.select(f"{side}_id", "hash", F.posexplode("places").alias("nth", f"{side}_position"))
 
-    return spread(left, "left").join(spread(right, "right"), ["hash", "nth"]).select("left_id", "right_id", "hash", "left_position", "right_position")
+def _below(borders: list[int], value: Column, equal: bool) -> Column:
+    """How many borders are less than (or equal to) a value: a binary search in one constant array."""
+    levels = len(borders).bit_length()
+    padded = [*borders, *[(1 << 63) - 1] * ((1 << levels) - 1 - len(borders))]
+    table = F.split(F.lit(",".join(map(str, padded))), ",").cast("array<bigint>")
 
+    def step(at: Column, width: Column) -> Column:
+        border = F.element_at(table, at + width)
+        return F.when(border <= value if equal else border < value, at + width).otherwise(at)
 
-def with_next(documents: DataFrame, carried: dict[str, Column]) -> DataFrame:
-    """doc_id, text, the carried columns, and next_text and next_* of the document that comes next by descending doc_id.
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(levels - 1, -1, -1)]), F.lit(0), step)
 
-    After the last comes the first again. Ids are cut into at most MAX_BUCKETS ranges of equal
-    width; a window orders each range, and the head of the range that follows is appended to
-    it as an extra row. Rows that repeat an id follow each other by text. Rows without an id
-    have no next row. One document alone is its own next.
+
+def with_next(documents: DataFrame) -> DataFrame:
+    """doc_id, text and next_text of the document that comes next by descending doc_id, for every row.
+
+    After the last comes the first again. Ids are cut into at most MAX_BUCKETS buckets of about
+    equal size by borders from a sample, an id of very many rows further by a hash of their texts;
+    a window orders each bucket, and the head of the bucket that follows is appended to it as an
+    extra row. Rows that repeat an id follow each other by (for frequent ids: hash and) text. Rows
+    without an id have no next row. One document alone is its own next.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    buckets = min(max(n // BUCKET_ROWS, 1), MAX_BUCKETS)
-    width = (high - low) // buckets + 1
-    bucket = F.when(F.col("doc_id").isNotNull(), F.expr(f"(cast(doc_id as decimal(20, 0)) - {low}L) div {width}L")).otherwise(-1 - F.pmod(F.xxhash64("text"), F.lit(buckets)))
-    rows = rows.withColumn("bucket", bucket.cast("long"))
+    borders = _borders(rows.select("doc_id"), rows.count())
+    mixed = F.shiftrightunsigned(F.xxhash64("text"), 64 - TEXT_BITS)
+    hot = len(set(borders)) < len(borders)
+    # order by key, then text: doc_id first, and the text's hash within an id where some id is hot
+    key = F.col("doc_id").cast("decimal(20, 0)") * F.lit(1 << TEXT_BITS) + (mixed if hot else F.lit(0))
+    bucket = F.lit(0)
+    if borders:
+        bucket = _below(borders, F.col("doc_id"), True)
+    if hot:
+        under = _below(borders, F.col("doc_id"), False)
+        times = bucket - under
+        bucket = F.when(times > 1, under + F.shiftright(mixed * times, TEXT_BITS)).otherwise(bucket)
+    without = -1 - F.pmod(F.xxhash64("text"), F.lit(len(borders) + 1))
+    rows = rows.withColumn("key", key.cast("decimal(28, 0)")).withColumn("bucket", F.when(F.col("doc_id").isNotNull(), bucket).otherwise(without).cast("long"))
     # at most MAX_BUCKETS rows: one task can order them, and they can be broadcast
-    heads = rows.where("doc_id is not null").groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))
+    heads = rows.where("doc_id is not null").groupBy("bucket").agg(F.max("key").alias("key"))
     order = W.orderBy(F.col("bucket"))
     before = F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    heads = heads.select("doc_id", before.alias("to_bucket"))
-    real = rows.withColumn("extra", F.lit(False))
-    extra = rows.join(F.broadcast(heads), "doc_id").select("doc_id", "text", F.col("to_bucket").alias("bucket"), F.lit(True).alias("extra"))
-    both = real.unionByName(extra)
-    both = both.select("doc_id", "text", "bucket", "extra", *[c.alias(k) for k, c in carried.items()])
-    w = W.partitionBy("bucket").orderBy("extra", F.col("doc_id").desc_nulls_last(), "text")
-    led = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in ("text", *carried)]).where(~F.col("extra"))
-    nexts = [F.when(F.col("doc_id").isNotNull(), F.col(f"next_{c}")).alias(f"next_{c}") for c in ("text", *carried)]
-    return led.select("doc_id", "text", *carried, *nexts)
+    heads = heads.select("key", before.alias("to_bucket"))
+    extra = rows.join(F.broadcast(heads), "key").groupBy("key", "to_bucket").agg(F.min("text").alias("text"))
+    extra = extra.select(F.lit(None).cast("long").alias("doc_id"), "text", "key", F.col("to_bucket").alias("bucket"), F.lit(True).alias("extra"))
+    both = rows.withColumn("extra", F.lit(False)).unionByName(extra)
+    w = W.partitionBy("bucket").orderBy("extra", F.col("key").desc_nulls_last(), "text")
+    led = both.select("*", F.lead("text").over(w).alias("next_text")).where(~F.col("extra"))
+    return led.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("next_text")).alias("next_text"))
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -151,9 +172,9 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     near_edited and near_next are shares of common anchors, aligned_edited and aligned_next of
     common steps, all from whole texts. Null text is empty. A row without doc_id has no next
     document: its edited text loses its end and gets nothing for it, and near_next is 0 (1 if its
-    own fingerprint is empty). Repeated ids follow each other by text. An empty table gives no rows.
+    own fingerprint is empty). Repeated ids follow each other by text (see with_next). An empty table gives no rows.
     """
-    rows = with_next(documents, {})
+    rows = with_next(documents)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third))
