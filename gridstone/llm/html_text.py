@@ -1,14 +1,19 @@
 """HTML main text: flat text blocks classified by a decision tree over their own and their neighbours' figures.
 
-A page is cut into flat blocks at block-level tags. Each block has its word count, its link
-density and a mark of the region it stands in; with the same figures of the blocks before
-and after it goes through a small decision tree, trained here on the labelled table below.
+A page is cut into flat blocks at block-level tags. Each block has its word count and its link
+density; with the same figures of the blocks before and after it goes through a small decision
+tree, trained here on the labelled table below. Two more figures say what the page itself
+declares: whether the block stands in an article, in page furniture (menu, notice, comments and
+the like, by tag or class name) or in neither, and how much of the page's text stands in articles
+beside a block that is in neither.
+Furniture is never content; in articles and on pages without marks, words and links decide.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_PLAIN_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
@@ -38,8 +44,10 @@ BAD_NAMES = {
 }
 GOOD_TAGS = {"article", "main"}
 GOOD_NAMES = {"article", "story", "post", "entry", "main"}
-#: Regions, as the tree sees them.
-OPEN, INSIDE, OUTSIDE, SHUT = 0, 1, 2, 3
+#: Tags that a name can make an article; on others (a heading, a span) names say nothing about what is around.
+CONTAINERS = {"div", "section", "td", "table", "ul", "ol", "body"}
+#: Marks: nothing declared, in an article, in page furniture.
+OPEN, INSIDE, SHUT = 0, 1, 2
 
 
 @dataclass
@@ -47,10 +55,11 @@ class Block:
     text: str
     words: int
     link_density: float
-    region: int
+    mark: int
+    beside: float = 0.0
 
 
-def _region(name: str, attributes: str, above: int) -> int:
+def _mark(name: str, attributes: str, above: int) -> int:
     if above == SHUT:
         return SHUT
     if name in BAD_TAGS or attributes and _HIDDEN.search(attributes):
@@ -61,7 +70,7 @@ def _region(name: str, attributes: str, above: int) -> int:
         names = {w for m in _NAMED.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
         if names & BAD_NAMES:
             return SHUT
-        if names & GOOD_NAMES:
+        if names & GOOD_NAMES and name in CONTAINERS:
             return INSIDE
     return INSIDE if name in GOOD_TAGS else above
 
@@ -72,10 +81,11 @@ def blocks_of(page: str | None) -> list[Block]:
     found: list[Block] = []
     texts: list[str] = []
     linked = 0
-    open_tags: list[tuple[str, int]] = []  # name and region
+    open_tags: list[tuple[str, int]] = []  # name and mark
+    places: dict[str, list[int]] = defaultdict(list)  # where in open_tags each name stands
+    block_places: list[int] = []  # where block-level tags stand
     here, links, at = OPEN, 0, 0
-    raw_end = None
-    saw_article = False
+    last_end = page.rfind(">")  # beyond it nothing can be a whole tag
 
     def flush() -> None:
         nonlocal linked
@@ -97,13 +107,16 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def close_to(k: int) -> None:
         nonlocal here, links
-        for name, _ in open_tags[k:]:
+        while len(open_tags) > k:
+            name, _ = open_tags.pop()
             links -= name == "a"
-        del open_tags[k:]
+            places[name].pop()
+            if name in BLOCK_TAGS:
+                block_places.pop()
         here = open_tags[-1][1] if open_tags else OPEN
 
     while True:
-        m = _TAG.search(page, at)
+        m = (_TAG if at <= last_end else _PLAIN_TAG).search(page, at)
         if m is None:
             tail = page[at:]
             cut = tail.rfind("<")
@@ -127,62 +140,77 @@ def blocks_of(page: str | None) -> list[Block]:
                 texts.append(" ")
             if name in BLOCK_TAGS:
                 flush()
-                if name in PARAGRAPH_ENDS:  # a block ends an open paragraph, with what is open inside it
-                    for k in range(len(open_tags) - 1, -1, -1):
-                        if open_tags[k][0] == "p":
-                            close_to(k)
-                            break
-                        if open_tags[k][0] in BLOCK_TAGS:
-                            break
+                # a block ends an open paragraph, with what is open inside it
+                if name in PARAGRAPH_ENDS and block_places and open_tags[block_places[-1]][0] == "p":
+                    close_to(block_places[-1])
             if name in VOID or m[3].endswith("/"):
                 continue
             if name == "a":
                 links += 1
             before = here
-            here = _region(name, m[3], here)
+            here = _mark(name, m[3], here)
             if here != before:
                 ahead, here = here, before
                 flush()
                 here = ahead
-            saw_article |= here == INSIDE
+            places[name].append(len(open_tags))
+            if name in BLOCK_TAGS:
+                block_places.append(len(open_tags))
             open_tags.append((name, here))
         else:
             if name in BLOCK_TAGS:
                 flush()
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == name:
-                    after = open_tags[k - 1][1] if k else OPEN
-                    if after != here:
-                        flush()
-                    close_to(k)
-                    break
-                if name not in BLOCK_TAGS and open_tags[k][0] in BLOCK_TAGS:
-                    break
+            if places[name] and (name in BLOCK_TAGS or not block_places or places[name][-1] > block_places[-1]):
+                k = places[name][-1]
+                if (open_tags[k - 1][1] if k else OPEN) != here:
+                    flush()
+                close_to(k)
     flush()
-    if saw_article:
-        for b in found:
-            b.region = OUTSIDE if b.region == OPEN else b.region
+    read = sum(b.words for b in found if b.mark != SHUT)
+    share = sum(b.words for b in found if b.mark == INSIDE) / read if read else 0.0
+    for b in found:
+        b.beside = share if b.mark == OPEN else 0.0
     return found
 
 
-#: The labelled table. Words and link density of the block before, the block and the block after, region
-#: (0 no article on the page, 1 inside an article, 2 outside it, 3 in a menu, notice or the like), content or not.
+#: The labelled table, of typical blocks: words and link density of the block before, the block and the block after
+#: (0 words: there is none; LONG words: so many or more), mark (0 nothing declared, 1 article, 2 furniture), share of the
+#: page's words that stand in articles beside this block, content or not.
+LONG = 20
 LABELLED = [
-    (0, 0.0, 12, 0.0, 60, 0.0, 1, 1), (9, 0.0, 80, 0.0, 70, 0.0, 1, 1), (80, 0.0, 2, 0.0, 40, 0.1, 1, 1), (30, 0.0, 1, 0.0, 0, 0.0, 1, 1),
-    (5, 1.0, 9, 0.0, 3, 0.0, 1, 1), (3, 1.0, 200, 0.1, 50, 0.0, 1, 1), (40, 0.2, 35, 0.3, 20, 0.0, 1, 1), (60, 0.0, 6, 1.0, 50, 0.0, 1, 1),
-    (0, 0.0, 5, 0.4, 0, 0.0, 1, 1), (12, 0.0, 3, 1.0, 4, 1.0, 1, 1), (70, 0.0, 90, 0.0, 8, 0.0, 1, 1), (4, 0.0, 4, 0.0, 4, 0.0, 1, 1),
-    (0, 0.0, 2, 1.0, 2, 1.0, 3, 0), (2, 1.0, 2, 1.0, 2, 1.0, 3, 0), (2, 1.0, 14, 0.0, 9, 0.0, 3, 0), (90, 0.0, 12, 0.0, 0, 0.0, 3, 0),
-    (60, 0.0, 70, 0.0, 60, 0.0, 3, 0), (20, 0.0, 30, 0.2, 5, 0.0, 3, 0), (8, 0.0, 25, 0.0, 40, 0.0, 3, 0), (1, 0.0, 1, 0.0, 1, 0.0, 3, 0),
-    (0, 0.0, 9, 0.0, 80, 0.0, 2, 0), (80, 0.0, 30, 0.0, 0, 0.0, 2, 0), (3, 1.0, 50, 0.0, 9, 0.0, 2, 0), (0, 0.0, 3, 1.0, 12, 0.0, 2, 0), (30, 0.0, 60, 0.5, 30, 0.5, 2, 0),
-    (0, 0.0, 3, 1.0, 3, 1.0, 0, 0), (3, 1.0, 3, 1.0, 3, 1.0, 0, 0), (3, 1.0, 8, 0.8, 60, 0.0, 0, 0), (40, 0.0, 12, 0.9, 4, 1.0, 0, 0), (4, 1.0, 30, 0.6, 4, 1.0, 0, 0),
-    (3, 1.0, 9, 0.0, 70, 0.0, 0, 1), (9, 0.0, 70, 0.0, 40, 0.0, 0, 1), (70, 0.0, 40, 0.1, 50, 0.0, 0, 1), (50, 0.0, 6, 0.0, 60, 0.0, 0, 1), (60, 0.0, 25, 0.2, 3, 1.0, 0, 1),
-    (0, 0.0, 40, 0.0, 0, 0.0, 0, 1), (2, 1.0, 90, 0.0, 2, 1.0, 0, 1), (0, 0.0, 20, 0.0, 30, 0.0, 0, 1), (25, 0.0, 18, 0.1, 0, 0.0, 0, 1),
-    (4, 1.0, 4, 0.0, 4, 1.0, 0, 1), (3, 0.0, 4, 0.0, 3, 0.0, 0, 1), (3, 1.0, 5, 0.0, 2, 0.0, 0, 1), (50, 0.0, 4, 0.0, 3, 1.0, 0, 1), (2, 0.0, 3, 0.6, 0, 0.0, 0, 0), (60, 0.0, 40, 0.7, 30, 0.0, 0, 0),
-    (0, 0.0, 3, 0.0, 0, 0.0, 0, 1), (0, 0.0, 1, 0.0, 0, 0.0, 0, 1), (0, 0.0, 8, 0.0, 0, 0.0, 0, 1),
+    # articles: text of any length and among any neighbours
+    (0, 0.0, 12, 0.0, 20, 0.0, 1, 0.0, 1), (9, 0.0, 20, 0.0, 20, 0.0, 1, 0.0, 1), (20, 0.0, 2, 0.0, 20, 0.1, 1, 0.0, 1), (20, 0.0, 1, 0.0, 0, 0.0, 1, 0.0, 1), (5, 1.0, 9, 0.0, 3, 0.0, 1, 0.0, 1),
+    (3, 1.0, 20, 0.1, 20, 0.0, 1, 0.0, 1), (20, 0.2, 20, 0.3, 20, 0.0, 1, 0.0, 1), (0, 0.0, 5, 0.4, 0, 0.0, 1, 0.0, 1), (20, 0.0, 20, 0.0, 8, 0.0, 1, 0.0, 1), (4, 0.0, 4, 0.0, 4, 0.0, 1, 0.0, 1),
+    (2, 1.0, 3, 0.0, 4, 1.0, 1, 0.0, 1), (3, 1.0, 7, 0.0, 2, 1.0, 1, 0.0, 1), (6, 1.0, 5, 0.1, 3, 1.0, 1, 0.0, 1), (4, 1.0, 6, 0.0, 0, 0.0, 1, 0.0, 1), (2, 1.0, 2, 0.2, 0, 0.0, 1, 0.0, 1), (5, 1.0, 12, 0.0, 9, 1.0, 1, 0.0, 1),
+    # and single links, but no lists of links between links
+    (20, 0.0, 6, 1.0, 20, 0.0, 1, 0.0, 1), (12, 0.0, 3, 1.0, 20, 0.0, 1, 0.0, 1), (6, 0.0, 6, 1.0, 2, 0.0, 1, 0.0, 1), (0, 0.0, 20, 0.7, 20, 0.0, 1, 0.0, 1), (20, 0.0, 4, 1.0, 0, 0.0, 1, 0.0, 1), (20, 0.0, 5, 1.0, 9, 0.2, 1, 0.0, 1),
+    (4, 1.0, 4, 1.0, 4, 1.0, 1, 0.0, 0), (6, 1.0, 5, 1.0, 7, 1.0, 1, 0.0, 0), (3, 1.0, 3, 0.9, 3, 1.0, 1, 0.0, 0), (8, 1.0, 9, 1.0, 6, 1.0, 1, 0.0, 0), (5, 0.9, 8, 0.9, 9, 0.9, 1, 0.0, 0), (12, 1.0, 12, 1.0, 12, 1.0, 1, 0.0, 0),
+    # furniture
+    (0, 0.0, 2, 1.0, 2, 1.0, 2, 0.0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 2, 0.0, 0), (2, 1.0, 14, 0.0, 9, 0.0, 2, 0.0, 0), (20, 0.0, 12, 0.0, 0, 0.0, 2, 0.0, 0), (20, 0.0, 20, 0.0, 20, 0.0, 2, 0.0, 0), (20, 0.0, 20, 0.2, 5, 0.0, 2, 0.0, 0),
+    (8, 0.0, 20, 0.0, 20, 0.0, 2, 0.0, 0), (1, 0.0, 1, 0.0, 1, 0.0, 2, 0.0, 0), (0, 0.0, 20, 0.0, 0, 0.0, 2, 0.0, 0), (20, 0.0, 20, 0.0, 20, 0.1, 2, 0.0, 0), (9, 0.0, 9, 0.0, 9, 0.0, 2, 0.0, 0), (0, 0.0, 5, 0.0, 20, 0.0, 2, 0.0, 0),
+    # beside an article that holds a good part of the page
+    (0, 0.0, 9, 0.0, 20, 0.0, 0, 0.9, 0), (20, 0.0, 20, 0.0, 0, 0.0, 0, 0.8, 0), (3, 1.0, 20, 0.0, 9, 0.0, 0, 0.7, 0), (0, 0.0, 3, 1.0, 12, 0.0, 0, 0.95, 0), (20, 0.0, 20, 0.4, 20, 0.5, 0, 0.6, 0), (20, 0.0, 20, 0.0, 20, 0.0, 0, 0.5, 0),
+    (20, 0.0, 20, 0.0, 0, 0.0, 0, 0.6, 0), (2, 1.0, 12, 0.0, 20, 0.0, 0, 0.9, 0), (20, 0.0, 20, 0.0, 20, 0.0, 0, 0.75, 0), (9, 0.0, 5, 0.0, 0, 0.0, 0, 0.5, 0), (0, 0.0, 6, 0.0, 9, 0.0, 0, 0.55, 0), (12, 0.0, 9, 0.0, 20, 0.0, 0, 0.8, 0),
+    # beside a marked part that holds little of it: a heading, a teaser
+    (8, 0.0, 20, 0.0, 20, 0.0, 0, 0.05, 1), (20, 0.0, 20, 0.0, 20, 0.0, 0, 0.1, 1), (20, 0.0, 20, 0.1, 3, 1.0, 0, 0.02, 1), (20, 0.0, 9, 0.0, 20, 0.0, 0, 0.2, 1),
+    # pages that declare nothing: link lists, linked teasers, mostly linked text
+    (0, 0.0, 3, 1.0, 3, 1.0, 0, 0.0, 0), (3, 1.0, 3, 1.0, 3, 1.0, 0, 0.0, 0), (3, 1.0, 8, 0.8, 20, 0.0, 0, 0.0, 0), (20, 0.0, 12, 0.9, 4, 1.0, 0, 0.0, 0), (4, 1.0, 20, 0.6, 4, 1.0, 0, 0.0, 0), (2, 0.0, 3, 0.6, 0, 0.0, 0, 0.0, 0),
+    (20, 0.0, 20, 0.7, 20, 0.0, 0, 0.0, 0), (20, 0.0, 15, 0.8, 20, 0.0, 0, 0.0, 0), (9, 0.0, 5, 1.0, 0, 0.0, 0, 0.0, 0), (0, 0.0, 5, 1.0, 0, 0.0, 0, 0.0, 0), (20, 0.0, 6, 1.0, 20, 0.0, 0, 0.0, 0), (20, 0.0, 3, 1.0, 0, 0.0, 0, 0.0, 0),
+    # short text amid links, or after the last of them: a label of a menu, a notice under it
+    (3, 1.0, 4, 0.0, 3, 1.0, 0, 0.0, 0), (2, 1.0, 7, 0.0, 2, 1.0, 0, 0.0, 0), (5, 1.0, 9, 0.2, 4, 0.9, 0, 0.0, 0), (4, 1.0, 2, 0.0, 6, 1.0, 0, 0.0, 0), (3, 1.0, 12, 0.0, 9, 1.0, 0, 0.0, 0), (9, 0.9, 11, 0.1, 3, 1.0, 0, 0.0, 0),
+    (3, 1.0, 8, 0.0, 0, 0.0, 0, 0.0, 0), (2, 1.0, 6, 0.0, 0, 0.0, 0, 0.0, 0), (6, 1.0, 12, 0.0, 0, 0.0, 0, 0.0, 0), (1, 1.0, 3, 0.0, 0, 0.0, 0, 0.0, 0), (4, 0.9, 10, 0.2, 0, 0.0, 0, 0.0, 0),
+    # long text amid links
+    (2, 1.0, 20, 0.0, 2, 1.0, 0, 0.0, 1), (4, 1.0, 20, 0.0, 5, 1.0, 0, 0.0, 1), (3, 1.0, 20, 0.1, 0, 0.0, 0, 0.0, 1), (6, 1.0, 18, 0.1, 3, 1.0, 0, 0.0, 1), (5, 1.0, 17, 0.2, 0, 0.0, 0, 0.0, 1), (3, 1.0, 20, 0.0, 9, 1.0, 0, 0.0, 1),
+    # headings and paragraphs
+    (3, 1.0, 9, 0.0, 20, 0.0, 0, 0.0, 1), (2, 1.0, 4, 0.0, 20, 0.0, 0, 0.0, 1), (4, 1.0, 7, 0.0, 12, 0.0, 0, 0.0, 1), (2, 1.0, 12, 0.0, 20, 0.1, 0, 0.0, 1), (3, 1.0, 5, 0.0, 9, 0.0, 0, 0.0, 1), (1, 1.0, 3, 0.0, 3, 0.0, 0, 0.0, 1),
+    (9, 0.0, 20, 0.0, 20, 0.0, 0, 0.0, 1), (20, 0.0, 20, 0.1, 20, 0.0, 0, 0.0, 1), (20, 0.0, 6, 0.0, 20, 0.0, 0, 0.0, 1), (20, 0.0, 20, 0.2, 3, 1.0, 0, 0.0, 1), (20, 0.0, 18, 0.1, 0, 0.0, 0, 0.0, 1), (20, 0.0, 9, 0.0, 3, 1.0, 0, 0.0, 1), (20, 0.0, 5, 0.0, 0, 0.0, 0, 0.0, 1),
+    # short pages of text alone
+    (0, 0.0, 3, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0.0, 1, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0.0, 8, 0.0, 0, 0.0, 0, 0.0, 1), (3, 0.0, 4, 0.0, 3, 0.0, 0, 0.0, 1), (0, 0.0, 1, 0.0, 1, 0.0, 0, 0.0, 1), (1, 0.0, 1, 0.0, 0, 0.0, 0, 0.0, 1),
+    (0, 0.0, 5, 0.0, 6, 0.0, 0, 0.0, 1), (6, 0.0, 4, 0.0, 9, 0.0, 0, 0.0, 1), (9, 0.0, 3, 0.0, 2, 1.0, 0, 0.0, 1), (0, 0.0, 9, 0.0, 2, 1.0, 0, 0.0, 1), (6, 0.0, 6, 0.1, 0, 0.0, 0, 0.0, 1),
 ]
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12):
     """A classification tree by Gini impurity: nested (feature, threshold, low, high), leaves 0 or 1 (ties: content)."""
     if depth == 0 or y.min() == y.max():
         return int(2 * y.sum() >= len(y))
@@ -210,11 +238,10 @@ def main_text(page: str | None, tree) -> str:
     """Content blocks of a page, joined by an empty line."""
     found = blocks_of(page)
     kept = []
-    none = (0, 0.0)
+    flat = [(min(b.words, LONG), b.link_density) for b in found]
+    around = [(0, 0.0), *flat, (0, 0.0)]
     for k, b in enumerate(found):
-        before = (found[k - 1].words, found[k - 1].link_density) if k else none
-        after = (found[k + 1].words, found[k + 1].link_density) if k + 1 < len(found) else none
-        figures = (*before, b.words, b.link_density, *after, b.region)
+        figures = (*around[k], *flat[k], *around[k + 2], b.mark, b.beside)
         node = tree
         while isinstance(node, tuple):
             f, t, low, high = node

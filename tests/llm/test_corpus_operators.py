@@ -13,10 +13,11 @@ import numpy as np
 import pytest
 import public_tokenizers
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridstone.llm import bpe, catalog, html_text, packing, quality_bayes, quality_rules, secrets, simhash, syncmers, url_filter, warc
+from gridstone.llm import bpe, catalog, common, html_text, packing, quality_bayes, quality_rules, secrets, simhash, syncmers, url_filter, warc
 
 SMALL = "/root/testdata/sf0.001"
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, bucket string, fp string"
@@ -288,6 +289,61 @@ def test_html_text(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_words_and_links_of_neighbours_decide():
+    """Pages of plain divs: one figure changes at a time, and with it the verdict on the block in the middle."""
+    tree = html_text.trained_tree()
+    link, long = '<div><a href="x">{}</a></div>', "word " * 30
+
+    def keeps(before, block, after):
+        return "middle" in html_text.main_text("".join(before) + f"<div>{block}</div>" + "".join(after), tree)
+
+    links, text = [link.format("home"), link.format("all news")], [f"<div>{long}</div>"]
+    assert not keeps(links, "middle of menu", links)
+    assert keeps(links, "middle " * 30, links)  # its own words
+    assert keeps(text, "middle of menu", links)  # the links of the block before
+    assert keeps(links, "middle of menu", text)  # the words and links of the block after
+    assert not keeps(links, "middle of menu", [])
+    assert keeps([], "middle of menu", [])
+    assert not keeps(text, '<a href="x">middle story teaser</a>', text)  # its own links
+    inside = "<article><p>{}</p>" + "<p><a href=x>related one</a></p>" * 3 + "</article>"
+    assert html_text.main_text(inside.format(long), tree).count("related") < 3
+    heading = '<h1 class="entry-title">Head line</h1>' + text[0] * 3 + "<div>short end</div>"
+    assert html_text.main_text(heading, tree).count("\n\n") == 4  # a marked heading shuts out nothing around it
+    beside = f"<div>teaser text</div><article><p>{long}</p></article><div>{long}</div>"
+    assert html_text.main_text(beside, tree) == long.strip()
+
+
+def plain_blocks(page):
+    """A plain reader of well-formed pages: text between block-level tags, white space made one."""
+    page = re.sub(r"(?s)<(script|style|title)\b.*?</\1>|<!--.*?-->", "", page)
+    tags = "|".join(sorted(html_text.BLOCK_TAGS, key=len, reverse=True))
+    parts = re.split(rf"</?(?:{tags})\b[^>]*>", page)
+    texts = [" ".join(re.sub(r"<br>", " ", p) and re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", p)).split()) for p in parts]
+    import html
+
+    return [" ".join(html.unescape(t).split()) for t in texts if t]
+
+
+def test_pages_against_a_plain_reader(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+    for r in pages.collect():
+        article = re.search(r"(?s)<article>(.*)</article>", r.html)[1]
+        assert [b.text for b in html_text.blocks_of(r.html)] == plain_blocks(r.html)
+        assert got[r.page_id] == "\n\n".join(plain_blocks(article))
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    tree = html_text.trained_tree()
+    n = 100_000
+    for page in ("<div>" * n + "</section>" * n, "</" * n, "<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<a '" * n, "<!" * n + ">", "<p>x" * n):
+        began = time.time()
+        html_text.main_text(page, tree)
+        assert time.time() - began < 8
+
+
 # -- syncmers
 
 
@@ -307,11 +363,11 @@ def brute_sketch(text, k=syncmers.K, s=syncmers.S):
     else:
         inner = [chained(h[i : i + s]) for i in range(len(h) - s + 1)]
         found = {chained(h[i : i + k]) for i in range(len(h) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])}
-    return sorted({x & 0xFFFFFFFF for x in found})[: syncmers.SKETCH]
+    return sorted({x & 0xFFFFFFFF for x in found})
 
 
 def brute_likeness(a, b):
-    both = sorted({*a, *b})[: syncmers.SKETCH]
+    both = sorted({*a, *b})
     return len({*both} & {*a} & {*b}) / len(both) if both else 1.0
 
 
@@ -341,17 +397,26 @@ def test_edited_fingerprints(spark, documents, none_at_all):
     try:
         check(spark.createDataFrame(scattered + [(5, "a b c d"), (4, "e f g h"), (3, ""), (2, "i j k l")], "doc_id long, text string"))
         check(spark.read.parquet(f"{SMALL}/documents.parquet"))
+        far = [-(1 << 63), -(1 << 63) + 1, -5, 0, 7, 8, (1 << 62) + 3, (1 << 63) - 2, (1 << 63) - 1]
+        check(spark.createDataFrame([(k, f"far apart {k} " * 4) for k in far], "doc_id long, text string"))
+        # half of the rows share one id: they are dealt by their texts, and each still has one next row
+        hot = spark.createDataFrame([(k, f"cold text {k} " * 3) for k in range(40)] + [(20, f"hot text {k % 25} " * 3) for k in range(60)], "doc_id long, text string")
+        assert len(set(syncmers._borders(hot.select("doc_id"), 100))) < 49
+        led = syncmers.with_next(hot).select("doc_id", "text", "next_text").collect()
+        assert sorted((r.text for r in led)) == sorted(r.next_text for r in led) == sorted(r.text for r in hot.collect())
+        by_id = {r.doc_id: r.next_text for r in led if r.doc_id != 20}
+        assert all(by_id[k] == f"cold text {k - 1} " * 3 for k in range(1, 20)) and by_id[0] == "cold text 39 " * 3
     finally:
         syncmers.BUCKET_ROWS = kept
     assert syncmers.edited_fingerprints(none_at_all).count() == 0
 
 
-def test_matched_anchors_keep_their_shift(spark):
+def test_steps_keep_their_shift(spark):
     text = " ".join(f"w{k}" for k in range(60))
-    left = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    right = spark.createDataFrame([(2, "new words first " + text)], "doc_id long, text string")
-    found = syncmers.matched_anchors(left, right).collect()
-    assert len(found) > 20 and {r.right_position - r.left_position for r in found} == {3}
+    df = spark.createDataFrame([(1, text, "new words first " + text, "w1 x " + text[:150])], "doc_id long, a string, b string, c string")
+    r = df.select(*[syncmers.steps(syncmers.anchors(df[c])).alias(c) for c in "abc"]).first()
+    assert len(r.a) > 15 and {*r.a} <= {*r.b}
+    assert 10 < len({*r.a} & {*r.c}) < len(r.a)
 
 
 def test_long_texts_keep_all_anchors_and_their_order(spark):
@@ -369,14 +434,6 @@ def test_long_texts_keep_all_anchors_and_their_order(spark):
     assert 0 < got[7].near_next < 0.01 and 0.6 < got[6].aligned_edited < got[6].near_edited < 0.8
 
 
-def test_matched_anchors_keep_every_place(spark):
-    text = " ".join(f"w{k}" for k in range(30))
-    df = spark.createDataFrame([(1, f"{text} {text}")], "doc_id long, text string")
-    found = syncmers.matched_anchors(df, df).collect()
-    assert {r.left_position for r in found} >= {r.left_position + 30 for r in found if r.left_position < 27}
-    assert all(r.left_position == r.right_position for r in found)
-
-
 # -- WARC
 
 
@@ -486,6 +543,21 @@ def test_bpe_is_exact():
         assert own.decode(ids).decode() == exact.decode(want, skip_special_tokens=False) == text
 
 
+def test_every_code_point_splits_as_the_library_splits_it():
+    own = bpe.ByteBPE(VOCABULARY)
+    theirs = Tokenizer.from_file(VOCABULARY).pre_tokenizer
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(chars), 8192):
+        text = "".join(f"a{c}1{c}!{c} {c}{c}" for c in chars[at : at + 8192])
+        split = own.split_moved if own.moved.search(text) else own.split
+        assert [m.span() for m in split.finditer(text)] == [span for _, span in theirs.pre_tokenize_str(text)]
+    exact = Tokenizer.from_file(VOCABULARY)
+    odd = [chars[k] for k in range(0, 0x3000)] + [c for c in chars if own.moved.match(c)][::7]
+    for at in range(0, len(odd), 1024):
+        text = "".join(f"a{c}1{c} {c}" for c in odd[at : at + 1024])
+        assert own.encode(text)[0].tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
 def test_round_trips(spark, documents, none_at_all):
     exact = Tokenizer.from_file(VOCABULARY)
     want = []
@@ -620,6 +692,35 @@ def test_pipeline_drops_copies_of_similarity_0_8(spark, none_at_all):
     assert simhash.keep_first_similar(none_at_all).count() == 0
 
 
+def test_large_candidate_components_are_compared_in_slices(spark):
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(40):  # a chain from text to text, and a family around the first
+        words = list(base)
+        for at in range(3 * (k % 20), 3 * (k % 20) + 3):
+            words[at % 120] = f"x{k}"
+        texts.append(" ".join(words))
+        base = words if k >= 20 else base
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_similar(texts)
+    for group in (10**9, 300):
+        root = {r.doc_id: r.root for r in simhash.similar_components(df, group).collect()}
+        first = {}
+        for k in range(len(texts)):
+            first.setdefault(root[k], k)
+        assert [first[root[k]] for k in range(len(texts))] == want
+
+
+def test_hot_keys_join_as_others_do(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 100, k) for k in range(300)] + [(None, -1)], "key long, row long")
+    keyed = rows.where("key is not null and key <> 5").groupBy("key").agg(F.count("*").alias("n"), F.max("row").alias("most"))
+    want = {how: plain(rows.join(keyed.drop("n"), "key", how), "key", "row", "most") for how in ("inner", "left")}
+    monkeypatch.setattr(common, "HOT_LEAST", 50)
+    assert {how: plain(common.join_hot(rows, keyed, "key", "n", how), "key", "row", "most") for how in ("inner", "left")} == want
+
+
 def test_similar_groups_are_exact():
     rng = np.random.default_rng(4)
     for few in (0, simhash.FEW):
