@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridstone.functions.expressions import cascade, clamp, cosine, jaccard, ratio, tone_label, words
 from gridstone.operators.relational import insert_new, keyset_page, upsert
-from gridstone.sources.tables import as_of, feed, hours_ago, sql, table
+from gridstone.sources.tables import AS_OF, articles, as_of, feed, hours_ago, sql, table
 
 LONG = "bigint"
 
@@ -91,9 +91,13 @@ def _severity(z: Column) -> Column:
     return cascade([(z >= 4, "CRITICAL"), (z >= 3, "HIGH")], "MEDIUM")
 
 
-def spikes(articles: DataFrame, bucket: str = "hour", least: float = 2.5, days: int = 7) -> DataFrame:
+#: Reference time of the registered spike query: in the feed's midst, so that the newest hour has neighbours on all sizes of the tables.
+SPIKE_TIME = "2024-01-12 17:00:00"
+
+
+def spikes(articles: DataFrame, bucket: str = "hour", least: float = 2.5, days: int = 7, as_of: str = AS_OF) -> DataFrame:
     """Clusters whose newest bucket before the reference time stands out from the closed, non-empty buckets of the days before."""
-    counts = articles.where(F.col("published_at") < as_of()).groupBy("cluster", F.date_trunc(bucket, "published_at").cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("n"))
+    counts = articles.where(F.col("published_at") < F.lit(as_of).cast("timestamp_ntz")).groupBy("cluster", F.date_trunc(bucket, "published_at").cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("n"))
     newest = counts.agg(F.max("bucket").alias("newest"))  # one row
     placed = counts.crossJoin(F.broadcast(newest)).where(F.col("bucket") >= F.expr(f"newest - interval {days} days"))
     base = placed.where("bucket < newest").groupBy("cluster").agg(F.avg("n").alias("mean"), F.stddev("n").alias("spread"))
@@ -139,11 +143,11 @@ def controversy(articles: DataFrame) -> DataFrame:
     return rows.select("entity", F.date_format("day", "yyyy-MM-dd").alias("day"), "mentions", "controversy", cascade([(c >= 65, "HIGH"), (c >= 35, "MEDIUM"), (c >= 10, "LOW")], "MINIMAL").alias("label"), "change", trend.alias("trend"))
 
 
-def regulatory_tags(documents: DataFrame, patterns=TAG_PATTERNS) -> DataFrame:
-    """doc_id, tag, confidence: each tag of a text once, with its greatest confidence. The patterns are literals, so no join is needed."""
-    upper = F.upper(F.coalesce("text", F.lit("")))
+def regulatory_tags(documents: DataFrame, patterns=TAG_PATTERNS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The key, tag, confidence: each tag of a text once, with its greatest confidence. The patterns are literals, so no join is needed."""
+    upper = F.upper(F.coalesce(text, F.lit("")))
     hits = F.filter(F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(c).alias("confidence"), F.contains(upper, F.lit(p)).alias("hit")) for t, c, p in patterns]), lambda s: s["hit"])
-    return documents.select("doc_id", F.explode(hits).alias("h")).groupBy("doc_id", F.col("h.tag").alias("tag")).agg(F.max("h.confidence").alias("confidence"))
+    return documents.select(key, F.explode(hits).alias("h")).groupBy(key, F.col("h.tag").alias("tag")).agg(F.max("h.confidence").alias("confidence"))
 
 
 def regulatory_risk(articles: DataFrame) -> DataFrame:
@@ -243,17 +247,20 @@ def near_titles(titles: DataFrame, least: float = 0.58, contained: int = 4, leas
     """low_id, high_id, likeness: near-duplicates among the first articles of title classes (membership: title_classes).
 
     Near are titles of which the smaller has `contained` words at least and lies in the larger,
-    or the larger has `least_words` and their word overlap is `least`. With n words in the
-    smaller, at least ceil(least * n) of them are common then, so one of its n - ceil(least * n) + 1
-    rarest words is in the larger: only those are joined, against all words of the others.
+    or the larger has `least_words` and their word overlap is `least`. Two exact arms find them.
+    Overlap: at least ceil(least * n) of a title's n words are common then, so two such titles
+    share one of their n - ceil(least * n) + 1 rarest words, and their sizes differ by that share at
+    most. Containment: the rarest word of the smaller is in the larger.
     """
     sets = title_classes(titles).where("doc_id = first_id").select(F.col("doc_id").alias("id"), "tokens").distinct()
     spread = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    rare = spread.groupBy("token").agg(F.count("*").alias("df"))
-    order = W.partitionBy("id").orderBy("df", "token")
-    ranked = spread.join(rare, "token").withColumn("k", F.row_number().over(order))
-    probes = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select(F.col("id").alias("a"), F.col("n").alias("an"), "token")
-    met = probes.join(spread.select(F.col("id").alias("b"), F.col("n").alias("bn"), "token"), "token").where("a <> b and an <= bn").select("a", "b").distinct()
+    frequency = spread.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = spread.join(frequency, "token").withColumn("k", F.row_number().over(W.partitionBy("id").orderBy("df", "token")))
+    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    side = lambda rows, x: rows.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), "token")
+    overlap = side(prefix, "a").join(side(prefix.where(F.col("n") >= least_words), "b"), "token").where((F.col("an") <= F.col("bn")) & (F.col("an") >= F.lit(least) * F.col("bn") - 1e-9))
+    within = side(ranked.where((F.col("k") == 1) & (F.col("n") >= contained)), "a").join(side(spread, "b"), "token").where("an <= bn")
+    met = overlap.select("a", "b").union(within.select("a", "b")).where("a <> b").distinct()
     both = met.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     small, large = F.size("x"), F.size("y")
     like = jaccard(F.col("x"), F.col("y"))
@@ -261,10 +268,11 @@ def near_titles(titles: DataFrame, least: float = 0.58, contained: int = 4, leas
     return both.where(near).select(F.least("a", "b").alias("low_id"), F.greatest("a", "b").alias("high_id"), F.round(like, 4).alias("likeness")).distinct()
 
 
-def quotes(rows: DataFrame) -> DataFrame:
-    """Spans in double quotes of 20 to 240 characters per source row."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit('"([^"\\n]{20,240})"'), F.lit(1))
-    return rows.select("conv_id", "turn", F.explode(found).alias("quote"))
+def quotes(rows: DataFrame, key: str = "guid", text: str = "title") -> DataFrame:
+    """Spans in double quotes of 20 to 240 characters per row, and whether somebody is named as saying them."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit('"([^"\\n]{20,240})"'), F.lit(1))
+    said = F.regexp_like(F.coalesce(text, F.lit("")), F.lit('[A-Z][a-z]+ (said|says|told) "'))
+    return rows.select(key, said.alias("attributed"), F.explode(found).alias("quote"))
 
 
 def html_clean(pages: DataFrame) -> DataFrame:
@@ -331,11 +339,11 @@ QUERIES = {
     "cluster_momentum_v2": _news(momentum_v2),
     "cluster_momentum_heuristic": _news(momentum_heuristic),
     "momentum_72h_labels": _news(momentum_72h),
-    "spike_zscore": _news(lambda a: spikes(a, "day", 0.0)),
+    "spike_zscore": _news(lambda a: spikes(a, as_of=SPIKE_TIME)),
     "spike_alert_dedupe": _news(spike_alerts),
     "entity_sentiment_daily_delta": _news(entity_sentiment),
     "controversy_history": _news(controversy),
-    "regulatory_tags_like": _of("documents", regulatory_tags),
+    "regulatory_tags_like": lambda s, d: regulatory_tags(articles(s, d), key="guid", text="title"),
     "regulatory_risk_full_outer": _news(regulatory_risk),
     "risk_v2": _news(risk_v2),
     "semantic_clusters": _of("embeddings", semantic_clusters),
@@ -345,7 +353,7 @@ QUERIES = {
     "top_tokens": _of("conversations", top_tokens),
     "near_dup_titles": lambda s, d: near_titles(_titles(s, d)),
     "title_key_dedupe": lambda s, d: title_classes(_titles(s, d)).select("doc_id", "first_id"),
-    "quote_extract": _of("conversations", quotes),
+    "quote_extract": lambda s, d: quotes(articles(s, d)),
     "html_clean": _of("pages", html_clean),
     "latest_by_source": _of("pages", latest_by_source),
     "timeline_day_hour": _news(timeline),
@@ -385,10 +393,10 @@ select *, case when velocity >= 2 then 'surging' when velocity >= 1.2 then 'risi
  count(*) filter (where age < 48) as a48, count(*) as a72 from aged where age between 0 and 71 group by entity), v as (select *, a24 - (a48 - a24) as velocity from h)
 select entity, a1, a6, a24, a48, a72, velocity, least(100, 5 * a1 + 3 * a6 + 2 * a24 + a72) as momentum, case when a1 >= 5 then 'SURGING' when velocity > 3 then 'BUILDING'
  when abs(velocity) < 3 then 'STABLE' when velocity < -3 then 'FADING' when a24 = 0 then 'DEAD' else 'STABLE' end as label from v""", "feed"),
-    "spike_zscore": sql(f""", c as (select cluster, date_trunc('day', published_at) as bucket, count(*) as n from feed where published_at < timestamp '2024-01-31' group by 1, 2),
+    "spike_zscore": sql(f""", c as (select cluster, date_trunc('hour', published_at) as bucket, count(*) as n from feed where published_at < timestamp '{SPIKE_TIME}' group by 1, 2),
 p as (select * from c where bucket >= (select max(bucket) from c) - interval 7 days), b as (select cluster, avg(n) as mean, stddev_samp(n) as spread from p where bucket < (select max(bucket) from c) group by 1),
 j as (select cluster, n, mean, spread, (n - mean) / nullif(spread, 0) as z from p join b using (cluster) where bucket = (select max(bucket) from c))
-select cluster, n as current, round(mean, 4) as mean, round(spread, 4) as spread, round(z, 4) as z, {_SEVERITY} from j where z > 0""", "feed"),
+select cluster, n as current, round(mean, 4) as mean, round(spread, 4) as spread, round(z, 4) as z, {_SEVERITY} from j where z > 2.5""", "feed"),
     "spike_alert_dedupe": sql(f""", c as (select cluster, date_trunc('hour', published_at) as bucket, count(*) as n from feed group by 1, 2),
 z as (select *, (n - avg(n) over w) / nullif(stddev_samp(n) over w, 0) as z from c window w as (partition by cluster order by bucket range between interval 168 hours preceding and interval 1 hour preceding)),
 g as (select *, date_diff('hour', lag(bucket) over (partition by cluster order by bucket), bucket) as gap from z where z > 2)
@@ -406,7 +414,7 @@ c as (select entity, day, mentions, round(cast(0.35 as double) * (100.0 * negati
 l as (select *, round(controversy - lag(controversy) over (partition by entity order by day), 3) as change from c)
 select entity, strftime(day, '%Y-%m-%d') as day, mentions, controversy, case when controversy >= 65 then 'HIGH' when controversy >= 35 then 'MEDIUM' when controversy >= 10 then 'LOW' else 'MINIMAL' end as label,
  change, case when change > 3 then 'rising' when change < -3 then 'falling' else 'stable' end as trend from l""", "feed"),
-    "regulatory_tags_like": "select doc_id, tag, max(confidence) as confidence from documents join (values " + ", ".join(f"('{t}', cast({c} as double), '{p}')" for t, c, p in TAG_PATTERNS) + ") v(tag, confidence, pattern) on contains(upper(coalesce(text, '')), pattern) group by 1, 2",
+    "regulatory_tags_like": sql("select guid, tag, max(confidence) as confidence from articles join (values " + ", ".join(f"('{t}', cast({c} as double), '{p}')" for t, c, p in TAG_PATTERNS) + ") v(tag, confidence, pattern) on contains(upper(title), pattern) group by 1, 2", "feed", "articles"),
     "regulatory_risk_full_outer": sql(""", n as (select entity, count(*) filter (where label = 'negative') as inv, count(*) filter (where label = 'negative' and priority >= 60) as pen,
  count(*) filter (where source = 'official') as fia, count(*) filter (where priority >= 80) as con from aged where age between 0 and 719 group by entity),
 r as (select entity, round(cast(0.4 as double) * least(100, 40 * inv) + cast(0.3 as double) * least(100, 25 * pen) + cast(0.2 as double) * least(100, 20 * fia) + cast(0.1 as double) * least(100, con), 3) as risk from n where inv + pen + fia + con > 0)
@@ -430,7 +438,7 @@ select doc_id, round((p - q) / greatest(3, p + q), 5) as sentiment from n""",
 p as (select a.id as low_id, b.id as high_id, len(list_intersect(a.t, b.t)) as k, least(a.n, b.n) as small, greatest(a.n, b.n) as large from f a join f b on a.id < b.id)
 select low_id, high_id, round(k / (small + large - k), 4) as likeness from p where (small >= 4 and k = small) or (large >= 5 and k / (small + large - k) >= 0.58)""",
     "title_key_dedupe": _TITLES + " select doc_id, first_id from c",
-    "quote_extract": """select conv_id, turn, unnest(regexp_extract_all(coalesce(text, ''), '"([^"\\n]{20,240})"', 1)) as quote from conversations""",
+    "quote_extract": sql("""select guid, regexp_matches(title, '[A-Z][a-z]+ (said|says|told) "') as attributed, unnest(regexp_extract_all(title, '"([^"\\n]{20,240})"', 1)) as quote from articles""", "feed", "articles"),
     "html_clean": r"""select page_id, trim(regexp_extract(coalesce(html, ''), '<title[^>]*>(.*?)</title>', 1, 'is')) as title,
  length(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script.*?</script>|<style.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '[ \t\r\n]+', ' ', 'g'))) as plain_chars from pages""",
     "latest_by_source": "select regexp_extract(url, '^[a-z]+://([^/]+)', 1) as host, max(page_id) as page_id, arg_max(url, page_id) as url, count(*) as pages from pages group by 1",

@@ -361,14 +361,18 @@ def circuit_memory(r: DataFrame, lap: DataFrame) -> DataFrame:
 PRACTICE_WEIGHTS = (0.5, 0.35, 0.15)
 
 
-def practice_pace(lap: DataFrame, cap: float = 0.2, scale: float = 5000.0) -> DataFrame:
-    """Per driver and race: gap of the median lap to the best median of each practice sector, capped and weighted over the sectors that the race has."""
-    medians = lap.where("sector <= 3").groupBy(*RUN, "sector").agg(F.median("lap_ms").alias("m"))
-    weight = F.element_at(F.array(*[F.lit(w) for w in PRACTICE_WEIGHTS]), F.col("sector").cast("int"))
+def practice_pace(lap: DataFrame) -> DataFrame:
+    """Per driver and race: gap of the median lap to the best median of each practice sector, over 5000 and at most 0.2, weighted over the sectors that the race has.
+
+    Laps are in whole cents, so medians are whole half cents; all is summed in them and divided once.
+    """
+    medians = lap.where("sector <= 3").groupBy(*RUN, "sector").agg(F.round(200 * F.median("lap_ms")).cast("bigint").alias("m"))
+    weight = F.element_at(F.array(*[F.lit(round(100 * w)) for w in PRACTICE_WEIGHTS]), F.col("sector").cast("int"))
     best = medians.groupBy(*SESSION, "sector").agg(F.min("m").alias("best"))
     total = best.groupBy(*SESSION).agg(F.sum(weight).alias("total"))
-    loss = -F.least((F.col("m") - F.col("best")) / scale, F.lit(cap)) * weight / F.col("total")
-    return medians.join(best, [*SESSION, "sector"]).join(total, SESSION).groupBy(*RUN).agg(F.round(F.sum(loss), 6).alias("pace"))
+    loss = F.least(F.col("m") - F.col("best"), F.lit(200_000)) * weight
+    rows = medians.join(best, [*SESSION, "sector"]).join(total, SESSION).groupBy(*RUN, "total").agg(F.sum(loss).alias("loss"))
+    return rows.select(*RUN, (-F.expr("(2 * loss + total) div (2 * total)") / 1_000_000).alias("pace"))
 
 
 def training_weights(r: DataFrame, since: int = 1998, older: float = 0.55, newer: float = 2.25, latest: float = 2.0, rounds: int = 3) -> DataFrame:
@@ -431,9 +435,10 @@ e as (select round, first(strategy order by k desc, strategy) as common, -sum(p
 select round, races, round(volatility, 3) as volatility, round(front_hold, 3) as front_hold, round(shuffle, 3) as shuffle, round(dnf, 3) as dnf, round(stops, 3) as stops, round(one_stop, 3) as one_stop,
  round(first_stop, 3) as first_stop, round(early_gain, 3) as early_gain, round(case when kinds > 1 then h / ln(kinds) else 0 end, 3) as entropy, coalesce(common, 'UNKNOWN') as common,
  case when early_gain >= 0.8 then 'undercut_friendly' when one_stop >= 0.58 and volatility <= 2.8 then 'track_position' when stops >= 1.7 then 'high_degradation' else 'balanced' end as archetype from g left join e using (round)""", "results", "laps"),
-    "practice_pace": sql(""", m as (select season, round, driver, sector, median(lap_ms) as m from laps where sector <= 3 group by 1, 2, 3, 4),
-b as (select *, [cast(0.5 as double), 0.35, 0.15][sector] as w from (select season, round, sector, min(m) as best from m group by 1, 2, 3)), t as (select season, round, sum(w) as total from b group by 1, 2)
-select season, round, driver, round(sum(-least((m - best) / 5000.0, cast(0.2 as double)) * w / total), 6) as pace from m join b using (season, round, sector) join t using (season, round) group by 1, 2, 3""", "laps"),
+    "practice_pace": sql(""", m as (select season, round, driver, sector, cast(round(200 * median(lap_ms)) as bigint) as m from laps where sector <= 3 group by 1, 2, 3, 4),
+b as (select *, [50, 35, 15][sector] as w from (select season, round, sector, min(m) as best from m group by 1, 2, 3)), t as (select season, round, sum(w) as total from b group by 1, 2),
+s as (select season, round, driver, total, sum(least(m - best, 200000) * w) as loss from m join b using (season, round, sector) join t using (season, round) group by 1, 2, 3, 4)
+select season, round, driver, -((2 * loss + total) // (2 * total)) / 1000000.0 as pace from s""", "laps"),
     "training_weights": sql(""", c as (select distinct season, round from results), m as (select season as s, round - 3 as k from c order by season desc, round desc limit 1)
 select season, round, round(case when season < 1998 then cast(0.55 as double) else cast(2.25 as double) end * case when season > s or season = s and round >= k then 2 else 1 end, 4) as weight from c, m""", "results"),
     "standings_top": sql(""", l as (select * from results where season = (select max(season) from results)),

@@ -39,6 +39,25 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Invented headlines that feed rows take in turn.
+HEADLINES = (
+    "Stewards open investigation after crash, FIA confirms", "Norris takes pole in qualifying!", "Ferrari handed grid drop penalty for unsafe release",
+    "McLaren bring upgrade to practice session", 'Hamilton said "we had the pace all afternoon but not the luck" after the race', "Technical directive: FIA issues clarification on floor flex",
+    "Red Bull deny cost cap rumours! Fans call it a scandal!!", "Contract talks: rookie seat at Williams", "FP2 pace analysis, long runs and tyres",
+    "Team announces sponsor", "Mercedes and Aston Martin protest result, appeal follows", "Great win for Alpine, best weekend so far",
+)
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed with title, raw summary and url, invented from each row's id and source."""
+    title = F.element_at(F.array(*[F.lit(h) for h in HEADLINES]), (F.col("guid") % len(HEADLINES) + 1).cast("int"))
+    tail = F.when(F.col("source") == "official", F.lit(" &amp; more. About the FIA Thursday, calendar"))
+    tail = tail.when(F.col("source") == "reddit", F.concat(F.lit("  submitted by /u/fan"), F.col("guid").cast("string"), F.lit(" [link] [comments]")))
+    tail = tail.otherwise(F.concat(F.lit(" "), F.expr("repeat('Detail of the day. ', cast(guid % 40 as int))")))
+    url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.when(F.col("guid") % 5 == 0, "formula-1/").otherwise("other/"), F.col("guid").cast("string"))
+    return feed(spark, sf_dir).select("*", title.alias("title"), F.concat(title, tail).alias("summary"), url.alias("url"))
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per session and driver: season, round, driver, team, finish, grid, is_dnf, points, revenue.
 
@@ -95,6 +114,9 @@ SQL = {
   case event_type when 'error' then -0.5 when 'purchase' then 0.5 else 0.0 end as score,
   case event_type when 'signup' then 'official' when 'click' then 'reddit' else 'news' end as source from events),
  aged as (select *, cast(floor(date_diff('second', published_at, timestamp '2024-01-31 00:00:00') / 3600.0) as bigint) as age from feed)""",
+    "articles": "articles as (select *, title || case source when 'official' then ' &amp; more. About the FIA Thursday, calendar' when 'reddit' then '  submitted by /u/fan' || guid || ' [link] [comments]'"
+    " else ' ' || repeat('Detail of the day. ', guid % 40) end as summary, 'https://' || source || '.example.com/' || case when guid % 5 = 0 then 'formula-1/' else 'other/' end || guid as url"
+    " from (select *, [" + ", ".join("'" + h.replace("'", "''") + "'" for h in HEADLINES) + f"][cast(guid % {len(HEADLINES)} + 1 as int)] as title from aged))",
     "daily": """daily as (select cluster, cast(published_at as date) as day, count(*) as mentions,
   avg(case when priority >= 50 then 0.4 else -0.1 end + cast(score as double)) as tone,
   count(*) filter (where label = 'negative') as negative, count(*) filter (where priority >= 70) as heavy from feed group by 1, 2)""",
