@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridstone.plans import ingest, insight, news, racing, weekend
+from gridstone.plans import entry, ingest, insight, news, racing, weekend
 from gridstone.sources.tables import table
 from gridstone.streaming.incremental import first_seen, hourly_counts
 
@@ -12,6 +12,7 @@ QUERIES: dict = {
     **insight.QUERIES,
     **weekend.QUERIES,
     **ingest.QUERIES,
+    **entry.QUERIES,
     "hourly_counts": lambda s, d: hourly_counts(table(s, d, "events")),
     "first_seen": lambda s, d: first_seen(table(s, d, "events")).select("event_id", "user_id", "event_type"),
 }
@@ -21,6 +22,7 @@ ORACLE_SQL: dict[str, str] = {
     **insight.ORACLE_SQL,
     **weekend.ORACLE_SQL,
     **ingest.ORACLE_SQL,
+    **entry.ORACLE_SQL,
     "hourly_counts": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) as n from events group by 1, 2",
     "first_seen": "select distinct on (event_id) event_id, user_id, event_type from events",
 }
