@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,33 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, how: str
     return few.unionByName(many.select(*rows.columns, *names))
 
 
+#: Bits of a membership filter: 8 MB, whatever is put in.
+FILTER_BITS = 1 << 26
+
+
+def maybe_in(hashes: DataFrame):
+    """A function of a column of 64-bit hashes: false only for hashes that are not in the one column of this table.
+
+    A Bloom filter of fixed size with two bits a hash. It spares shuffles; the exact join that must follow
+    decides. Beyond some ten million hashes it lets ever more rows through, which costs time, not results.
+    """
+    h, mask = F.col(hashes.columns[0]), F.lit(FILTER_BITS - 1)
+    places = hashes.select(F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask))).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS >> 6, dtype=np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def test(column: pd.Series) -> pd.Series:
+        x = column.to_numpy(dtype=np.int64).view(np.uint64)
+        out = np.ones(len(x), dtype=bool)
+        for at in (x & np.uint64(FILTER_BITS - 1), (x >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)):
+            out &= (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        return pd.Series(out)
+
+    return test
+
+
 def labelled_rows(documents: DataFrame, labels: DataFrame, per_class: int, seen) -> list:
     """doc_id, quality, x of at most per_class labelled documents of each quality, by doc_id: x is seen(text).
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import join_hot, materialize
+from gridstone.llm.common import join_hot, materialize, maybe_in
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Levels of the tree, and fingerprints that its vantage points are taken from.
@@ -290,17 +290,13 @@ def keep_first(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Rows that repeat id and fingerprint of the first stay once.
     """
-    return _first_rows(documents, simhash_components(documents, radius), fingerprinted)
-
-
-def _first_rows(documents: DataFrame, found: DataFrame, print_of) -> DataFrame:
-    found = materialize(found, "components")
+    found = materialize(simhash_components(documents, radius), "components")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("first"))
     keep = first.select(F.col("first.doc_id").alias("_gs_keep"), F.col("first.fp").alias("_gs_fp_keep"))
     rows = documents.withColumn("_gs_id", F.col("doc_id").cast("long"))
     if found.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return rows.join(keep, F.col("_gs_id") == F.col("_gs_keep"), "left_semi").select(*documents.columns)
-    rows = rows.withColumn("_gs_fp", print_of(F.col("text")))
+    rows = rows.withColumn("_gs_fp", fingerprinted(F.col("text")))
     same = F.col("_gs_id").eqNullSafe(F.col("_gs_keep")) & (F.col("_gs_fp") == F.col("_gs_fp_keep"))
     return rows.join(keep, same, "left_semi").dropDuplicates(["_gs_id", "_gs_fp"]).select(*documents.columns)
 
@@ -451,7 +447,7 @@ def _large_links(large: DataFrame, keyed: DataFrame, group: int) -> DataFrame:
 
 
 def similar_components(documents: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, fp, root of every row: rows whose five-word shingle sets have a Jaccard similarity of 0.8 or more are linked.
+    """doc_id, text_hash, fp, root of every row: rows whose five-word shingle sets have a Jaccard similarity of 0.8 or more are linked.
 
     Candidates are the pairs that vantage-point shards find within RADIUS bits of five-word
     SimHash fingerprints and, since a similarity of 0.8 lies about ten bits away, pairs that agree
@@ -460,21 +456,26 @@ def similar_components(documents: DataFrame, group: int = GROUP) -> DataFrame:
     `group` shingles are compared in one task, larger ones in slices. fp is a hash of the
     set; equal sets are linked. Texts without words are alike.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", shingled(F.col("text")).alias("s"), fingerprinted(F.col("text"), COPY_WORDS).alias("print"))
-    rows = materialize(rows.select("doc_id", "text", "s.fp", "s.keys", "s.size", "print"), "shingled")
-    sets = materialize(rows.groupBy("fp").agg(F.min("print").alias("print"), F.count("*").alias("n")), "sets")
-    keyed = materialize(rows.select("fp", F.explode("keys").alias("key")).distinct(), "keys")
+    text_hash = F.xxhash64("text")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), shingled(F.col("text")).alias("s"), fingerprinted(F.col("text"), COPY_WORDS).alias("print"))
+    rows = materialize(rows.select("doc_id", "text_hash", "s.fp", "s.keys", "s.size", "print"), "shingled")
+    # one text stands for all of a set
+    sets = rows.groupBy("fp").agg(F.min("print").alias("print"), F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    sets = materialize(sets, "sets")
+    keyed = sets.select("fp", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
-    bands = join_hot(keyed, hubs, "key", "n").where("fp <> low").select("low", F.col("fp").alias("high"))
+    bands = join_hot(keyed, materialize(hubs, "hubs"), "key", "n").where("fp <> low").select("low", F.col("fp").alias("high"))
     prints = materialize(sets.groupBy(F.col("print").alias("fp")).agg(F.min("fp").alias("low"), F.count("*").alias("n")), "prints")
-    alike = join_hot(sets.select("fp", F.col("print").alias("_print")).withColumnRenamed("_print", "print"), prints.withColumnRenamed("fp", "print"), "print", "n")
+    alike = join_hot(sets.select("fp", "print"), prints.withColumnRenamed("fp", "print"), "print", "n")
     at = prints.select("fp", F.col("low").alias("set"))
     close = fingerprint_links(prints.select("fp")).withColumnRenamed("low", "fp").join(at, "fp").select(F.col("set").alias("low"), F.col("high").alias("fp")).join(at, "fp").select("low", F.col("set").alias("high"))
     links = bands.union(alike.where("fp <> low").select("low", F.col("fp").alias("high"))).union(close.select(F.least("low", "high"), F.greatest("low", "high")))
     near = components(links)
-    near = materialize(near.select(F.col("node").alias("fp"), "root").union(near.select("root", "root")).distinct(), "near")
-    # one text stands for all rows of a set; a copied set's rows are combined before they are shuffled
-    texts = rows.join(near, "fp").groupBy("fp", "root").agg(F.min("text").alias("text"), F.max("size").alias("size"))
+    near = near.select(F.col("node").alias("fp"), "root").union(near.select("root", "root")).distinct()
+    near = materialize(near.join(sets.select("fp", "text_hash", "size"), "fp"), "near")
+    # only texts that may be wanted are shuffled; copies are combined before that
+    wanted = documents.select("text", text_hash.alias("text_hash")).where(maybe_in(near.select("text_hash"))("text_hash"))
+    texts = wanted.groupBy("text_hash").agg(F.first("text").alias("text")).join(near, "text_hash").select("fp", "root", "text", "size")
     texts = materialize(texts, "texts")
     weights = materialize(texts.groupBy("root").agg(F.sum("size").alias("weight"), F.count("*").alias("n_root")), "weights")
     small = texts.join(weights.where(F.col("weight") <= group).select("root"), "root")
@@ -490,12 +491,25 @@ def similar_components(documents: DataFrame, group: int = GROUP) -> DataFrame:
         members = join_hot(texts, large.drop("weight").withColumn("weight", F.col("n_root")), "root", "weight")
         found = found.union(components(_large_links(materialize(members, "large"), keyed, group)).select(F.col("node").alias("fp"), "root"))
     found = sets.select("fp", "n").join(found, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
-    return join_hot(rows.select("doc_id", "fp"), materialize(found, "similar"), "fp", "n")
+    return join_hot(rows.select("doc_id", "text_hash", "fp"), materialize(found, "similar"), "fp", "n")
 
 
 def keep_first_similar(documents: DataFrame) -> DataFrame:
-    """As keep_first, for components of similarity 0.8 or more over five-word shingles."""
-    return _first_rows(documents, similar_components(documents), lambda text: shingled(text)["fp"])
+    """documents without the rows of a component of similarity 0.8 other than its first: that with the smallest doc_id, rows without an id last.
+
+    Rows that repeat id and text of the first stay once. Rows that are alone, nearly all, are
+    told by a filter and pass where they are; only the others are shuffled with their texts.
+    """
+    found = materialize(similar_components(documents), "components")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first"), F.count("*").alias("n"))
+    firsts = materialize(first.select("root", F.col("first.doc_id").alias("_gs_keep"), F.col("first.text_hash").alias("_gs_keep_hash"), "n"), "firsts")
+    row_hash = F.xxhash64("doc_id", "text_hash")
+    crowded = join_hot(found, firsts.where("n > 1").select("root", "n"), "root", "n").select(row_hash.alias("row_hash"))
+    rows = documents.withColumn("_gs_id", F.col("doc_id").cast("long")).withColumn("_gs_hash", F.xxhash64("text"))
+    rows = rows.withColumn("_gs_maybe", maybe_in(crowded)(F.xxhash64("_gs_id", "_gs_hash")))
+    same = F.col("_gs_id").eqNullSafe(F.col("_gs_keep")) & (F.col("_gs_hash") == F.col("_gs_keep_hash"))
+    decided = rows.where("_gs_maybe").join(firsts.drop("root", "n"), same, "left_semi").dropDuplicates(["_gs_id", "_gs_hash"])
+    return rows.where("not _gs_maybe").select(*documents.columns).unionByName(decided.select(*documents.columns))
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
