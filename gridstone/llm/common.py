@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: White space of the corpus contracts: space and the characters 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 #: A key with more than one of so many rows, and more than HOT_LEAST rows, is hot.
-HOT_SHARE, HOT_LEAST = 1000, 10_000
+HOT_SHARE, HOT_LEAST = 1000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
