@@ -39,25 +39,32 @@ SHORT_RUN = 16
 SQUARE = 512
 
 
-def simhash(text: str | None, words: int = WORDS) -> int:
-    """Signed 64-bit fingerprint of the word shingles, repeats included."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """64-bit hashes of the word shingles, repeats included; a text of fewer words is one shingle, one without words none."""
     import xxhash
 
     w = (text or "").encode("utf-8", "replace").lower().split()
-    if not w:
-        return 0
-    n = max(1, len(w) - words + 1)
+    n = max(1, len(w) - words + 1) if w else 0
     flat = b" ".join(w)
     sizes = np.fromiter(map(len, w), dtype=np.int64, count=len(w))
     starts = np.cumsum(sizes + 1) - sizes - 1
     ends = (starts + sizes)[min(words, len(w)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(flat[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends.tolist())], dtype=np.uint64)
+    return np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends.tolist())), dtype=np.uint64, count=n)
+
+
+def majority(h: np.ndarray) -> int:
+    """Signed 64-bit fingerprint: the bits that are set in over half the hashes; 0 for none."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(h), 1 << 16):
         part = np.ascontiguousarray(h[at : at + (1 << 16)].astype("<u8"))
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
+def simhash(text: str | None, words: int = WORDS) -> int:
+    """Signed 64-bit fingerprint of the word shingles, repeats included."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprinted(text: Column, words: int = WORDS) -> Column:
@@ -314,12 +321,7 @@ GROUP = 4_000_000
 
 def shingle_set(text: str | None, words: int = COPY_WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; a text of fewer words is one shingle, one without words none."""
-    import xxhash
-
-    w = (text or "").encode("utf-8", "replace").lower().split()
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(w) - words + 1) if w else 0
-    return np.unique(np.array([digest(b" ".join(w[i : i + words]), SEED) for i in range(n)], dtype=np.uint64))
+    return np.unique(shingle_hashes(text, words))
 
 
 def band_keys(shingles: np.ndarray) -> list[int]:
@@ -338,16 +340,25 @@ def band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def shingled(text: Column) -> Column:
-    """struct<fp, keys, size>: a hash of a text's shingle set, the set's band keys and its number of shingles."""
+    """struct<fp, keys, size, print>: a hash of a text's shingle set, the set's band keys, its number of shingles, and the SimHash of all of them.
+
+    A text is hashed once for all four, and only figures of a batch are held.
+    """
 
-    @F.pandas_udf("fp long, keys array<long>, size long")
+    @F.pandas_udf("fp long, keys array<long>, size long, print long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for texts in batches:
-            sets = [shingle_set(t) for t in texts]
-            fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"fp": fp, "keys": [np.array(band_keys(x), dtype=np.uint64).view(np.int64) for x in sets], "size": [len(x) for x in sets]})
+            fp, keys, size, prints = [], [], [], []
+            for t in texts:
+                h = shingle_hashes(t, COPY_WORDS)
+                x = np.unique(h)
+                fp.append(xxhash.xxh64_intdigest(x.tobytes(), SEED))
+                keys.append(np.array(band_keys(x), dtype=np.uint64).view(np.int64))
+                size.append(len(x))
+                prints.append(majority(h))
+            yield pd.DataFrame({"fp": np.array(fp, dtype=np.uint64).view(np.int64), "keys": keys, "size": size, "print": prints}).astype({"size": "int64", "print": "int64"})
 
     return run(text)
 
@@ -457,8 +468,8 @@ def similar_components(documents: DataFrame, group: int = GROUP) -> DataFrame:
     set; equal sets are linked. Texts without words are alike.
     """
     text_hash = F.xxhash64("text")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), shingled(F.col("text")).alias("s"), fingerprinted(F.col("text"), COPY_WORDS).alias("print"))
-    rows = materialize(rows.select("doc_id", "text_hash", "s.fp", "s.keys", "s.size", "print"), "shingled")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), shingled(F.col("text")).alias("s"))
+    rows = materialize(rows.select("doc_id", "text_hash", "s.*"), "shingled")
     # one text stands for all of a set
     sets = rows.groupBy("fp").agg(F.min("print").alias("print"), F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     sets = materialize(sets, "sets")
