@@ -73,11 +73,15 @@ def keyset_page(df: DataFrame, ts: str, key: str, size: int, after: tuple | None
 def stored(df: DataFrame) -> DataFrame:
     """df written to the session's checkpoint folder and read back, so that lost executors don't cost what came before.
 
-    The folder is spark.checkpoint.dir; where that is unset (tests), a temporary one is made.
+    The folder is spark.checkpoint.dir; where that is unset, a local session (tests) gets a temporary one, and a cluster an error.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='gridstone-')}"
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = f"file://{tempfile.mkdtemp(prefix='gridstone-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
