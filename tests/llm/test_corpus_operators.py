@@ -736,3 +736,39 @@ def test_similar_groups_are_exact():
             assert root.tolist() == [seen[k] for k in range(len(sets))]
         finally:
             simhash.FEW = kept
+
+
+def test_posting_lists_and_groups_against_plain_ones():
+    rng = np.random.default_rng(5)
+    for members in (0, 1, 5, 90):
+        base = [rng.integers(0, 400, 60) for _ in range(3)]
+        sets = []
+        for k in range(members):
+            x = base[k % 3].copy()
+            x[: k % 13] = rng.integers(0, 400, k % 13)
+            sets.append(np.unique(x).astype(np.uint64) if k != 3 else np.empty(0, dtype=np.uint64))
+        known, starts, posted, at = simhash.posting_lists(sets)
+        assert known.tolist() == sorted({int(x) for s in sets for x in s})
+        for k, x in enumerate(known):
+            assert posted[starts[k] : starts[k + 1]].tolist() == [j for j, s in enumerate(sets) if x in s]
+        assert known[at].tolist() == [int(x) for s in sets for x in s]
+        if not sets:
+            continue
+        root = list(range(members))
+        before = None
+        while before != root:  # plain relaxation over all similar pairs
+            before = list(root)
+            for i in range(members):
+                for j in range(members):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    if i != j and len(sets[i]) + len(sets[j]) and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                        root[i] = root[j] = min(root[i], root[j])
+        assert simhash.similar_groups(sets).tolist() == root
+
+
+def test_one_pass_gives_the_set_and_the_fingerprint():
+    for text in (None, "", " \n", "one", "a b c d", "a b c d e", "a b c d e " * 40):
+        h = simhash.shingle_hashes(text, 5)
+        assert simhash.majority(h) == simhash.simhash(text, 5)
+        assert (np.unique(h) == simhash.shingle_set(text)).all()
+        assert len(h) == (max(1, len(text.split()) - 4) if text and text.split() else 0)
