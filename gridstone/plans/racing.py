@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridstone.functions.expressions import cascade, clamp, ratio
+from gridstone.functions.expressions import cascade, ratio
 from gridstone.operators.relational import asof_join, islands, previous_mean
 from gridstone.sources.tables import laps, results, sql, table
 
@@ -183,72 +181,6 @@ def model_version(r: DataFrame) -> DataFrame:
     return per.withColumn("n", F.row_number().over(w)).where("n = 1").select(*SESSION, "model")
 
 
-def simulate(r: DataFrame, runs: int = 500, seed: int = 11) -> DataFrame:
-    """Chances of winning and of the podium, mean points and median place of the newest race's starters over simulated races.
-
-    Runs are rows and are simulated where Spark puts them; each has a generator of its own seed,
-    so any split gives the same result. Only the field (one race) is sent along.
-    """
-    newest = r.agg(F.max(F.struct(*SESSION)).alias("m")).select("m.*")
-    field = r.withColumn("form", previous_mean("finish", ["driver"], SESSION, 10)).join(F.broadcast(newest), SESSION).select("driver", "grid", "form", "is_dnf")
-    held = sorted((x.driver, x.grid, x.form) for x in field.collect())  # one race
-    names, grid = np.array([x[0] for x in held], dtype=np.int64), np.array([x[1] for x in held], dtype=float)
-    form = np.array([x[1] if x[2] is None else x[2] for x in held], dtype=float)
-    spread = max(len(held) / 4, 1.0)
-
-    def race(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for run in batch["id"]:
-                rng = np.random.default_rng(seed + int(run))
-                pace = 0.5 * grid + 0.5 * form + rng.normal(0, spread, len(names))
-                pace[rng.random(len(names)) < 0.08] += 10 * len(names)  # retired, behind all others
-                place = np.empty(len(names), dtype=np.int64)
-                place[np.argsort(pace, kind="stable")] = np.arange(1, len(names) + 1)
-                yield pd.DataFrame({"run": run, "driver": names, "place": place})
-
-    from gridstone.sources.tables import POINTS
-
-    points = F.create_map(*[F.lit(x) for k, p in enumerate(POINTS, 1) for x in (k, p)])
-    places = r.sparkSession.range(runs).mapInPandas(race, "run long, driver long, place long")
-    earned = F.coalesce(F.try_element_at(points, F.col("place").cast("int")), F.lit(0))
-    return places.groupBy("driver").agg(F.avg((F.col("place") == 1).cast("int")).alias("win"), F.avg((F.col("place") <= 3).cast("int")).alias("podium"), F.avg(earned).alias("points"), F.median("place").alias("median"))
-
-
-def _model_rows(r: DataFrame) -> DataFrame:
-    from pyspark.ml.feature import Imputer, VectorAssembler
-
-    names = ["form3", "circuit_affinity", "grid_delta", "team_form"]
-    f = features(r).withColumns({c: F.col(c).cast("double") for c in [*names, "finish"]})
-    f = Imputer(strategy="median", inputCols=names, outputCols=names).fit(f).transform(f)
-    return VectorAssembler(inputCols=names, outputCol="features").transform(f)
-
-
-def _clipped(p: DataFrame) -> DataFrame:
-    n = F.max("finish").over(W.partitionBy(*SESSION))
-    return p.select(*RUN, clamp(F.col("prediction"), 1.0, 1e9).alias("p"), n.alias("n")).select(*RUN, F.round(F.least("p", "n"), 4).alias("predicted"))
-
-
-def ridge(r: DataFrame, alpha: float = 50.0) -> DataFrame:
-    """Ridge regression of the finishing place on standardised features, clipped to the field."""
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.regression import LinearRegression
-
-    rows = _model_rows(r)
-    rows = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(rows).transform(rows)
-    n, spread = rows.agg(F.count("*"), F.stddev_pop("finish")).first()
-    if not n or not spread:
-        return _clipped(rows.withColumn("prediction", F.col("finish")))
-    model = LinearRegression(featuresCol="scaled", labelCol="finish", regParam=alpha / n * spread, elasticNetParam=0.0, standardization=False, solver="normal").fit(rows)
-    return _clipped(model.transform(rows))
-
-
-def forest(r: DataFrame, trees: int = 60, depth: int = 6) -> DataFrame:
-    from pyspark.ml.regression import RandomForestRegressor
-
-    rows = _model_rows(r)
-    return _clipped(RandomForestRegressor(labelCol="finish", numTrees=trees, maxDepth=depth, minInstancesPerNode=10, seed=7).fit(rows).transform(rows))
-
-
 def calibration(r: DataFrame) -> DataFrame:
     """Chance of a win by grid place, monotone by isotonic regression; the raw share where there are under 50 rows."""
     from pyspark.ml.regression import IsotonicRegression
@@ -409,7 +341,7 @@ QUERIES = {
     "team_weekend_report": lambda s, d: team_report(results(s, d), laps(s, d)), "completeness_check": _r(completeness), "sessions_with_counts": lambda s, d: session_counts(results(s, d), laps(s, d)),
     "asof_position": positions_as_of, "nearest_weather": nearest, "status_ranges": status_ranges, "telemetry_resample": _l(resample),
     "circuit_memory": lambda s, d: circuit_memory(results(s, d), laps(s, d)), "practice_pace": _l(practice_pace), "training_weights": _r(training_weights), "standings_top": _r(standings),
-    "elo_ratings": _r(elo), "monte_carlo": _r(simulate), "ridge_predict": _r(ridge), "forest_predict": _r(forest), "isotonic_calibration": _r(calibration),
+    "elo_ratings": _r(elo), "isotonic_calibration": _r(calibration),
 }
 
 _Q = """, q0 as (select season, round, driver, min(lap_ms) filter (where sector = 1) as q1, min(lap_ms) filter (where sector = 2) as q2, min(lap_ms) filter (where sector = 3) as q3 from laps group by 1, 2, 3),

@@ -49,19 +49,12 @@ def test_asof_and_islands(spark):
     assert [r.island for r in islands(rows, ["g"], ["k"], "v").orderBy("k").collect()] == [1, 1, 2, 3]
 
 
-def test_simulation_and_ratings(spark):
+def test_ratings_and_calibration(spark):
     r = results(spark, SF)
-    field = r.join(r.agg(F.max(F.struct("season", "round")).alias("m")).select("m.*"), ["season", "round"]).count()
-    sim = racing.simulate(r, runs=200).collect()
-    assert len(sim) == field
-    assert sum(x.win for x in sim) == pytest.approx(1) and sum(x.podium for x in sim) == pytest.approx(min(3, field))
     ratings = racing.elo(r).collect()
     assert len(ratings) == r.count()
     one = spark.createDataFrame([(1, 1, 7, 1)], "season int, round int, driver long, finish int")
     assert racing.elo(one).first().rating == pytest.approx(1400 + 20 * 0.5)
-    for model in (racing.ridge, racing.forest):
-        p = model(r).agg(F.min("predicted"), F.max("predicted"), F.count("*")).first()
-        assert p[0] >= 1 and p[2] == r.count()
     wins = [x.win for x in racing.calibration(r).orderBy("grid").collect()]
     assert wins == sorted(wins, reverse=True)
 
