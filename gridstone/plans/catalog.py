@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridstone.plans import entry, forecast, ingest, insight, news, racing, weekend
+from gridstone.plans import bulletin, entry, forecast, ingest, insight, news, racing, weekend
 from gridstone.sources.tables import table
 from gridstone.streaming.incremental import first_seen, hourly_counts
 
@@ -14,6 +14,7 @@ QUERIES: dict = {
     **ingest.QUERIES,
     **entry.QUERIES,
     **forecast.QUERIES,
+    **bulletin.QUERIES,
     "hourly_counts": lambda s, d: hourly_counts(table(s, d, "events")),
     "first_seen": lambda s, d: first_seen(table(s, d, "events")).select("event_id", "user_id", "event_type"),
 }
@@ -25,6 +26,7 @@ ORACLE_SQL: dict[str, str] = {
     **ingest.ORACLE_SQL,
     **entry.ORACLE_SQL,
     **forecast.ORACLE_SQL,
+    **bulletin.ORACLE_SQL,
     "hourly_counts": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) as n from events group by 1, 2",
     "first_seen": "select distinct on (event_id) event_id, user_id, event_type from events",
 }

@@ -26,6 +26,8 @@ FIRST_LAP_RISK = ((3, 0.01), (10, 0.03), (None, 0.06))
 # Seconds lost in the pit lane, most places gained, fuel in ms a lap, shape and scale of retirements, chance of a safety car in a race, most of them.
 PIT_LOSS, MOST_GAIN, FUEL_MS, SHAPE, SCALE, SAFETY_CAR, MOST_SAFETY_CARS = 21.0, 12, 28, 0.8, 60.0, 0.35, 3
 RACE_LAPS = 58
+#: Simulated races a task takes on, about.
+RUNS_A_TASK = 32
 
 
 def model_features(r: DataFrame) -> DataFrame:
@@ -194,6 +196,7 @@ def simulate_from(state: DataFrame, runs: int = 500, seed: int = 11, race_laps:
         return pd.DataFrame({"run": key[0], "driver": cars["driver"], "place": _drive(cars, seed + key[0], race_laps)})
 
     dealt = state.select("*", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    dealt = dealt.repartition(max(runs // RUNS_A_TASK, 1), "run")  # few bytes but much work: not to be coalesced by size
     places = dealt.groupBy("run").applyInPandas(one, "run int, driver long, place long")
     points = F.create_map(*[F.lit(x) for k, p in enumerate(POINTS, 1) for x in (k, p)])
     earned = F.coalesce(F.try_element_at(points, F.col("place").cast("int")), F.lit(0))
