@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +57,36 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], files: int |
         salt = F.pmod(F.xxhash64(*df.columns), F.lit(files))
         df = df.repartition(*by, salt)
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def export(df: DataFrame, folder: str, formats: Sequence[str] = ("parquet", "csv", "json")) -> None:
+    """Writes df once per format under the folder, replacing what was there; CSV has a header, and JSON keeps null fields."""
+    for kind in formats:
+        writer = df.write.mode("overwrite")
+        if kind == "csv":
+            writer = writer.option("header", True).option("escape", '"')
+        if kind == "json":
+            writer = writer.option("ignoreNullFields", False)
+        writer.format(kind).save(f"{folder}/{kind}")
+
+
+@contextmanager
+def logged(spark: SparkSession, folder: str, job: str) -> Iterator[dict]:
+    """Appends one row to a run log when the block ends, also when it fails: job, seconds, rows (what the block puts in `rows`), status, error."""
+    began, said = time.time(), {"rows": None}
+    status, error = "ok", None
+    try:
+        yield said
+    except Exception as e:
+        status, error = "failed", f"{type(e).__name__}: {e}"[:500]
+        raise
+    finally:
+        row = [(job, round(time.time() - began, 3), said["rows"], status, error)]
+        spark.createDataFrame(row, "job string, seconds double, rows long, status string, error string").write.mode("append").parquet(folder)
+
+
+def has_room(spark: SparkSession, folder: str, most_mb: float = 400.0) -> bool:
+    """Whether a folder, wherever it lies, holds less than a bound; a folder that does not exist has room. New work is not begun without it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not files.exists(path) or files.getContentSummary(path).getLength() < most_mb * 1_000_000
