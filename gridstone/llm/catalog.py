@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridstone.llm import bpe, html_text, packing, quality_bayes, quality_rules, secrets, simhash, syncmers, url_filter, warc
+from gridstone.llm import bpe, clusters, exact_dedup, hard_negatives, html_text, packing, quality_bayes, quality_rules, secrets, simhash, syncmers, url_filter, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_simhash_components": simhash.op10_simhash_components,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_exponion_clusters": clusters.op13_exponion_clusters,
 }
 
 #: Queries that SQL can express; the tests hold the others against brute force.
 ORACLE_SQL = {
     "op3_url_filter": url_filter.oracle(),
     "op7_warc_round_trip": warc.ORACLE,
+    "op11_exact_dedup": exact_dedup.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_exponion_clusters": clusters.oracle(),
 }
