@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
+import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -15,6 +17,25 @@ FEED_DATES = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH
 PLAIN_DATE = "yyyy-MM-dd HH:mm:ss Z"
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; it goes when the session ends.
+
+    Where that is unset, a local session (tests) gets a temporary folder, and a cluster an error.
+    """
+    home = spark.conf.get("spark.checkpoint.dir", None)
+    if not home:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        home = f"file://{tempfile.mkdtemp(prefix='gridstone-')}"
+        spark.conf.set("spark.checkpoint.dir", home)
+    folder = f"{home.rstrip('/')}/gridstone/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)  # only what exists can be marked
+    files.deleteOnExit(path)
+    return folder
+
+
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON files, one object a line; broken lines stay, with their text in _corrupt."""
     return spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)

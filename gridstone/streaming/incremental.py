@@ -1,12 +1,10 @@
-"""Incremental twins of the batch queries: file streams, watermarked windows, deduplication and keyed upserts."""
+"""Incremental twins of the batch queries: file streams, watermarked windows and deduplication."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.operators.relational import upsert
-
 
 def event_stream(spark: SparkSession, folder: str, like: DataFrame, files_per_batch: int = 100) -> DataFrame:
     """A stream of the Parquet files that arrive in a folder, with the schema of `like`."""
@@ -27,21 +25,3 @@ def first_seen(events: DataFrame, key: str = "event_id", late: str = "2 hours")
     if events.isStreaming:
         return events.withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", late).dropDuplicatesWithinWatermark([key]).drop("t")
     return events.dropDuplicates([key])
-
-
-class TableUpsert:
-    """foreachBatch target: keeps the newest row per key in numbered table versions, so a repeated batch gives the same version."""
-
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str], newest_by: str):
-        self.spark, self.folder, self.keys, self.newest_by = spark, folder, keys, newest_by
-
-    def version(self, n: int) -> str:
-        return f"{self.folder}/version={n:08d}"
-
-    def __call__(self, batch: DataFrame, n: int) -> None:
-        struct = F.max(F.struct(self.newest_by, *[c for c in batch.columns if c not in (self.newest_by, *self.keys)])).alias("_r")
-        newest = batch.groupBy(*self.keys).agg(struct).select(*self.keys, "_r.*").select(*batch.columns)
-        if n:
-            target = self.spark.read.schema(batch.schema).parquet(self.version(n - 1))
-            newest = upsert(target, newest, self.keys, when=f"c.{self.newest_by} >= t.{self.newest_by}").drop("action")
-        newest.write.mode("overwrite").parquet(self.version(n))

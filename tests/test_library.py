@@ -12,7 +12,7 @@ from gridstone.operators.relational import asof_join, first_independent, islands
 from gridstone.plans import news, racing, weekend
 from gridstone.sources.files import csv_rows, feed_items, json_rows, write_partitioned
 from gridstone.sources.tables import results, table
-from gridstone.streaming.incremental import TableUpsert, event_stream, first_seen, hourly_counts
+from gridstone.streaming.incremental import event_stream, first_seen, hourly_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,12 +75,6 @@ def test_streams_give_what_tables_give(spark, tmp_path):
     got = {tuple(r) for r in run(hourly_counts(stream), "hours", "complete").collect()}
     twice = events.unionByName(events.limit(5))
     assert got == {tuple(r) for r in hourly_counts(twice).collect()}
-    target = TableUpsert(spark, str(tmp_path / "table"), ["user_id"], "ts")
-    rows = events.select("user_id", "ts", "event_type")
-    target(rows.where("event_id % 2 = 0"), 0)
-    target(rows.where("event_id % 2 = 1"), 1)
-    kept = spark.read.parquet(target.version(1))
-    assert {(r.user_id, r.ts) for r in kept.collect()} == {tuple(r) for r in events.groupBy("user_id").agg(F.max("ts")).collect()}
 
 
 def test_first_independent_against_a_reader(spark):
