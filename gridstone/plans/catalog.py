@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridstone.plans import bulletin, control, entry, forecast, ingest, insight, news, racing, serving, weekend
+from gridstone.plans import bulletin, control, entry, forecast, ingest, insight, news, racing, ratings, serving, weekend
 from gridstone.sources.tables import table
 from gridstone.streaming.incremental import first_seen, hourly_counts
 
@@ -17,6 +17,7 @@ QUERIES: dict = {
     **bulletin.QUERIES,
     **control.QUERIES,
     **serving.QUERIES,
+    **ratings.QUERIES,
     "hourly_counts": lambda s, d: hourly_counts(table(s, d, "events")),
     "first_seen": lambda s, d: first_seen(table(s, d, "events")).select("event_id", "user_id", "event_type"),
 }
@@ -31,6 +32,7 @@ ORACLE_SQL: dict[str, str] = {
     **bulletin.ORACLE_SQL,
     **control.ORACLE_SQL,
     **serving.ORACLE_SQL,
+    **ratings.ORACLE_SQL,
     "hourly_counts": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) as n from events group by 1, 2",
     "first_seen": "select distinct on (event_id) event_id, user_id, event_type from events",
 }

@@ -14,8 +14,6 @@ from gridstone.sources.tables import laps, results, sql, table
 
 SESSION = ["season", "round"]
 RUN = ["season", "round", "driver"]
-#: Weight of a race in the ratings, share of it on a circuit of its own, and what a new driver starts with.
-ELO_K, CIRCUIT_SHARE, NEW_RATING, SEASON_WEIGHT = 40, 0.5, 1400.0, 0.5
 
 
 def stints(lap: DataFrame) -> DataFrame:
@@ -115,34 +113,6 @@ def features(r: DataFrame) -> DataFrame:
     return rows.join(team, ["team", *SESSION], "left")
 
 
-def elo(r: DataFrame) -> DataFrame:
-    """Rating of every driver after every race, and after the races on its circuit alone.
-
-    Ratings run from race to race, and all drivers of a race meet its field: the only state is a
-    rating per driver, so the races, one row each with their finishing order, pass through a
-    single ordered group. Its size is the number of results in the sport's calendar, not of laps.
-    """
-    order = F.sort_array(F.collect_list(F.struct("finish", "driver")))
-    races = r.groupBy(*SESSION).agg(order.alias("order")).withColumn("all", F.lit(1))
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        rating: dict[int, float] = {}
-        local: dict[tuple[int, int], float] = {}
-        out = []
-        for season, rnd, field in batch.sort_values(SESSION)[["season", "round", "order"]].itertuples(index=False):
-            names = [x["driver"] for x in field]
-            n = len(names)
-            for store, keys, k in ((rating, names, ELO_K * SEASON_WEIGHT), (local, [(d, rnd) for d in names], ELO_K * SEASON_WEIGHT * CIRCUIT_SHARE)):
-                before = np.array([store.get(x, NEW_RATING) for x in keys])
-                actual = 1 - np.arange(n) / max(n - 1, 1)
-                expected = 1 / (1 + 10 ** ((before.mean() - before) / 400))
-                store.update(zip(keys, (before + k * (actual - expected)).tolist()))
-            out += [(season, rnd, d, round(rating[d], 4), round(local[d, rnd], 4)) for d in names]
-        return pd.DataFrame(out, columns=["season", "round", "driver", "rating", "circuit_rating"])
-
-    return races.groupBy("all").applyInPandas(run, "season int, round int, driver long, rating double, circuit_rating double")
-
-
 def _last_season(r: DataFrame) -> DataFrame:
     return r.join(F.broadcast(r.agg(F.max("season").alias("season"))), "season")
 
@@ -341,7 +311,7 @@ QUERIES = {
     "team_weekend_report": lambda s, d: team_report(results(s, d), laps(s, d)), "completeness_check": _r(completeness), "sessions_with_counts": lambda s, d: session_counts(results(s, d), laps(s, d)),
     "asof_position": positions_as_of, "nearest_weather": nearest, "status_ranges": status_ranges, "telemetry_resample": _l(resample),
     "circuit_memory": lambda s, d: circuit_memory(results(s, d), laps(s, d)), "practice_pace": _l(practice_pace), "training_weights": _r(training_weights), "standings_top": _r(standings),
-    "elo_ratings": _r(elo), "isotonic_calibration": _r(calibration),
+    "isotonic_calibration": _r(calibration),
 }
 
 _Q = """, q0 as (select season, round, driver, min(lap_ms) filter (where sector = 1) as q1, min(lap_ms) filter (where sector = 2) as q2, min(lap_ms) filter (where sector = 3) as q3 from laps group by 1, 2, 3),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridstone.functions.expressions import tone_label
 from gridstone.operators.relational import asof_join, first_independent, islands, upsert
-from gridstone.plans import news, racing, weekend
+from gridstone.plans import news, racing, ratings, weekend
 from gridstone.sources.files import csv_rows, feed_items, json_rows, write_partitioned
 from gridstone.sources.tables import results, table
 from gridstone.streaming.incremental import event_stream, first_seen, hourly_counts
@@ -51,10 +51,10 @@ def test_asof_and_islands(spark):
 
 def test_ratings_and_calibration(spark):
     r = results(spark, SF)
-    ratings = racing.elo(r).collect()
-    assert len(ratings) == r.count()
+    rated = ratings.elo(r).collect()
+    assert len(rated) == r.count()
     one = spark.createDataFrame([(1, 1, 7, 1)], "season int, round int, driver long, finish int")
-    assert racing.elo(one).first().rating == pytest.approx(1400 + 20 * 0.5)
+    assert ratings.elo(one).first().rating == pytest.approx(1400 + 20 * 0.5)
     wins = [x.win for x in racing.calibration(r).orderBy("grid").collect()]
     assert wins == sorted(wins, reverse=True)
 
