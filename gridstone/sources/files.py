@@ -68,6 +68,34 @@ def feed_items(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("guid").agg(latest).select("guid", "r.*")
 
 
+#: An Atom entry; text elements may bear a type, and links say by `rel` what they lead to.
+FEED_ENTRY = "title string, link array<struct<_href:string,_rel:string>>, id string, published string, updated string, summary string, content string, _corrupt string"
+
+
+def atom_items(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of Atom files in the shape of feed_items: guid (the id, else the link), title, link, summary without markup, published_at, source file.
+
+    The link is the first that is an alternate or says nothing of itself, else the first of all; an empty summary gives way
+    to the content, a missing time of publication to that of the last change. Entries without title or link are left
+    out; an entry that several files repeat appears once, the latest holding.
+    """
+    raw = spark.read.format("xml").option("rowTag", "entry").option("columnNameOfCorruptRecord", "_corrupt").schema(FEED_ENTRY).load(path).withColumn("source", F.input_file_name())
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)<[^>]*>", " "), r"\s+", " "))
+    some = lambda c: F.nullif(plain(F.col(c)), F.lit(""))
+    links = F.filter("link", lambda x: x["_href"].isNotNull() & (F.trim(x["_href"]) != ""))
+    fit = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    link = F.trim(F.coalesce(F.get(fit, F.lit(0))["_href"], F.get(links, F.lit(0))["_href"]))
+    rows = raw.select(link.alias("link"), some("title").alias("title"), F.coalesce(F.nullif(F.trim("id"), F.lit("")), link).alias("guid"), F.coalesce(some("summary"), some("content"), F.lit("")).alias("summary"), F.coalesce(feed_date(F.col("published")), feed_date(F.col("updated"))).alias("published_at"), "source")
+    latest = F.max(F.struct("published_at", "title", "link", "summary", "source")).alias("r")
+    return rows.where("title is not null and link is not null").groupBy("guid").agg(latest).select("guid", "r.*")
+
+
+def all_feed_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items of feeds of either kind under a path, each once; of one that both kinds have, the latest holds."""
+    both = feed_items(spark, path).unionByName(atom_items(spark, path))
+    return both.groupBy("guid").agg(F.max(F.struct("published_at", "title", "link", "summary", "source")).alias("r")).select("guid", "r.*")
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], files: int | None = None) -> None:
     """Replaces the partitions that df has rows of and leaves the others; a repeated run gives the same table.
 
