@@ -12,6 +12,11 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with value worked out once a row, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """top / bottom, null where bottom is 0 or null."""
     return top / F.nullif(bottom, F.lit(0))

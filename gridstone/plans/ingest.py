@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridstone.functions.expressions import cascade, clamp, tone_label
+from gridstone.functions.expressions import cascade, clamp, once, tone_label
 from gridstone.sources.tables import articles, hours_ago, sql
 
 # Markers from which official summaries are cut.
@@ -36,6 +36,14 @@ RULES = (
     ("SPORTING_REGULATION", r"\b(sporting regulation|race control|fia rule|rules breach|parc ferm[eé])\b", 0.88),
     ("POWER_UNIT", r"\b(power unit allocation|engine penalty|power unit penalty)\b", 0.88),
 )
+# Entities that summaries use, with their signs; & comes last, so that nothing is decoded twice.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&#39;", "'"), ("&apos;", "'"), ("&#32;", " "), ("&nbsp;", " "), ("&amp;", "&"))
+# Community feeds' boilerplate: who submitted, links to the thread, empty brackets.
+SUBMITTED, THREAD, EMPTY = r"(?i)\s*submitted by\s*/u/[^\s]+\s*(?:\[[^\]]*\]\s*)*\s*$", r"(?i)\s*\[(?:link|comments?)\]\s*", r"\s*\[\s*\]\s*"
+# Elements whose text is no text, and tags.
+UNREAD, TAGS = r"(?is)<(script|style).*?</\1>", "<[^>]+>"
+#: What every ninth summary has besides, as feeds have it.
+MARKUP = " <script>var a = '<p>no</p>';</script>It&#039;s &apos;that&apos;&#32;&nbsp;&amp;lt; <STYLE>p {}</STYLE><b>bold</b>"
 # Signals of the client's tone and heat.
 GOOD = ("great", "good", "love", "fast", "quick", "strong", "impressive", "win", "wins", "top", "excited", "happy", "best", "clean", "fresh")
 BAD = ("bad", "slow", "awful", "hate", "washed", "terrible", "worse", "worst", "problem", "issue", "off pace", "struggle")
@@ -45,19 +53,20 @@ TEAMS = {"ferrari": "Ferrari", "scuderia": "Ferrari", "mclaren": "McLaren", "mer
 
 
 def clean_summary(raw: Column, source: Column, most: int = 420) -> Column:
-    """Entities and tags decoded, white space made one, a source's boilerplate cut off, at most so many characters."""
+    """Scripts, styles and tags of feeds that have them gone, entities decoded, white space made one, a source's boilerplate cut off, at most so many characters."""
     s = F.coalesce(raw, F.lit(""))
-    s = F.when(source.isin("official", "reddit"), F.regexp_replace(s, "<[^>]*>", " ")).otherwise(s)
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    s = F.when(source.isin("official", "reddit"), F.regexp_replace(F.regexp_replace(s, UNREAD, " "), TAGS, " ")).otherwise(s)
+    for entity, sign in ENTITIES:
         s = F.replace(s, F.lit(entity), F.lit(sign))
-    s = F.trim(F.regexp_replace(s, r"\s+", " "))
-    cut = F.least(*[F.nullif(F.locate(m, s), F.lit(0)) for m in FOOTERS])
-    official = F.when(cut.isNotNull(), F.trim(F.left(s, cut - 1))).otherwise(s)
-    reddit = F.regexp_replace(s, r"(?i)\s*submitted by\s*/u/[^\s]+\s*(?:\[[^\]]*\]\s*)*\s*$", "")
-    reddit = F.regexp_replace(F.regexp_replace(reddit, r"(?i)\s*\[(?:link|comments?)\]\s*", " "), r"\s*\[\s*\]\s*", " ")
-    s = F.when(source == "official", official).when(source == "reddit", reddit).otherwise(s)
-    s = F.trim(F.regexp_replace(s, r"\s+", " "))
-    return F.when(F.length(s) > most, F.concat(F.rtrim(F.left(s, F.lit(most - 1))), F.lit("…"))).otherwise(s)
+    tidy = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+
+    def without_tail(x: Column) -> Column:
+        cut = F.least(*[F.nullif(F.locate(m, x), F.lit(0)) for m in FOOTERS])
+        official = F.when(cut.isNotNull(), F.trim(F.left(x, cut - 1))).otherwise(x)
+        reddit = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, SUBMITTED, ""), THREAD, " "), EMPTY, " ")
+        return F.when(source == "official", official).when(source == "reddit", reddit).otherwise(x)
+
+    return once(tidy(once(tidy(s), without_tail)), lambda x: F.when(F.length(x) > most, F.concat(F.rtrim(F.left(x, F.lit(most - 1))), F.lit("…"))).otherwise(x))
 
 
 def ingested(rows: DataFrame) -> DataFrame:
@@ -84,6 +93,11 @@ def stories(rows: DataFrame) -> DataFrame:
     )
 
 
+def marked_up(rows: DataFrame) -> DataFrame:
+    """Articles with markup, scripts and entities in every ninth summary."""
+    return rows.withColumn("summary", F.concat("summary", F.when(F.col("guid") % 9 == 0, MARKUP).otherwise("")))
+
+
 def regex_tags(rows: DataFrame, days: int = 30) -> DataFrame:
     """guid, tag, confidence of every rule that an article of the last days meets; the rules are literals, so no join is needed."""
     said = F.lower(F.concat_ws(" ", "title", "summary"))
@@ -143,8 +157,8 @@ def named_sources(rows: DataFrame) -> DataFrame:
     urgent, bad = rows.where("priority >= 80").select("cluster", "source"), rows.where("label = 'negative'").select("cluster", "source")
     kind = cascade([(F.lower("source").like("%reddit%"), "community"), (F.lower("source").rlike("official|fia"), "official")], "media")
     both = urgent.union(bad).distinct()
-    names = F.array_join(F.array_sort(F.collect_list("source").over(W.partitionBy("cluster"))), ", ")
-    return both.select("cluster", "source", kind.alias("kind"), names.alias("all_sources"))
+    names = both.groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_list("source")), ", ").alias("all_sources"))  # a list is made once a cluster
+    return both.join(names, "cluster").select("cluster", "source", kind.alias("kind"), "all_sources")
 
 
 def _news(f):
@@ -158,8 +172,8 @@ def _candidates(s, d):
 
 
 QUERIES = {
-    "ingest_articles": _news(lambda a: ingested(a).select("guid", F.col("clean").alias("summary"), "topic", "rank_score", "tier")),
-    "ingest_stories": _news(lambda a: stories(ingested(a))),
+    "ingest_articles": _news(lambda a: ingested(marked_up(a)).select("guid", F.col("clean").alias("summary"), "topic", "rank_score", "tier")),
+    "ingest_stories": _news(lambda a: stories(ingested(marked_up(a)))),
     "regulatory_tags_regex": _news(regex_tags),
     "team_sentiment_daily": _news(team_sentiment),
     "feed_search": _news(lambda a: search(a, "News", "fia")),
@@ -172,8 +186,11 @@ QUERIES = {
 }
 
 _CLEAN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
-_DECODED = "replace(replace(replace(replace(replace(case when source in ('official', 'reddit') then regexp_replace(coalesce(summary, ''), '<[^>]*>', ' ', 'g') else coalesce(summary, '') end, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
-_INGESTED = f"""d as (select *, {_CLEAN.format(_DECODED)} as s, lower(title || ' ' || summary) as said from articles
+_DECODED = "case when source in ('official', 'reddit') then regexp_replace(regexp_replace(regexp_replace(coalesce(summary, ''), '<script.*?</script>', ' ', 'gis'), '<style.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g') else coalesce(summary, '') end"
+for _entity, _sign in ENTITIES:
+    _DECODED = f"replace({_DECODED}, '{_entity}', '{_sign.replace(chr(39), chr(39) * 2)}')"
+_INGESTED = f"""f as (select * replace (summary || case when guid % 9 = 0 then '{MARKUP.replace(chr(39), chr(39) * 2)}' else '' end as summary) from articles),
+d as (select *, {_CLEAN.format(_DECODED)} as s, lower(title || ' ' || summary) as said from f
  where source <> 'official' or regexp_matches(lower(title || ' ' || summary || ' ' || url), '{RELEVANT}')),
 k as (select *, least({", ".join(f"nullif(instr(s, '{m}'), 0)" for m in FOOTERS)}) as cut from d),
 c as (select *, {_CLEAN.format(r"case source when 'official' then case when cut is not null then trim(left(s, cut - 1)) else s end when 'reddit' then regexp_replace(regexp_replace(regexp_replace(s, '\s*submitted by\s*/u/[^\s]+\s*(?:\[[^\]]*\]\s*)*\s*$', '', 'i'), '\s*\[(?:link|comments?)\]\s*', ' ', 'gi'), '\s*\[\s*\]\s*', ' ', 'g') else s end")} as s2,

@@ -86,11 +86,22 @@ def predictive(days: DataFrame) -> DataFrame:
     return s.select("cluster", F.round(ramp, 3).alias("ramp"), F.round("momentum", 4).alias("momentum"), F.round("slope", 5).alias("slope"), score.cast("bigint").alias("score"), way.alias("direction"))
 
 
+#: Series that are compared with each other: those with the most mentions.
+FOREMOST = 200
+
+
+def foremost(days: DataFrame, most: int = FOREMOST) -> DataFrame:
+    """The rows of the series with the most mentions (ties: the first by name): pairs of series are bounded by it, whatever their number."""
+    top = days.groupBy("cluster").agg(F.sum("mentions").alias("m")).orderBy(F.desc("m"), "cluster").limit(most).select("cluster")
+    return days.join(F.broadcast(top), "cluster", "left_semi")
+
+
 def correlations(days: DataFrame, least: int = 5) -> DataFrame:
-    """Pairs of series with enough common days: correlation of mentions and tone, combined, and what they are to each other.
+    """Pairs of the foremost series with enough common days: correlation of mentions and tone, combined, and what they are to each other.
 
     Series meet on the day; the sums of a pair are combined before they are shuffled.
     """
+    days = foremost(days)
     a = days.select("day", F.col("cluster").alias("a"), F.col("mentions").alias("am"), F.col("tone").alias("at"))
     b = days.select("day", F.col("cluster").alias("b"), F.col("mentions").alias("bm"), F.col("tone").alias("bt"))
     c = a.join(b, "day").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("am", "bm").alias("m"), F.corr("at", "bt").alias("t")).where(F.col("n") >= least)

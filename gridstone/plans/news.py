@@ -193,13 +193,23 @@ def semantic_clusters(vectors: DataFrame, pool: int = 400, seed_at: float = 0.25
     return best.unionByName(seeds.select("vec_id", F.col("vec_id").alias("seed_id"), F.lit(1.0).alias("likeness")))
 
 
+#: Labels that may have a prototype: they pass through one row.
+MOST_TOPICS = 1000
+
+
 def prototype_topics(vectors: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Each vector's closest label prototype (mean vector), ties to the smaller label. Prototypes: one row per label, broadcast."""
-    parts = labelled.select("label", F.posexplode("embedding").alias("at", "x")).groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    """Each vector's closest label prototype (mean vector), ties to the smaller label.
+
+    Prototypes of at most MOST_TOPICS labels (more are an error) are one broadcast row; the closest is chosen within each vector's row, without a shuffle.
+    """
+    parts = labelled.where("label is not null").select("label", F.posexplode("embedding").alias("at", "x")).groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
     prototypes = parts.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("prototype"))
-    likeness = F.round(cosine(F.col("embedding"), F.col("prototype")), 6)
-    scored = vectors.select("vec_id", "embedding").join(F.broadcast(prototypes)).select("vec_id", F.struct(likeness.alias("l"), (-F.col("label")).alias("n")).alias("s"))
-    return scored.groupBy("vec_id").agg(F.max("s").alias("s")).select("vec_id", (-F.col("s.n")).alias("topic"), F.round("s.l", 4).alias("likeness"))
+    if prototypes.limit(MOST_TOPICS + 1).count() > MOST_TOPICS:
+        raise ValueError(f"more than {MOST_TOPICS} labels")
+    whole = prototypes.agg(F.collect_list(F.struct("label", "prototype")).alias("all"))
+    met = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(whole))
+    best = F.array_max(F.transform("all", lambda p: F.struct(F.round(cosine(F.col("embedding"), p["prototype"]), 6).alias("l"), (-p["label"]).alias("n"))))
+    return met.withColumn("s", best).where("s is not null").select("vec_id", (-F.col("s.n")).alias("topic"), F.round("s.l", 4).alias("likeness"))
 
 
 def lexical_sentiment(text: Column) -> Column:

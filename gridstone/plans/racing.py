@@ -72,7 +72,7 @@ def tyre_fit(lap: DataFrame, least: int = 15) -> DataFrame:
     keys = ["round", "compound"]
     centre = lap.groupBy(*keys).agg(F.avg("tyre_life").alias("c"), F.avg("lap_ms").alias("m"))
     x, y = F.col("tyre_life") - F.col("c"), F.col("lap_ms") - F.col("m")
-    sums = lap.join(F.broadcast(centre), keys).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(x * x).alias("x2"), F.sum(x * x * x).alias("x3"), F.sum(x * x * x * x).alias("x4"), F.sum(x * y).alias("xy"), F.sum(x * x * y).alias("x2y"))
+    sums = lap.join(centre, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(x * x).alias("x2"), F.sum(x * x * x).alias("x3"), F.sum(x * x * x * x).alias("x4"), F.sum(x * y).alias("xy"), F.sum(x * x * y).alias("x2y"))
     n, x2, x3, x4, xy, x2y = (F.col(k) for k in ("n", "x2", "x3", "x4", "xy", "x2y"))
     quad = ratio(x2y * x2 - x3 * xy, (x4 - x2 * x2 / n) * x2 - x3 * x3)
     return sums.where(n >= least).select(*keys, "n", F.round(quad, 3).alias("quad"))

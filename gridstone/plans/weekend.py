@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridstone.functions.expressions import cascade, clamp, ratio
 from gridstone.operators.relational import first_independent
-from gridstone.plans.insight import _mean, placed
+from gridstone.plans.insight import _mean, foremost, placed
 from gridstone.plans.news import _titles, near_titles, title_classes
 from gridstone.sources.tables import as_of, daily, feed, hours_ago, sql, table
 
@@ -112,11 +112,11 @@ def story_arc(days: DataFrame) -> DataFrame:
 
 
 def compare(days: DataFrame, tie: float = 0.02) -> DataFrame:
-    """Each pair of series (a < b) over mentions, tone, negative share, spread and pace: wins of either and who leads.
+    """Each pair of the foremost series (a < b) over mentions, tone, negative share, spread and pace: wins of either and who leads.
 
-    Values within `tie` of the larger are tied; a series is one row by then, and series are few (entities, not articles).
+    Values within `tie` of the larger are tied; a series is one row by then.
     """
-    p = placed(days).groupBy("cluster").agg(F.sum("mentions").cast("double").alias("mentions"), F.avg("tone").alias("tone"), (F.sum("negative") / F.sum("mentions")).alias("negative"), F.stddev_pop("tone").alias("spread"), _mean("mentions", 0, 6).alias("pace"))
+    p = placed(foremost(days)).groupBy("cluster").agg(F.sum("mentions").cast("double").alias("mentions"), F.avg("tone").alias("tone"), (F.sum("negative") / F.sum("mentions")).alias("negative"), F.stddev_pop("tone").alias("spread"), _mean("mentions", 0, 6).alias("pace"))
     good = {"mentions": 1, "tone": 1, "negative": -1, "spread": -1, "pace": 1}
     wide = p.select("cluster", F.explode(F.array(*[F.struct(F.lit(k).alias("what"), (F.col(k) * v).alias("v")) for k, v in good.items()])).alias("m")).select("cluster", "m.*")
     a, b = wide.select(F.col("cluster").alias("a"), "what", F.col("v").alias("x")), wide.select(F.col("cluster").alias("b"), "what", F.col("v").alias("y"))

@@ -21,7 +21,8 @@ def hourly_counts(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def first_seen(events: DataFrame, key: str = "event_id", late: str = "2 hours") -> DataFrame:
-    """Each key once; a stream forgets keys beyond its watermark."""
+    """Each key once: on a table its earliest row (ties: the smallest), on a stream the first to come; a stream forgets keys beyond its watermark."""
     if events.isStreaming:
         return events.withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", late).dropDuplicatesWithinWatermark([key]).drop("t")
-    return events.dropDuplicates([key])
+    rest = [c for c in events.columns if c not in (key, "ts")]
+    return events.groupBy(key).agg(F.min(F.struct("ts", *rest)).alias("r")).select(key, "r.*").select(*events.columns)
