@@ -3,10 +3,14 @@
 A page is cut into flat blocks at block-level tags. Each block has its word count and its link
 density; with the same figures of the blocks before and after it goes through a small decision
 tree, trained here on the labelled table below. Two more figures say what the page itself
-declares: whether the block stands in an article, in page furniture (menu, notice, comments and
-the like, by tag or class name) or in neither, and how much of the page's text stands in articles
-beside a block that is in neither.
-Furniture is never content; in articles and on pages without marks, words and links decide.
+declares: whether the block stands in an article, in page furniture by tag (menu, footer and the
+like), in something that only its class, id or role calls furniture, or in none of these; and how
+much of the page stands beside it where that matters.
+
+Names are weak. Only a name that is furniture as a whole counts ("sidebar", "comment-list", not
+"with-sidebar" or "comments-open"); what is called furniture but holds the page's only article is
+none; and where all of a page's text is in what names call furniture, words and links decide.
+A form is judged like a name, since some sites put a form around the page.
 """
 
 from __future__ import annotations
@@ -36,18 +40,29 @@ BLOCK_TAGS = {
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 PARAGRAPH_ENDS = BLOCK_TAGS - {"body", "html", "head"}
-BAD_TAGS = {"nav", "footer", "aside", "form", "menu", "button", "dialog", "head", "label", "fieldset"}
+#: Furniture by tag. A form or fieldset is one only until it turns out to hold the page.
+BAD_TAGS = {"nav", "footer", "aside", "menu", "button", "dialog", "label"}
+FORMS = {"form", "fieldset"}
+#: Names that are furniture by themselves or as the last word of a name, unless a word of STATES stands before.
 BAD_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "promo", "promotion", "sponsor", "sponsored", "cookie", "cookies", "consent", "gdpr", "notice", "alert",
     "popup", "modal", "overlay", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "side", "widget", "widgets", "related", "recommended", "share", "sharing", "social",
     "footer", "header", "masthead", "topbar", "toolbar", "comment", "comments", "disqus", "replies", "newsletter", "subscribe", "signup", "login", "search", "pagination", "pager", "skip", "complementary", "contentinfo",
 }
+#: Of these an article may have its own.
+HEADS = {"header", "masthead"}
+STATES = {"with", "no", "has", "without", "hide", "show", "is", "not", "type", "layout", "theme"}
+#: What may follow a furniture word in the name of a part of it.
+PARTS = {
+    "area", "bar", "block", "body", "box", "button", "buttons", "container", "content", "form", "inner", "item", "items", "label", "link", "links", "list", "message", "outer", "panel", "posts", "articles", "stories",
+    "reply", "row", "section", "slot", "text", "thread", "title", "top", "bottom", "left", "right", "unit", "wrap", "wrapper",
+}
 GOOD_TAGS = {"article", "main"}
 GOOD_NAMES = {"article", "story", "post", "entry", "main"}
 #: Tags that a name can make an article; on others (a heading, a span) names say nothing about what is around.
 CONTAINERS = {"div", "section", "td", "table", "ul", "ol", "body"}
-#: Marks: nothing declared, in an article, in page furniture.
-OPEN, INSIDE, SHUT = 0, 1, 2
+#: Marks: nothing declared, in an article, in furniture by tag, in what is furniture by name.
+OPEN, INSIDE, SHUT, NAMED = 0, 1, 2, 3
 
 
 @dataclass
@@ -59,32 +74,58 @@ class Block:
     beside: float = 0.0
 
 
-def _mark(name: str, attributes: str, above: int) -> int:
-    if above == SHUT:
-        return SHUT
-    if name in BAD_TAGS or attributes and _HIDDEN.search(attributes):
-        return SHUT
-    if name == "header":
-        return above if above == INSIDE else SHUT
-    if attributes and name not in ("html", "body"):
-        names = {w for m in _NAMED.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-        if names & BAD_NAMES:
-            return SHUT
-        if names & GOOD_NAMES and name in CONTAINERS:
-            return INSIDE
-    return INSIDE if name in GOOD_TAGS else above
+class _Part:
+    """An element that tag, name or style calls furniture, with what stands in it."""
+
+    __slots__ = ("kind", "final", "parent", "articles", "inside")
+
+    def __init__(self, kind: int, final: bool, parent: int, articles: int):
+        self.kind, self.final, self.parent, self.articles, self.inside = kind, final, parent, articles, 0
+
+
+def _names(attributes: str) -> list[list[str]]:
+    """Words of each name in class, id and role."""
+    return [w for m in _NAMED.finditer(attributes) for token in (m[1] or m[2] or m[3] or "").lower().split() if (w := _WORD.findall(token))]
+
+
+def bad_name(words: list[str], inside: bool) -> bool:
+    """Whether a name as a whole means furniture; in an article a header is none."""
+    bad = BAD_NAMES - HEADS if inside else BAD_NAMES
+    if words[-1] in bad:
+        return not STATES & set(words[:-1])
+    return len(words) > 1 and words[0] in bad and all(w in PARTS or w.isdigit() for w in words[1:])
+
+
+def _kind(name: str, attributes: str, inside: bool) -> tuple[int, bool]:
+    """What an element is called: (OPEN, SHUT or NAMED, whether that is final)."""
+    if name == "head" or attributes and _HIDDEN.search(attributes):
+        return SHUT, True
+    if name in BAD_TAGS or name == "header" and not inside:
+        return SHUT, False
+    if name in FORMS:
+        return NAMED, False
+    if attributes and name not in ("html", "body", "main") and any(bad_name(w, inside) for w in _names(attributes)):
+        return NAMED, False
+    return OPEN, False
+
+
+def _is_article(name: str, attributes: str) -> bool:
+    return name in GOOD_TAGS or bool(attributes) and name in CONTAINERS and any(GOOD_NAMES & set(w) for w in _names(attributes))
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """Flat text blocks of a page in order. Unclosed, crossed and cut-off tags are tolerated."""
     page = page or ""
     found: list[Block] = []
+    where: list[tuple[bool, int]] = []  # of each block: in an article, the part it is in
+    parts: list[_Part] = []
+    articles: list[int] = []  # the part that each article or main is in
     texts: list[str] = []
     linked = 0
-    open_tags: list[tuple[str, int]] = []  # name and mark
+    open_tags: list[tuple[str, bool, int]] = []  # name, in an article, part
     places: dict[str, list[int]] = defaultdict(list)  # where in open_tags each name stands
     block_places: list[int] = []  # where block-level tags stand
-    here, links, at = OPEN, 0, 0
+    here, links, at = (False, -1), 0, 0
     last_end = page.rfind(">")  # beyond it nothing can be a whole tag
 
     def flush() -> None:
@@ -93,7 +134,8 @@ def blocks_of(page: str | None) -> list[Block]:
             text = _SPACE.sub(" ", "".join(texts)).strip()
             if text:
                 chars = max(1, sum(len(t) for t in text.split()))
-                found.append(Block(text, text.count(" ") + 1, min(1.0, linked / chars), here))
+                found.append(Block(text, text.count(" ") + 1, min(1.0, linked / chars), OPEN))
+                where.append(here)
             texts.clear()
         linked = 0
 
@@ -108,12 +150,14 @@ def blocks_of(page: str | None) -> list[Block]:
     def close_to(k: int) -> None:
         nonlocal here, links
         while len(open_tags) > k:
-            name, _ = open_tags.pop()
+            name, _, part = open_tags.pop()
             links -= name == "a"
             places[name].pop()
             if name in BLOCK_TAGS:
                 block_places.pop()
-        here = open_tags[-1][1] if open_tags else OPEN
+            if part >= 0 and (not open_tags or open_tags[-1][2] != part):
+                parts[part].inside = len(articles) - parts[part].articles
+        here = open_tags[-1][1:] if open_tags else (False, -1)
 
     while True:
         m = (_TAG if at <= last_end else _PLAIN_TAG).search(page, at)
@@ -147,35 +191,60 @@ def blocks_of(page: str | None) -> list[Block]:
                 continue
             if name == "a":
                 links += 1
-            before = here
-            here = _mark(name, m[3], here)
-            if here != before:
-                ahead, here = here, before
+            inside, part = here
+            kind, final = _kind(name, m[3], inside)
+            if kind != OPEN:
+                parts.append(_Part(kind, final, part, len(articles)))
+                part = len(parts) - 1
+            elif name in GOOD_TAGS:
+                articles.append(part)
+            ahead = inside or kind == OPEN and _is_article(name, m[3]), part
+            if ahead != here:
                 flush()
                 here = ahead
             places[name].append(len(open_tags))
             if name in BLOCK_TAGS:
                 block_places.append(len(open_tags))
-            open_tags.append((name, here))
+            open_tags.append((name, *here))
         else:
             if name in BLOCK_TAGS:
                 flush()
             if places[name] and (name in BLOCK_TAGS or not block_places or places[name][-1] > block_places[-1]):
                 k = places[name][-1]
-                if (open_tags[k - 1][1] if k else OPEN) != here:
+                if (open_tags[k - 1][1:] if k else (False, -1)) != here:
                     flush()
                 close_to(k)
     flush()
-    read = sum(b.words for b in found if b.mark != SHUT)
-    share = sum(b.words for b in found if b.mark == INSIDE) / read if read else 0.0
-    for b in found:
-        b.beside = share if b.mark == OPEN else 0.0
+    close_to(0)
+    _judge(found, where, parts, articles)
     return found
 
 
+def _judge(found: list[Block], where: list[tuple[bool, int]], parts: list[_Part], articles: list[int]) -> None:
+    """Sets each block's mark and what stands beside it, now that the whole page is known."""
+    state: list[int] = []  # of each part, with what it stands in; parents come first
+    for p in parts:
+        holds_page = p.inside and p.inside == len(articles) and not p.final
+        above = state[p.parent] if p.parent >= 0 else OPEN
+        state.append(SHUT if SHUT in (above, OPEN if holds_page else p.kind) else NAMED if NAMED in (above, OPEN if holds_page else p.kind) else OPEN)
+    for b, (inside, part) in zip(found, where):
+        called = state[part] if part >= 0 else OPEN
+        b.mark = called or (INSIDE if inside else OPEN)
+    read = sum(b.words for b in found if b.mark in (OPEN, INSIDE))
+    within = sum(b.words for b in found if b.mark == INSIDE)
+    named = sum(b.words for b in found if b.mark == NAMED)
+    rest = 1.0 if any(part < 0 or state[part] == OPEN for part in articles) else read / (read + named) if read + named else 0.0
+    for b in found:
+        if b.mark == OPEN:
+            b.beside = within / read
+        elif b.mark == NAMED:
+            b.beside = rest
+
+
 #: The labelled table, of typical blocks: words and link density of the block before, the block and the block after
-#: (0 words: there is none; LONG words: so many or more), mark (0 nothing declared, 1 article, 2 furniture), share of the
-#: page's words that stand in articles beside this block, content or not.
+#: (0 words: there is none; LONG words: so many or more), mark (0 nothing declared, 1 article, 3 furniture by name; what is furniture by tag is never content),
+#: what stands beside: of mark 0 the share of the page's words that stand in articles, of mark 3 the share that stands outside
+#: of what names call furniture (1: the page has an article there); content or not.
 LONG = 20
 LABELLED = [
     # articles: text of any length and among any neighbours
@@ -185,9 +254,14 @@ LABELLED = [
     # and single links, but no lists of links between links
     (20, 0.0, 6, 1.0, 20, 0.0, 1, 0.0, 1), (12, 0.0, 3, 1.0, 20, 0.0, 1, 0.0, 1), (6, 0.0, 6, 1.0, 2, 0.0, 1, 0.0, 1), (0, 0.0, 20, 0.7, 20, 0.0, 1, 0.0, 1), (20, 0.0, 4, 1.0, 0, 0.0, 1, 0.0, 1), (20, 0.0, 5, 1.0, 9, 0.2, 1, 0.0, 1),
     (4, 1.0, 4, 1.0, 4, 1.0, 1, 0.0, 0), (6, 1.0, 5, 1.0, 7, 1.0, 1, 0.0, 0), (3, 1.0, 3, 0.9, 3, 1.0, 1, 0.0, 0), (8, 1.0, 9, 1.0, 6, 1.0, 1, 0.0, 0), (5, 0.9, 8, 0.9, 9, 0.9, 1, 0.0, 0), (12, 1.0, 12, 1.0, 12, 1.0, 1, 0.0, 0),
-    # furniture
-    (0, 0.0, 2, 1.0, 2, 1.0, 2, 0.0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 2, 0.0, 0), (2, 1.0, 14, 0.0, 9, 0.0, 2, 0.0, 0), (20, 0.0, 12, 0.0, 0, 0.0, 2, 0.0, 0), (20, 0.0, 20, 0.0, 20, 0.0, 2, 0.0, 0), (20, 0.0, 20, 0.2, 5, 0.0, 2, 0.0, 0),
-    (8, 0.0, 20, 0.0, 20, 0.0, 2, 0.0, 0), (1, 0.0, 1, 0.0, 1, 0.0, 2, 0.0, 0), (0, 0.0, 20, 0.0, 0, 0.0, 2, 0.0, 0), (20, 0.0, 20, 0.0, 20, 0.1, 2, 0.0, 0), (9, 0.0, 9, 0.0, 9, 0.0, 2, 0.0, 0), (0, 0.0, 5, 0.0, 20, 0.0, 2, 0.0, 0),
+    # called furniture, with a page beside it
+    (0, 0.0, 2, 1.0, 2, 1.0, 3, 1.0, 0), (2, 1.0, 14, 0.0, 9, 0.0, 3, 1.0, 0), (20, 0.0, 12, 0.0, 0, 0.0, 3, 0.9, 0), (20, 0.0, 20, 0.0, 20, 0.0, 3, 1.0, 0), (20, 0.0, 20, 0.2, 5, 0.0, 3, 0.3, 0), (8, 0.0, 20, 0.0, 20, 0.0, 3, 0.5, 0),
+    (1, 0.0, 1, 0.0, 1, 0.0, 3, 0.2, 0), (0, 0.0, 20, 0.0, 0, 0.0, 3, 1.0, 0), (20, 0.0, 20, 0.0, 20, 0.1, 3, 0.15, 0), (9, 0.0, 9, 0.0, 9, 0.0, 3, 0.7, 0), (0, 0.0, 5, 0.0, 20, 0.0, 3, 1.0, 0), (3, 1.0, 20, 0.0, 4, 0.0, 3, 0.4, 0),
+    # called furniture, but all that the page has: text, not links or single lines
+    (20, 0.0, 20, 0.0, 20, 0.0, 3, 0.0, 1), (0, 0.0, 20, 0.0, 20, 0.0, 3, 0.02, 1), (3, 1.0, 20, 0.1, 20, 0.0, 3, 0.03, 1), (20, 0.0, 20, 0.2, 0, 0.0, 3, 0.0, 1), (2, 1.0, 20, 0.0, 3, 1.0, 3, 0.04, 1), (9, 0.0, 20, 0.0, 9, 0.0, 3, 0.0, 1), (0, 0.0, 20, 0.0, 0, 0.0, 3, 0.0, 1),
+    (0, 0.0, 6, 0.0, 20, 0.0, 3, 0.0, 1), (20, 0.0, 9, 0.0, 20, 0.0, 3, 0.03, 1), (20, 0.0, 12, 0.0, 0, 0.0, 3, 0.0, 1), (3, 1.0, 7, 0.0, 20, 0.0, 3, 0.0, 1),
+    (0, 0.0, 4, 0.0, 0, 0.0, 3, 0.0, 0), (3, 1.0, 9, 0.0, 2, 1.0, 3, 0.0, 0), (0, 0.0, 3, 1.0, 3, 1.0, 3, 0.0, 0), (20, 0.0, 12, 0.9, 4, 1.0, 3, 0.02, 0), (20, 0.0, 20, 0.8, 20, 0.0, 3, 0.0, 0), (6, 1.0, 12, 0.0, 0, 0.0, 3, 0.0, 0), (3, 1.0, 3, 1.0, 20, 0.0, 3, 0.0, 0),
+    (5, 0.0, 8, 0.0, 4, 0.0, 3, 0.0, 0), (2, 0.0, 3, 0.0, 6, 0.0, 3, 0.01, 0),
     # beside an article that holds a good part of the page
     (0, 0.0, 9, 0.0, 20, 0.0, 0, 0.9, 0), (20, 0.0, 20, 0.0, 0, 0.0, 0, 0.8, 0), (3, 1.0, 20, 0.0, 9, 0.0, 0, 0.7, 0), (0, 0.0, 3, 1.0, 12, 0.0, 0, 0.95, 0), (20, 0.0, 20, 0.4, 20, 0.5, 0, 0.6, 0), (20, 0.0, 20, 0.0, 20, 0.0, 0, 0.5, 0),
     (20, 0.0, 20, 0.0, 0, 0.0, 0, 0.6, 0), (2, 1.0, 12, 0.0, 20, 0.0, 0, 0.9, 0), (20, 0.0, 20, 0.0, 20, 0.0, 0, 0.75, 0), (9, 0.0, 5, 0.0, 0, 0.0, 0, 0.5, 0), (0, 0.0, 6, 0.0, 9, 0.0, 0, 0.55, 0), (12, 0.0, 9, 0.0, 20, 0.0, 0, 0.8, 0),
@@ -241,6 +315,8 @@ def main_text(page: str | None, tree) -> str:
     flat = [(min(b.words, LONG), b.link_density) for b in found]
     around = [(0, 0.0), *flat, (0, 0.0)]
     for k, b in enumerate(found):
+        if b.mark == SHUT:
+            continue
         figures = (*around[k], *flat[k], *around[k + 2], b.mark, b.beside)
         node = tree
         while isinstance(node, tuple):
