@@ -110,16 +110,21 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return sorted((g for g in found if not any(h < g for h in found)), key=sorted)
 
 
-def key_of(doc_id: str = "doc_id") -> Column:
-    """The posting key of a row: its id. Rows that share one (or have none) share candidates, which verification settles."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))
+#: Rows without an id are dealt to so many keys of their own, which no candidate has.
+NULL_KEYS = 1024
+
+
+def key_of() -> list[Column]:
+    """The posting key of a row: its id, and 0. Rows that share an id share candidates, which verification settles; a row without one has a key that none has."""
+    salt = F.when(F.col("doc_id").isNull(), 1 + F.pmod(F.xxhash64("text"), F.lit(NULL_KEYS))).otherwise(0)
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_gs_doc"), salt.cast("long").alias("_gs_salt")]
 
 
 def postings(documents: DataFrame, trigrams: Sequence[str]) -> DataFrame:
-    """The inverted index of the given trigrams: a row (trigram, doc) for each that a document's lower-cased text contains."""
+    """The inverted index of the given trigrams: a row (trigram, doc) for each that the lower-cased text of a document with an id contains."""
     wanted = F.array(*[F.lit(t) for t in sorted(trigrams)])
     found = let(F.lower("text"), lambda low: F.filter(wanted, lambda t: F.contains(low, t)))
-    return documents.where("text is not null").select(key_of().alias("doc"), F.explode(found).alias("trigram"))
+    return documents.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.explode(found).alias("trigram"))
 
 
 def candidates(documents: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -137,40 +142,62 @@ def candidates(documents: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 SPANS = "array<struct<start: bigint, end: bigint, rank: int, kind: string>>"
 
 
+def prefixed(items: Column, kind: str, measure, combine) -> Column:
+    """Each item with what the measures of all items before it combine to (0 for the first): array of struct<before, item>.
+
+    Items are taken in blocks of about the square root of their number, so no array grows beyond a block
+    within a fold and the work is in proportion to the number to the power of 1.5 at most. combine is associative, 0 its start.
+    """
+    out, zero = f"array<struct<before: bigint, item: {kind}>>", F.lit(0).cast("bigint")
+    size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(items)))).cast("int")
+    add = lambda s, x: combine(s, measure(x).cast("bigint")).cast("bigint")
+
+    def with_size(given: Column) -> Column:
+        n = given["n"]
+        part = lambda b: F.slice(items, (b * n + 1).cast("int"), n)
+        blocks = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / n).cast("int"))).otherwise(F.array().cast("array<int>"))
+        totals = F.transform(blocks, lambda b: F.aggregate(part(b), zero, add))
+        begin = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        starts = F.aggregate(totals, begin, lambda a, t: F.struct(combine(a["at"], t).cast("bigint").alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+        def within(start: Column, b: Column) -> Column:
+            first = F.struct(start.alias("at"), F.array().cast(out).alias("out"))
+            step = lambda a, x: F.struct(add(a["at"], x).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("before"), x.alias("item"))).cast(out)).alias("out"))
+            return F.aggregate(part(b), first, step)["out"]
+
+        return F.flatten(F.transform(starts, within))
+
+    return let(F.struct(size.alias("n")), with_size)
+
+
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """The rule's leftmost non-overlapping matches, in code points, without those whose group is too short."""
     pattern = F.lit(rule.pattern)
     pair = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("groups"), F.split(text, rule.pattern, -1).alias("gaps"))
+    kind = "struct<gap: int, hit: int, good: boolean>"
 
     def located(p: Column) -> Column:
-        n = F.size(p["hits"])
-        begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPANS).alias("found"))
-
-        def take(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(p["gaps"], i))
-            end = start + F.length(F.get(p["hits"], i))
-            hit = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind")))
-            found = F.when(F.length(F.get(p["groups"], i)) >= rule.least, F.concat(acc["found"], hit.cast(SPANS))).otherwise(acc["found"])
-            return F.struct(end.cast("bigint").alias("at"), found.alias("found"))
-
-        steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, begin, take)["found"]
+        sized = F.transform(p["hits"], lambda hit, i: F.struct(F.length(F.get(p["gaps"], i)).alias("gap"), F.length(hit).alias("hit"), (F.length(F.get(p["groups"], i)) >= rule.least).alias("good")))
+        placed = let(sized, lambda items: prefixed(items, kind, lambda x: x["gap"] + x["hit"], lambda a, b: a + b))
+        good = F.filter(placed, lambda x: x["item"]["good"])
+        start = lambda x: x["before"] + x["item"]["gap"]
+        return F.transform(good, lambda x: F.struct(start(x).alias("start"), (start(x) + x["item"]["hit"]).alias("end"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"))).cast(SPANS)
 
     return F.when(F.regexp_like(text, pattern), let(pair, located)).otherwise(F.array().cast(SPANS))
 
 
 def with_spans(documents: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """documents with a column _gs_spans: all spans by start, then rule order."""
-    found = materialize(candidates(documents, rules), "candidates").withColumnRenamed("doc", "_gs_doc").withColumnRenamed("rules", "_gs_rules")
+    found = materialize(candidates(documents, rules), "candidates").select(F.col("doc").alias("_gs_doc"), F.lit(0).cast("long").alias("_gs_salt"), F.col("rules").alias("_gs_rules"))
     if small_enough(found, BROADCAST_CANDIDATES):
         found = F.broadcast(found)
-    joined = documents.withColumn("_gs_doc", key_of()).join(found, "_gs_doc", "left")
+    joined = documents.select("*", *key_of()).join(found, ["_gs_doc", "_gs_salt"], "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = []
     for n, rule in enumerate(rules):
         spans = spans_of(text, rule, n)
         if trigram_query(rule.pattern):
-            spans = F.when(F.array_contains("_gs_rules", n), spans).otherwise(F.array().cast(SPANS))
+            spans = F.when(F.col("_gs_salt") > 0, spans).when(F.array_contains("_gs_rules", n), spans).otherwise(F.array().cast(SPANS))
         parts.append(spans)
     ordered = F.sort_array(F.flatten(F.array(*parts)))
     # by start, then rule: end comes second in the struct, so order on a copy with rank before it
@@ -186,28 +213,38 @@ def shown(spans: Column) -> Column:
 def secret_scan(documents: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per document row: doc_id and its spans as array<struct<start, rank, end, kind>>.
 
-    Null and empty texts have none. Repeated rows each get their row; rows that share an id, or
-    have none, share index candidates but are verified one by one. An empty table gives no rows.
+    Null and empty texts have none. Repeated rows each get their row; rows that share an id
+    share index candidates but are verified one by one, and rows without one are verified for every rule. An empty table gives no rows.
     """
     return with_spans(documents, rules).select("doc_id", F.col("_gs_spans").alias("spans"))
 
 
 def redact(documents: DataFrame, rules: Sequence[Rule] = RULES, mask: str = "[secret]") -> DataFrame:
-    """documents with every span of text replaced by the mask (overlapping spans by one) and n_chars counted anew; null text stays."""
+    """documents with every span of text replaced by the mask (overlapping spans by one) and n_chars counted anew; null text stays.
+
+    What lies between spans is cut out block by block, so a text with many spans is not read from its start for each.
+    """
     columns = documents.columns
     rows = with_spans(documents, rules)
     text = F.col("text")
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    placed = prefixed(F.col("_gs_spans"), "struct<start: bigint, rank: int, end: bigint, kind: string>", lambda s: s["end"], lambda a, b: F.greatest(a, b))
+    gap = "array<struct<low: bigint, high: bigint>>"
+    before = F.transform(F.filter(placed, lambda x: x["item"]["start"] >= x["before"]), lambda x: F.struct(x["before"].alias("low"), x["item"]["start"].alias("high"))).cast(gap)
+    last = F.struct(F.array_max(F.transform("_gs_spans", lambda s: s["end"])).alias("low"), F.length(text).cast("bigint").alias("high"))
+
+    def cut(gaps: Column) -> Column:
+        size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(gaps)))).cast("int")
+        blocks = F.sequence(F.lit(0), F.floor((F.size(gaps) - 1) / size).cast("int"))
 
-    def take(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).cast("bigint").alias("at"), out.alias("out"))
+        def pieces(b: Column) -> Column:
+            some = F.slice(gaps, (b * size + 1).cast("int"), size)
+            low, high = F.element_at(some, 1)["low"], F.element_at(some, -1)["high"]
+            near = F.struct(some.alias("gaps"), low.alias("low"), F.substring(text, (low + 1).cast("int"), (high - low).cast("int")).alias("text"))
+            return let(near, lambda p: F.transform(p["gaps"], lambda g: F.substring(p["text"], (g["low"] - p["low"] + 1).cast("int"), (g["high"] - g["low"]).cast("int"))))
 
-    def done(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+        return F.array_join(F.flatten(F.transform(blocks, pieces)), mask)
 
-    masked = F.when(F.size("_gs_spans") > 0, F.aggregate("_gs_spans", begin, take, done)).otherwise(text)
+    masked = F.when(F.size("_gs_spans") > 0, let(F.concat(before, F.array(last).cast(gap)), cut)).otherwise(text)
     rows = rows.withColumn("_gs_masked", masked)
     new = {"text": F.col("_gs_masked"), "n_chars": F.when(F.size("_gs_spans") > 0, F.length("_gs_masked").cast("long")).otherwise(F.col("n_chars") if "n_chars" in columns else None)}
     return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
