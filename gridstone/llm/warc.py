@@ -24,6 +24,10 @@ MAGIC = b"\x1f\x8b\x08"
 REVISIT_BYTES = 100
 #: Bytes of an archive that one reading task owns, and bytes read at once.
 SPLIT_BYTES, READ_BYTES = 16 << 20, 1 << 20
+#: Tasks that read at most; beyond, each takes several ranges.
+MOST_TASKS = 20_000
+#: The table of files that writing tasks have committed, in the archives' folder.
+WRITTEN, COMMITTED = "written", "name string, bytes long, n long"
 #: Groups of equal payloads that are broadcast at most; beyond, they are joined by a salted shuffle.
 BROADCAST_GROUPS, SALTS = 100_000, 32
 
@@ -89,60 +93,82 @@ def _filesystem(uri: str):
 def write_warc(pages: DataFrame, folder: str, level: int = 4) -> int:
     """Writes the pages as archives in a shared folder, one per task; returns the number of records.
 
-    A task writes under a name of its own and renames when done, so a lost or repeated attempt leaves no half archive.
+    Every attempt of a task writes a file of its own name and nothing is renamed or removed. Which files count is a
+    table beside them, written by Spark, of which each task commits one attempt: what a lost or repeated attempt leaves is not in it.
     """
-    folder = folder.replace("file:///", "/") if folder.startswith("file:") else folder
+    path_of = folder.replace("file:///", "/") if folder.startswith("file:") else folder
+    spark = pages.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context = TaskContext.get()
-        store, path = _filesystem(folder)
+        store, path = _filesystem(path_of)
         store.create_dir(path, recursive=True)
-        name, n, out = f"{path}/part-{context.partitionId():06d}.warc.gz", 0, None
-        draft = f"{path}/_draft-{context.taskAttemptId()}-{uuid.uuid4().hex}"
+        name, n, out = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0, None
         for batch in batches:
             if out is None:
-                out = store.open_output_stream(draft)
+                out = store.open_output_stream(f"{path}/{name}", compression=None)  # members are packed here
             for page_id, url, payload, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                 out.write(packer.compress(record(page_id, url, payload, digest, refers_to)) + packer.flush())
                 n += 1
         if out is not None:
             out.close()
-            if store.get_file_info(name).type.name != "NotFound":  # an earlier attempt's
-                store.delete_file(name)
-            store.move(draft, name)
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+            size = store.get_file_info(f"{path}/{name}").size
+            yield pa.RecordBatch.from_pydict({"name": pa.array([name]), "bytes": pa.array([size], pa.int64()), "n": pa.array([n], pa.int64())})
 
-    return with_roles(pages).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    with_roles(pages).mapInArrow(write, COMMITTED).write.mode("overwrite").parquet(f"{folder}/{WRITTEN}")
+    return spark.read.schema(COMMITTED).parquet(f"{folder}/{WRITTEN}").agg(F.sum("n")).first()[0] or 0
 
 
-def archive_splits(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """file, from, to: the byte ranges of all archives in a folder, as Hadoop's file system lists them."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [(f.getPath().toString(), f.getLen()) for f in (store.listStatus(hadoop) if store.exists(hadoop) else []) if f.getPath().getName().endswith(".warc.gz")]
-    ranges = [(name, at, min(size, at + split_bytes)) for name, size in sorted(found) for at in range(0, size, split_bytes)]
-    splits = spark.createDataFrame(ranges, "file string, first long, last long")
-    return splits.repartition(max(1, len(ranges)), "file", "first")
+def archive_splits(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES, most_tasks: int = MOST_TASKS) -> DataFrame:
+    """file, first, last: the byte ranges of all archives in a folder: those of write_warc's table, else all that end in .warc.gz.
+
+    Files are listed and cut by Spark, and ranges dealt evenly, one a task up to most_tasks tasks.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{WRITTEN}")):
+        files = spark.read.schema(COMMITTED).parquet(f"{folder}/{WRITTEN}").select(F.concat(F.lit(f"{store.makeQualified(at).toString()}/"), "name").alias("file"), "bytes")
+    elif store.exists(at):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.col("path").alias("file"), F.col("length").alias("bytes"))  # the content is not read
+    else:
+        files = spark.createDataFrame([], "file string, bytes long")
+    files = files.where("bytes > 0")
+    tasks = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("first"))
+    return ranges.select("file", "first", F.least("bytes", F.col("first") + split_bytes).alias("last")).repartition(min(int(tasks), most_tasks))
 
 
 class _Range:
-    """Bytes of one file from a position on, read as they are needed."""
+    """Bytes of one file from a position on, read as they are needed; what is dropped is given up from time to time, not at once."""
 
     def __init__(self, stream, at: int):
-        self.stream, self.at, self.data = stream, at, b""
+        self.stream, self.at, self.data, self.low = stream, at, bytearray(), 0
         stream.seek(at)
 
+    def __len__(self) -> int:
+        return len(self.data) - self.low
+
     def more(self) -> bool:
         got = self.stream.read(READ_BYTES)
         self.data += got
         return bool(got)
 
+    def find(self, mark: bytes) -> int:
+        hit = self.data.find(mark, self.low)
+        return hit - self.low if hit >= 0 else -1
+
+    def since(self, n: int, size: int | None = None) -> bytes:
+        """A copy of what comes after the first n bytes, at most `size` of it."""
+        return bytes(self.data[self.low + n : len(self.data) if size is None else self.low + n + size])
+
     def drop(self, n: int) -> None:
-        self.data = self.data[n:]
+        self.low += n
         self.at += n
+        if self.low > READ_BYTES and 2 * self.low > len(self.data):
+            del self.data[: self.low]
+            self.low = 0
 
 
 def _is_member(data: bytes) -> bool:
@@ -160,31 +186,31 @@ def records_in(stream, first: int, last: int) -> Iterator[tuple[int, bytes]]:
     while True:
         if not synced:  # find the next member that starts here or later
             while True:
-                hit = r.data.find(MAGIC)
+                hit = r.find(MAGIC)
                 if hit < 0:
-                    r.drop(max(0, len(r.data) - len(MAGIC) + 1))
+                    r.drop(max(0, len(r) - len(MAGIC) + 1))
                     if r.at >= last or not r.more():
                         return
                     continue
                 if r.at + hit >= last:
                     return
                 r.drop(hit)
-                while len(r.data) < 4096 and r.more():
+                while len(r) < 4096 and r.more():
                     pass
-                if _is_member(r.data):
+                if _is_member(r.since(0, 4096)):
                     synced = True
                     break
                 r.drop(1)
         if r.at >= last:
             return
-        if not r.data and not r.more():
+        if not len(r) and not r.more():
             return
         inflate = zlib.decompressobj(31)
         parts, start, used = [], r.at, 0
         try:
             while True:
-                parts.append(inflate.decompress(r.data[used:]))
-                used = len(r.data) - len(inflate.unused_data)
+                parts.append(inflate.decompress(r.since(used)))
+                used = len(r) - len(inflate.unused_data)
                 if inflate.eof or not r.more():
                     break
         except zlib.error:

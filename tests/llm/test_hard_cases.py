@@ -1,0 +1,152 @@
+"""Hard cases of the corpus operators: pages whose names mislead, texts with very many secrets, large records and lost writers."""
+
+from __future__ import annotations
+
+import io
+import random
+import re
+import time
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridstone.llm import html_text, secrets, warc
+
+LONG = "<p>" + "This is the long text of a real article that has plenty of words in it and goes on for a while. " * 2 + "</p>"
+NAV = "<nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></nav>"
+FOOT = "<footer>Copyright of somebody</footer>"
+BODY = "This is the long text of a real article that has plenty of words in it and goes on for a while. " * 2
+ONE = f"Title\n\n{BODY.strip()}"
+TWO = f"{ONE}\n\n{BODY.strip()}"
+
+PAGES = {
+    "states of a post": (f'{NAV}<article class="post-1 post type-post comments-open"><h1>Title</h1>{LONG}</article>{FOOT}', ONE),
+    "with a sidebar": (f'{NAV}<div class="content with-sidebar"><h1>Title</h1>{LONG}{LONG}</div>{FOOT}', TWO),
+    "no sidebar": (f'{NAV}<div id="page" class="no-sidebar"><article><h1>Title</h1>{LONG}</article></div>{FOOT}', ONE),
+    "search enabled": (f'{NAV}<main class="page-search-enabled"><article><h1>Title</h1>{LONG}</article></main>{FOOT}', ONE),
+    "related work": (f'{NAV}<article><h1>Title</h1>{LONG}<section id="related-work"><h2>Related work</h2>{LONG}</section></article>{FOOT}', f"{ONE}\n\nRelated work\n\n{BODY.strip()}"),
+    "a theme's name": (f'{NAV}<div class="theme-header-dark"><h1>Title</h1>{LONG}{LONG}</div>{FOOT}', TWO),
+    "a form around the page": (f'<form id="aspnetForm">{NAV}<article><h1>Title</h1>{LONG}</article><div class="comment-form">Say it <input></div>{FOOT}</form>', ONE),
+    "a form around all text": (f'<form id="aspnetForm">{NAV}<div><h1>Title</h1>{LONG}{LONG}</div>{FOOT}</form>', TWO),
+    "an entry's header": (f'{NAV}<article><div class="entry-header"><h1>Title</h1></div>{LONG}</article>{FOOT}', ONE),
+    "comments that are articles": (f'{NAV}<article><h1>Title</h1>{LONG}</article><section class="comments"><article class="comment">{LONG}</article><article>{LONG}{LONG}</article></section>{FOOT}', ONE),
+    "furniture in an article": (f'{NAV}<article><h1>Title</h1>{LONG}<div id="comments">{LONG}{LONG}</div><div class="share-buttons"><a href=3>Tweet this</a></div><form>{LONG}</form></article>{FOOT}', ONE),
+    "furniture beside plain text": (f'{NAV}<div class="sidebar">{LONG}</div><div class="content"><h1>Title</h1>{LONG}{LONG}</div><div class="cookie-notice">{LONG}</div>{FOOT}', TWO),
+    "all in a sidebar": (f'<div class="sidebar">{NAV}<h1>Title</h1>{LONG}{LONG}</div>{FOOT}', TWO),
+    "an empty article": (f'{NAV}<div class="ad">{"buy now " * 20}</div><article></article>{FOOT}', ""),
+    "headers of page and article": (f'<header><h2>Site</h2></header><div class="site-header">Motto of it</div>{NAV}<article><header><h1>Title</h1></header>{LONG}</article>{FOOT}', ONE),
+    "hidden": (f'<div hidden>{LONG}</div><article style="x"><h1>Title</h1>{LONG}<p style="display:none">{BODY}</p></article>', ONE),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PAGES))
+def test_names_do_not_decide_alone(name):
+    page, want = PAGES[name]
+    assert html_text.main_text(page, html_text.trained_tree()) == want
+
+
+def test_tree_and_marks_disagree():
+    """Links between links in an article are dropped, what only names call furniture is kept where it is the page."""
+    tree = html_text.trained_tree()
+    links = "".join(f"<p><a href={k}>More of this</a></p>" for k in range(5))
+    page = f"<article><h1>Title</h1>{LONG}{links}</article>"
+    inside = [b for b in html_text.blocks_of(page) if b.mark == html_text.INSIDE]
+    assert len(inside) == 7 and html_text.main_text(page, tree).count("More of this") < 5
+    page = PAGES["all in a sidebar"][0]
+    assert all(b.mark in (html_text.NAMED, html_text.SHUT) for b in html_text.blocks_of(page)) and html_text.main_text(page, tree) == TWO
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", PAGES["no sidebar"][0], "x", 5), (1, "u", None, "y", 6), (None, None, "", "z", 7)], "page_id long, url string, html string, text string, n_chars long")
+    assert sorted(map(tuple, html_text.extract_pages(rows).collect()), key=repr) == sorted([(1, "u", ONE, len(ONE)), (1, "u", "", 0), (None, None, "", 0)], key=repr)
+
+
+def test_hostile_nesting_is_linear():
+    tree = html_text.trained_tree()
+    took = []
+    for n in (4000, 16000):
+        began = time.time()
+        html_text.main_text('<div class="sidebar">x' * n + LONG + "</div>" * n, tree)
+        took.append(time.time() - began)
+    assert took[1] < 12 * max(took[0], 0.02)
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+@pytest.mark.parametrize("n", [1, 15, 16, 17, 300, 20_000])
+def test_many_secrets_in_a_text(spark, n):
+    rng = random.Random(n)
+    text = "".join(rng.choice(["token=", "é password: ", "api_key='", "secret ="]) + "".join(rng.choice("aZ9_=") for _ in range(rng.choice([3, 8, 30]))) + rng.choice([" ", "\n", "日本 "]) for _ in range(n))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    want = [(m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    began = time.time()
+    got = secrets.secret_scan(rows).first().spans
+    assert [(s.start, s.end) for s in got if s.kind == "assign"] == want
+    masked, at = [], 0
+    for s in got:
+        if s.start >= at:
+            masked += [text[at : s.start], "[secret]"]
+        at = max(at, s.end)
+    assert secrets.redact(rows).first().text == "".join(masked) + text[at:]
+    assert time.time() - began < 60
+
+
+def test_rows_without_an_id_are_scanned(spark, monkeypatch):
+    rows = spark.createDataFrame([(None, "password=abcdefgh1"), (None, None), (None, "none"), (0, "none"), (-1, "token: 12345678")] + [(None, f"secret=xyzxyzxyz{k}") for k in range(50)], "doc_id long, text string")
+    for most in (500_000, 0):
+        monkeypatch.setattr(secrets, "BROADCAST_CANDIDATES", most)
+        got = sorted(((r.doc_id, len(r.spans)) for r in secrets.secret_scan(rows).collect()), key=repr)
+        assert got == sorted([(None, 1), (None, 0), (None, 0), (0, 0), (-1, 1)] + [(None, 1)] * 50, key=repr)
+
+
+def test_reading_time_follows_a_records_size():
+    took = []
+    for mb in (10, 40):
+        payload = random.Random(mb).randbytes(mb << 20)
+        packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+        data = packer.compress(warc.record(1, "http://x", payload, "d", None)) + packer.flush()
+        began = time.time()
+        found = list(warc.records_in(io.BytesIO(data), 0, len(data)))
+        took.append(time.time() - began)
+        assert len(found) == 1 and payload in found[0][1]
+    assert took[1] < 8 * took[0] + 0.2
+
+
+def test_damaged_bytes_between_members():
+    def member(k):
+        packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+        return packer.compress(warc.record(k, None, b"p" * 300, "d", None)) + packer.flush()
+
+    other = zlib.compressobj(4, zlib.DEFLATED, 31)
+    foreign = other.compress(b"no record" * 50) + other.flush()
+    data = b"junk\x1f\x8b\x08" + member(1) + warc.MAGIC * 500 + foreign + member(2) + member(3)[:-9] + member(4) + b"\x1f\x8b"
+    for split in (len(data), 97):
+        found = [warc.parsed(w)[2] for at in range(0, len(data), split) for _, w in warc.records_in(io.BytesIO(data), at, min(len(data), at + split))]
+        assert found == [1, 2, 4]
+
+
+def test_lost_attempts_leave_nothing_that_counts(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"page {k} " * 30) for k in range(40)], "page_id long, url string, html string").repartition(4)
+    folder = f"file://{tmp_path}/archives"
+    assert warc.write_warc(pages, folder) == 40
+    written = sorted((tmp_path / "archives").glob("*.warc.gz"))
+    (tmp_path / "archives" / "part-000000-lost.warc.gz").write_bytes(written[0].read_bytes()[:50])  # an attempt that was lost half way
+    (tmp_path / "archives" / "part-000001-twice.warc.gz").write_bytes(written[-1].read_bytes())  # and one that ran twice
+    got = warc.read_warc(spark, folder, split_bytes=300)
+    assert sorted(r.page_id for r in got.collect()) == list(range(40))
+    assert warc.archive_splits(spark, folder, 300).select("file", "first").distinct().count() == warc.archive_splits(spark, folder, 300, most_tasks=3).count()
+    foreign = tmp_path / "foreign"
+    foreign.mkdir()
+    (foreign / "a.warc.gz").write_bytes(written[0].read_bytes())
+    (foreign / "empty.warc.gz").write_bytes(b"")
+    assert 0 < warc.read_warc(spark, f"file://{foreign}").count() < 40
+    assert warc.read_warc(spark, f"file://{tmp_path}/nowhere").count() == 0
+
+
+def test_prefixed_totals(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 15, 16, 17, 255, 256, 257, 1000)]
+    table = spark.createDataFrame(rows, "a array<int>")
+    sums = table.select("a", secrets.prefixed(F.col("a"), "int", lambda x: x, lambda p, q: p + q).alias("s")).collect()
+    assert all([x.before for x in r.s] == [k * (k - 1) // 2 for k in r.a] and [x.item for x in r.s] == r.a for r in sums)
