@@ -292,31 +292,15 @@ def simhash_components(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     return join_hot(rows, of_print, "fp", "n").select("doc_id", "fp", "root", "component_id", "n_component")
 
 
-def keep_first(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """documents without the rows of a component other than its first: that with the smallest doc_id, rows without an id last.
-
-    Rows that repeat id and fingerprint of the first stay once.
-    """
-    found = materialize(simhash_components(documents, radius), "components")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("first"))
-    keep = first.select(F.col("first.doc_id").alias("_gs_keep"), F.col("first.fp").alias("_gs_fp_keep"))
-    rows = documents.withColumn("_gs_id", F.col("doc_id").cast("long"))
-    if found.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        return rows.join(keep, F.col("_gs_id") == F.col("_gs_keep"), "left_semi").select(*documents.columns)
-    rows = rows.withColumn("_gs_fp", fingerprinted(F.col("text")))
-    same = F.col("_gs_id").eqNullSafe(F.col("_gs_keep")) & (F.col("_gs_fp") == F.col("_gs_fp_keep"))
-    return rows.join(keep, same, "left_semi").dropDuplicates(["_gs_id", "_gs_fp"]).select(*documents.columns)
-
-
 # -- near copies by similarity, for the pipeline
 
 #: Words of a shingle and the Jaccard similarity of near copies; bands and minima of a band that find candidates.
 COPY_WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 5
-#: Unreached members up to which a member is compared one by one, without posting lists.
-FEW = 64
+#: Unreached members up to which a member is compared with each, without posting lists.
+FEW = 16
 #: Shingles of a candidate component, or of a slice of a larger one, that one task compares.
-GROUP = 4_000_000
+GROUP = 2_000_000
 
 
 def shingle_set(text: str | None, words: int = COPY_WORDS) -> np.ndarray:
@@ -363,50 +347,114 @@ def shingled(text: Column) -> Column:
     return run(text)
 
 
-def posting_lists(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """known, starts, posted, at: distinct shingles, the sets that have the k-th one as posted[starts[k]:starts[k + 1]], and each set's own k in order.
+class _Postings:
+    """Of each shingle the sets that have it among the rarest of their own, as arrays (size, place, set) in order; reached sets are forgotten as lists are read.
 
-    One sort makes them all; numbers take four bytes, as a task's sets have under 2 ** 31 shingles.
+    Two sets of sizes a and b that are similar enough have o(a, b) = ceil(similar (a + b) / (1 + similar)) shingles in
+    common, so with both in one order, rarest first, they share one of the first a - o + 1 and b - o + 1: only those are posted.
     """
-    flat = np.concatenate([np.empty(0, dtype=np.uint64), *sets])
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    first = np.r_[True, flat[1:] != flat[:-1]] if len(flat) else np.empty(0, dtype=bool)
-    at = np.empty(len(flat), dtype=np.int32)
-    at[order] = np.cumsum(first, dtype=np.int32) - 1
-    posted = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[order]
-    return flat[first], np.r_[np.flatnonzero(first), len(flat)], posted, at
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, similar: float):
+        """flat: all sets' shingles one after another, as numbers from 0."""
+        self.similar = similar
+        self.starts = np.r_[0, np.cumsum(sizes)]
+        often = np.bincount(flat) if len(flat) else np.zeros(0, dtype=np.int64)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        order = np.lexsort((flat, often[flat], owner))
+        self.rarest = flat[order]  # of each set, rarest first
+        place = (np.arange(len(flat)) - self.starts[owner]).astype(np.int32)
+        at = np.flatnonzero((place < self.prefix(sizes, sizes * similar)[owner]) & (often[self.rarest] > 1))  # a shingle of one set is met by none
+        by = np.lexsort((place[at], sizes[owner[at]], self.rarest[at]))
+        at = at[by]
+        key = self.rarest[at]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
+        ends = np.r_[first[1:], len(key)]
+        self.lists = {int(key[i]): (sizes[owner[at[i:j]]], place[at[i:j]], owner[at[i:j]]) for i, j in zip(first.tolist(), ends.tolist()) if j - i > 1}
+
+    def prefix(self, size, other):
+        """How many of the rarest shingles of a set can be the first that it shares with one of the other size."""
+        return size - np.ceil(self.similar / (1 + self.similar) * (size + other) - 1e-9).astype(np.int64) + 1
+
+    def meets(self, k: int, size: int, root: np.ndarray) -> np.ndarray:
+        """Sets that no link has reached yet and that may be similar to set k."""
+        found = []
+        low, high = int(np.ceil(self.similar * size - 1e-9)), int(size / self.similar + 1e-9)
+        for place in range(int(self.prefix(np.int64(size), np.float64(self.similar * size)))):
+            x = int(self.rarest[self.starts[k] + place])
+            if x not in self.lists:
+                continue
+            sizes, places, sets = self.lists[x]
+            i, j = np.searchsorted(sizes, (low, high + 1))
+            if j - i > 64:  # a long list: of each size only the places that can count
+                for one in np.unique(sizes[i:j]) if sizes[i] != sizes[j - 1] else (sizes[i],):
+                    most = int(self.prefix(one, np.int64(size)))
+                    if place < self.prefix(np.int64(size), one) and most > 0:
+                        a, b = np.searchsorted(sizes, (one, one + 1))
+                        found.append(sets[a : a + np.searchsorted(places[a:b], most)])
+            else:
+                one = sizes[i:j]
+                found.append(sets[i:j][(places[i:j] < self.prefix(one, np.int64(size))) & (place < self.prefix(np.int64(size), one))])
+            if found and len(found[-1]) > 64 and (root[found[-1]] >= 0).mean() > 0.5:
+                left = root[sets] < 0
+                self.lists[x] = sizes[left], places[left], sets[left]
+        if not found:
+            return np.empty(0, dtype=np.int32)
+        met = np.unique(np.concatenate(found))
+        return met[root[met] < 0]
 
 
 def similar_groups(sets: list[np.ndarray], similar: float = SIMILAR) -> np.ndarray:
     """The first member of each set's component, where sets of at least that Jaccard similarity are linked. Exact.
 
-    A member meets only those that no link has reached yet: one by one if they are few, else
-    through the posting lists of its shingles.
+    A member meets only those that no link has reached yet: each, if they are few, else those that
+    share one of the shingles that a similar set must share (see _Postings). Texts that have most of their words from one template but
+    are not similar enough share none of these and never meet.
     """
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    _, starts, posted, at = posting_lists(sets)
-    spans = np.split(at, np.cumsum(sizes)[:-1])
+    _, flat = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *sets]), return_inverse=True)
+    flat = flat.astype(np.int32)
+    postings = _Postings(flat, sizes, similar)
+    spans = [flat[a:b] for a, b in zip(postings.starts[:-1].tolist(), postings.starts[1:].tolist())]
+    known = np.zeros(int(flat.max()) + 1 if len(flat) else 1, dtype=bool)
     root = np.full(len(sets), -1, dtype=np.int64)
+    order = np.argsort(sizes, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, sizes[order][1:] != sizes[order][:-1], True]) if len(sets) else np.zeros(1, dtype=np.int64)
+    of_size = {int(sizes[order[a]]): order[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())}
+    open_ = np.bincount(sizes, minlength=1)  # unreached sets of each size
+
+    def unreached(low: int, high: int) -> np.ndarray:
+        out = []
+        for n in np.flatnonzero(open_[low : high + 1]) + low:
+            mine = of_size[int(n)]
+            if len(mine) > 2 * open_[n]:
+                mine = of_size[int(n)] = mine[root[mine] < 0]
+            out.append(mine[root[mine] < 0])
+        return np.concatenate(out)
+
     for first in range(len(sets)):
         if root[first] >= 0:
             continue
         root[first] = first
+        open_[sizes[first]] -= 1
         stack = [first]
         while stack:
             k = stack.pop()
-            left = np.flatnonzero((root < 0) & (np.minimum(sizes, sizes[k]) >= similar * np.maximum(sizes, sizes[k]) - 1e-9))
-            if not len(left):
+            size = int(sizes[k])
+            low, high = int(np.ceil(similar * size - 1e-9)), min(int(size / similar + 1e-9), len(open_) - 1)
+            left = int(open_[low : high + 1].sum())
+            if not left:
                 continue
-            if len(left) <= FEW:
-                common = np.array([len(np.intersect1d(spans[k], spans[j], assume_unique=True)) for j in left])
-            else:
-                met = np.zeros(len(sets), dtype=np.int64)
-                for x in spans[k]:
-                    met[posted[starts[x] : starts[x + 1]]] += 1  # a set has a shingle once
-                common = met[left]
-            hits = left[common >= similar * (sizes[k] + sizes[left] - common) - 1e-9]
+            near = unreached(low, high) if left <= FEW or not size else postings.meets(k, size, root)
+            if not len(near):
+                continue
+            known[spans[k]] = True
+            many = np.concatenate([spans[j] for j in near])
+            lengths = sizes[near]
+            common = np.add.reduceat(np.r_[known[many], False].astype(np.int64), np.r_[0, np.cumsum(lengths)[:-1]]) * (lengths > 0)
+            known[spans[k]] = False
+            hits = near[common >= similar * (size + lengths - common) - 1e-9]
             root[hits] = first
+            np.subtract.at(open_, sizes[hits], 1)
             stack.extend(hits.tolist())
     return root
 
@@ -416,22 +464,13 @@ def _similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(1, len(a) + len(b) - common)
 
 
-def _links_of(low: pd.DataFrame, high: pd.DataFrame) -> pd.DataFrame:
-    """low, high: for each row of high (fp, text) the rows of low whose sets are similar enough, found by posting lists."""
-    sets = [shingle_set(t) for t in low["text"]]
-    sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    known, starts, posted, _ = posting_lists(sets)
-    fps = low["fp"].to_numpy()
-    out = []
-    for fp, text in zip(high["fp"], high["text"]):
-        x = shingle_set(text)
-        met = np.zeros(len(sets), dtype=np.int64)
-        k = np.searchsorted(known, x)
-        for j in k[(k < len(known)) & (known[np.minimum(k, len(known) - 1)] == x)]:
-            met[posted[starts[j] : starts[j + 1]]] += 1
-        hits = fps[met >= SIMILAR * (sizes + len(x) - met) - 1e-9]
-        out.append(pd.DataFrame({"low": np.minimum(hits, fp), "high": np.maximum(hits, fp)}))
-    return pd.concat(out)
+def _links_of(batch: pd.DataFrame) -> pd.DataFrame:
+    """low, high: links from the first set (by fp) of each component of a batch's sets (fp, text) to its others, which connect all that are similar."""
+    batch = batch.drop_duplicates("fp").sort_values("fp")
+    fps = batch["fp"].to_numpy()
+    root = similar_groups([shingle_set(t) for t in batch["text"]])
+    far = root != np.arange(len(root))
+    return pd.DataFrame({"low": fps[root[far]], "high": fps[far]}, dtype="int64")
 
 
 def _large_links(large: DataFrame, keyed: DataFrame, group: int) -> DataFrame:
@@ -459,8 +498,7 @@ def _large_links(large: DataFrame, keyed: DataFrame, group: int) -> DataFrame:
     asked = dealt.select("key", every.alias("asking"), F.col("slice").alias("asked"), "fp", "text", F.lit(False).alias("asks"))
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
-        high, low = batch[batch["asks"]], batch[~batch["asks"]]
-        return _links_of(low, high) if len(high) and len(low) else pd.DataFrame({"low": [], "high": []}, dtype="int64")
+        return _links_of(batch) if batch["asks"].any() and not batch["asks"].all() else pd.DataFrame({"low": [], "high": []}, dtype="int64")
 
     found = asks.union(asked).groupBy("key", "asking", "asked").applyInPandas(compare, "low long, high long")
     return near.where("to_hub").select(F.least("fp", "root").alias("low"), F.greatest("fp", "root").alias("high")).union(found).where("low <> high")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -606,11 +607,7 @@ def test_simhash_components(spark, documents, none_at_all):
                 first[roots[p]] = min(d, first.get(roots[p], d))
         got = sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.simhash_components(df).collect()), key=repr)
         assert got == sorted(((d, p, first.get(roots[p])) for d, p in rows), key=repr)
-        kept = simhash.keep_first(df)
-        assert kept.columns == df.columns
-        ids = [r.doc_id for r in kept.collect()]
-        assert sorted(x for x in ids if x is not None) == sorted(first.values())
-    assert simhash.simhash_components(none_at_all).count() == 0 and simhash.keep_first(none_at_all).count() == 0
+    assert simhash.simhash_components(none_at_all).count() == 0
 
 
 def test_links_connect_as_all_pairs_do(spark):
@@ -688,7 +685,6 @@ def test_pipeline_drops_copies_of_similarity_0_8(spark, none_at_all):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {k for k, r in enumerate(brute_similar(texts)) if k == r}
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, SMALL).collect()} == want
-    assert {r.doc_id for r in simhash.keep_first(df).collect()} != want
     assert simhash.keep_first_similar(none_at_all).count() == 0
 
 
@@ -738,7 +734,7 @@ def test_similar_groups_are_exact():
             simhash.FEW = kept
 
 
-def test_posting_lists_and_groups_against_plain_ones():
+def test_groups_against_plain_ones():
     rng = np.random.default_rng(5)
     for members in (0, 1, 5, 90):
         base = [rng.integers(0, 400, 60) for _ in range(3)]
@@ -747,13 +743,6 @@ def test_posting_lists_and_groups_against_plain_ones():
             x = base[k % 3].copy()
             x[: k % 13] = rng.integers(0, 400, k % 13)
             sets.append(np.unique(x).astype(np.uint64) if k != 3 else np.empty(0, dtype=np.uint64))
-        known, starts, posted, at = simhash.posting_lists(sets)
-        assert known.tolist() == sorted({int(x) for s in sets for x in s})
-        for k, x in enumerate(known):
-            assert posted[starts[k] : starts[k + 1]].tolist() == [j for j, s in enumerate(sets) if x in s]
-        assert known[at].tolist() == [int(x) for s in sets for x in s]
-        if not sets:
-            continue
         root = list(range(members))
         before = None
         while before != root:  # plain relaxation over all similar pairs
@@ -766,6 +755,55 @@ def test_posting_lists_and_groups_against_plain_ones():
         assert simhash.similar_groups(sets).tolist() == root
 
 
+def test_groups_of_many_shapes_are_exact():
+    """Sizes, edits and thresholds at random: long and short lists, few and many unreached."""
+    rng = random.Random(6)
+    for few in (0, 16):
+        kept, simhash.FEW = simhash.FEW, few
+        try:
+            for trial in range(25):
+                base = [rng.sample(range(3000), rng.randint(0, 60)) for _ in range(rng.randint(1, 4))]
+                sets = []
+                for _ in range(rng.randint(0, 160)):
+                    k = rng.choice([0, 0, 1, 2, 3, 5, 8])
+                    x = [v for v in rng.choice(base) if rng.random() > k / 40] + [rng.randint(0, 3000) for _ in range(rng.choice([0, 0, 1, 2, 4]))]
+                    sets.append(np.unique(np.array(x, dtype=np.uint64)))
+                similar = (0.8, 0.5, 0.9)[trial % 3]
+                root = list(range(len(sets)))
+                for i, a in enumerate(sets):
+                    for j, b in enumerate(sets[:i]):
+                        both = len(np.intersect1d(a, b))
+                        if both >= similar * (len(a) + len(b) - both) - 1e-9:
+                            low, high = sorted((root[i], root[j]))
+                            root = [low if r == high else r for r in root]
+                assert simhash.similar_groups(sets, similar).tolist() == root
+        finally:
+            simhash.FEW = kept
+
+
+def test_templated_families_never_meet():
+    """200,000 texts that share five of their seven shingles: no copies, in seconds; with a few true copies among them."""
+    texts = [f"please contact our office by phone or mail today user{k}" for k in range(200_000)]
+    sets = [simhash.shingle_set(t) for t in texts] + [simhash.shingle_set(texts[7]), simhash.shingle_set(texts[9] + " now")]
+    began = time.time()
+    root = simhash.similar_groups(sets)
+    assert time.time() - began < 30
+    assert root[200_000] == 7 and (root[:200_000] == np.arange(200_000)).all()
+    one = {*sets[9].tolist()}
+    two = {*sets[200_001].tolist()}
+    assert (root[200_001] == 9) == (5 * len(one & two) >= 4 * len(one | two))
+
+
+def test_families_through_the_stage(spark, monkeypatch):
+    """The same through Spark, in one task and in slices: every row stays but copies."""
+    rows = [(k, f"please contact our office by phone or mail today user{k % 3900}") for k in range(4000)] + [(9000 + k, " ".join(f"w{j}" for j in range(60) if j != k)) for k in (60, 0, 59)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {*range(3900), 9000}
+    assert {r.doc_id for r in simhash.keep_first_similar(df).collect()} == want
+    found = common.materialize(simhash.similar_components(df, 3000), "sliced")
+    assert found.select("root").distinct().count() == len(want)
+
+
 def test_one_pass_gives_the_set_and_the_fingerprint():
     for text in (None, "", " \n", "one", "a b c d", "a b c d e", "a b c d e " * 40):
         h = simhash.shingle_hashes(text, 5)
