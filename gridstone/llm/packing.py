@@ -134,12 +134,16 @@ def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tupl
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_chunks: int = RANK_CHUNKS) -> DataFrame:
-    """Adds sequence_id and offset to pieces (which must be stored: they are read three times)."""
+    """Adds sequence_id and offset to pieces.
+
+    They must be stored, since they are read three times, and numbered (row): rows are dealt and ranked by that number,
+    so rows that are equal, or have no id, are dealt like any others.
+    """
     spark = pieces.sparkSession
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan = spark.createDataFrame(plan_slots(histogram, capacity), PLAN)
-    at = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(rank_chunks)))
-    within = at.withColumn("place", F.row_number().over(W.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32")))
+    at = pieces.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(rank_chunks)))
+    within = at.withColumn("place", F.row_number().over(W.partitionBy("length", "chunk").orderBy("row")))
     counts = at.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     before = counts.select("length", "chunk", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = within.join(before, ["length", "chunk"]).withColumn("rank", F.col("before") + F.col("place") - 1)
@@ -161,7 +165,7 @@ def best_fit_packing(documents: DataFrame, vocabulary: str, capacity: int = CAPA
     null and repeated doc_ids are packed row by row. An empty table gives no rows. Texts of
     any length are cut into full pieces, only the first of which may be shorter.
     """
-    return pack(materialize(pieces_of(documents, vocabulary, capacity), "pieces"), capacity)
+    return pack(materialize(pieces_of(documents, vocabulary, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity)
 
 
 def vocabulary_path() -> str:
