@@ -9,27 +9,35 @@ from gridstone.llm.common import materialize, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; it is trained on the corpus' labelled documents."""
+    """Documents that the quality classifier keeps; it is trained on the corpus' labelled documents.
+
+    A null text counts as empty, a null source or lang as one of its own. Rows that repeat an id or text are judged one by one, alike
+    where they are alike; columns pass unchanged, and an empty table stays empty.
+    """
     return quality_bayes.keep_good(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line labels keep."""
+    """Documents that the base rules and the line labels keep. A null text has no words and goes; repeated rows are judged one by one; columns pass unchanged."""
     return quality_rules.keep_quality(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each component of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document, that with the smallest doc_id, of each component of near copies: five-word shingles, similarity 0.8 or more.
+
+    Texts without words, null ones too, are copies of each other; rows without an id come last. Of rows that repeat the id and text
+    that stays, one stays.
+    """
     return simhash.keep_first_similar(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets masked."""
+    """All documents, with their secrets masked and n_chars counted anew. A null text stays null; rows that repeat or lack an id are masked like others."""
     return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in training sequences."""
+    """Pieces of all documents with their places in training sequences. A null text is a piece of the end id alone; repeated rows are packed one by one."""
     return packing.best_fit_packing(docs, packing.vocabulary_path())
 
 
