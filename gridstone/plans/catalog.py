@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridstone.plans import bulletin, control, entry, forecast, formats, ingest, insight, news, predictions, racing, ratings, serving, weekend, wire
+from gridstone.plans import bulletin, control, entry, forecast, formats, ingest, insight, matrix, news, predictions, racing, ratings, serving, weekend, wire
 from gridstone.sources.tables import table
 from gridstone.streaming.incremental import first_seen, hourly_counts
 
@@ -21,6 +21,7 @@ QUERIES: dict = {
     **wire.QUERIES,
     **formats.QUERIES,
     **predictions.QUERIES,
+    **matrix.QUERIES,
     "hourly_counts": lambda s, d: hourly_counts(table(s, d, "events")),
     "first_seen": lambda s, d: first_seen(table(s, d, "events")).select("event_id", "user_id", "event_type"),
 }
@@ -39,6 +40,7 @@ ORACLE_SQL: dict[str, str] = {
     **wire.ORACLE_SQL,
     **formats.ORACLE_SQL,
     **predictions.ORACLE_SQL,
+    **matrix.ORACLE_SQL,
     "hourly_counts": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) as n from events group by 1, 2",
     "first_seen": "select distinct on (event_id) event_id, user_id, event_type from events",
 }

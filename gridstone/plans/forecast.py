@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,18 +54,22 @@ def model_features(r: DataFrame) -> DataFrame:
     return rows.join(team, ["team", *SESSION], "left").select(*RUN, "team", "finish", "grid", "form3", "form10", "circuit_form", "grid_gain", "team_form", "points_before", "retired_share", F.round(F.col("form3") - F.col("form10"), 4).alias("trend"), "starts")
 
 
-def _prepared(r: DataFrame, older: float = 0.55, newer: float = 2.25, latest: float = 2.0, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows: earlier seasons and the last one, with medians of the training rows for nulls and a weight of each training race."""
+def _prepared(r: DataFrame, features: DataFrame | None = None, names: Sequence[str] = FEATURES, older: float = 0.55, newer: float = 2.25, latest: float = 2.0, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows: earlier seasons and the last one, with medians of the training rows for nulls and a weight of each training race.
+
+    features has names, `finish` and the race of each starter; model_features(r) where it is not given.
+    """
     from pyspark.ml.feature import Imputer, VectorAssembler
 
-    f = stored(model_features(r).withColumns({c: F.col(c).cast("double") for c in (*FEATURES, "finish")}))  # read by every pass of a fit
+    f = model_features(r) if features is None else features
+    f = stored(f.withColumns({c: F.col(c).cast("double") for c in (*names, "finish")}))  # read by every pass of a fit
     last = f.agg(F.max("season").alias("last"))  # one row
     f = f.crossJoin(F.broadcast(last))
     train, test = f.where("season < last"), f.where("season = last").drop("last")
     newest = train.agg(F.max(F.struct(*SESSION)).alias("m")).select(F.col("m.season").alias("s"), (F.col("m.round") - rounds).alias("k"))  # one row
     weight = F.when(F.col("season") < F.col("s"), older).otherwise(newer) * F.when(F.struct("season", "round") >= F.struct("s", "k"), latest).otherwise(1.0)
     train = train.crossJoin(F.broadcast(newest)).withColumn("weight", weight).drop("last", "s", "k")
-    names = list(FEATURES)
+    names = list(names)
     if not train.isEmpty():
         medians = Imputer(strategy="median", inputCols=names, outputCols=names).fit(train)
         train, test = medians.transform(train), medians.transform(test)
@@ -76,12 +82,12 @@ def _clipped(p: DataFrame) -> DataFrame:
     return p.select(*RUN, F.round(F.least(F.greatest("prediction", F.lit(1.0)), n), 4).alias("predicted"))
 
 
-def ridge(r: DataFrame, alpha: float = 50.0) -> DataFrame:
+def ridge(r: DataFrame, alpha: float = 50.0, features: DataFrame | None = None, names: Sequence[str] = FEATURES) -> DataFrame:
     """Finishing places of the last season by weighted ridge regression on the seasons before, clipped to the field; the grid where there are none."""
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.regression import LinearRegression
 
-    train, test = _prepared(r)
+    train, test = _prepared(r, features, names)
     w, y = F.col("weight"), F.col("finish")
     total, mean, square = train.agg(F.sum(w), F.sum(w * y) / F.sum(w), F.sum(w * y * y) / F.sum(w)).first()
     if not total or square <= mean * mean:
@@ -93,25 +99,25 @@ def ridge(r: DataFrame, alpha: float = 50.0) -> DataFrame:
     return _clipped(model.transform(scaler.transform(test)))
 
 
-def forest(r: DataFrame, trees: int = 200, depth: int = 6, leaf: int = 10) -> DataFrame:
+def forest(r: DataFrame, trees: int = 200, depth: int = 6, leaf: int = 10, features: DataFrame | None = None, names: Sequence[str] = FEATURES) -> DataFrame:
     """As `ridge`, by a random forest."""
     from pyspark.ml.regression import RandomForestRegressor
 
-    train, test = _prepared(r)
+    train, test = _prepared(r, features, names)
     if train.isEmpty():
         return _clipped(test.withColumn("prediction", F.col("grid")))
     model = RandomForestRegressor(labelCol="finish", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=7).fit(train)
     return _clipped(model.transform(test))
 
 
-def boosted(r: DataFrame, least_races: int = 8, rounds: int = 30, depth: int = 3) -> DataFrame:
+def boosted(r: DataFrame, least_races: int = 8, rounds: int = 30, depth: int = 3, features: DataFrame | None = None, names: Sequence[str] = FEATURES) -> DataFrame:
     """As `ridge`, by boosted trees; by the forest where the newest training season has too few races for them."""
     from pyspark.ml.regression import GBTRegressor
 
-    train, test = _prepared(r)
+    train, test = _prepared(r, features, names)
     races = train.select(*SESSION).distinct().groupBy("season").count().agg(F.max_by("count", "season")).first()[0]
     if not races or races < least_races:
-        return forest(r)
+        return forest(r, features=features, names=names)
     model = GBTRegressor(labelCol="finish", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=7).fit(train)
     return _clipped(model.transform(test))
 
