@@ -112,6 +112,7 @@ class ByteBPE:
         self.compatible: dict[tuple[int, int], bool] = {}
         whole, moved = split or exact_split()
         self.split, self.split_moved, self.moved = regex.compile(SPLIT), regex.compile(whole), re.compile(moved)
+        self.moved_from = min((int(x, 16) for x in re.findall(r"\\U([0-9A-F]{8})", moved)), default=1 << 21)  # the least of those characters
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         top = max([*self.bytes, *self.special.values()]) + 1
         table = [self.bytes.get(n, b"") for n in range(top)]
@@ -205,12 +206,18 @@ class ByteBPE:
             at = m.end()
         yield text[at:], None
 
+    def _splitter(self, stretch: str):
+        """The expression that cuts a stretch as the library does; the slower one only where a character needs it."""
+        if stretch.isascii() or int(np.frombuffer(stretch.encode("utf-32-le", "surrogatepass"), dtype="<u4").max()) < self.moved_from:
+            return self.split
+        return self.split_moved if self.moved.search(stretch) else self.split
+
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """Ids as an array and as decimals joined by commas."""
         raw, shown = [], []
         for stretch, special in self._stretches(text):
             get, new = self._words.get, self._word
-            found = [get(word) or new(word) for word in (self.split_moved if self.moved.search(stretch) else self.split).findall(stretch)]
+            found = [get(word) or new(word) for word in self._splitter(stretch).findall(stretch)]
             raw += [x[0] for x in found]
             shown += [x[1] for x in found]
             if special is not None:
