@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,8 +48,9 @@ def pieces_of(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY) -
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
 
 
+@lru_cache(maxsize=1)
 def _encoder(vocabulary: str):
-    """text -> ids as the tokenizers library gives them.
+    """text -> ids as the tokenizers library gives them; built once a worker, whatever number of tasks it runs.
 
     The rank file beside the vocabulary holds the same merges for a faster library; texts
     that hold a special token, or that it gives up on, go to the tokenizers library itself.
