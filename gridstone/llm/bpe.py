@@ -236,13 +236,19 @@ class ByteBPE:
         return self.blob[np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)].tobytes()
 
 
+@lru_cache(maxsize=2)
+def tables_of(vocabulary: str, split: tuple[str, str]) -> ByteBPE:
+    """A vocabulary's tables, built once a worker, whatever number of tasks it runs; what it remembers is bounded."""
+    return ByteBPE(vocabulary, split)
+
+
 def encoded(text: Column, vocabulary: str) -> Column:
     """array<int> of token ids; null text as empty."""
     split = exact_split()
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = ByteBPE(vocabulary, split)
+        bpe = tables_of(vocabulary, split)
         for texts in batches:
             yield pd.Series([bpe.encode(t or "")[0].astype("int32") for t in texts])
 
@@ -254,7 +260,7 @@ def decoded(ids: Column, vocabulary: str) -> Column:
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = ByteBPE(vocabulary, (SPLIT, r"(?!)"))  # decoding splits nothing
+        bpe = tables_of(vocabulary, (SPLIT, r"(?!)"))  # decoding splits nothing
         for arrays in batches:
             yield pd.Series([bpe.decode([] if a is None else a).decode("utf-8", "replace") for a in arrays])
 
@@ -274,7 +280,7 @@ def round_trips(documents: DataFrame, vocabulary: str) -> DataFrame:
 
     @F.pandas_udf(_DIGEST)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = ByteBPE(vocabulary, split)
+        bpe = tables_of(vocabulary, split)
         for texts in batches:
             out = []
             for text in texts:
