@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridstone.plans import bulletin, control, entry, forecast, formats, ingest, insight, matrix, news, predictions, racing, ratings, records, serving, weekend, wire
+from gridstone.plans import bulletin, control, dossier, entry, forecast, formats, ingest, insight, matrix, news, predictions, racing, ratings, records, serving, weekend, wire
 from gridstone.sources.tables import table
 from gridstone.streaming.incremental import first_seen, hourly_counts
 
@@ -23,6 +23,7 @@ QUERIES: dict = {
     **predictions.QUERIES,
     **matrix.QUERIES,
     **records.QUERIES,
+    **dossier.QUERIES,
     "hourly_counts": lambda s, d: hourly_counts(table(s, d, "events")),
     "first_seen": lambda s, d: first_seen(table(s, d, "events")).select("event_id", "user_id", "event_type"),
 }
@@ -43,6 +44,7 @@ ORACLE_SQL: dict[str, str] = {
     **predictions.ORACLE_SQL,
     **matrix.ORACLE_SQL,
     **records.ORACLE_SQL,
+    **dossier.ORACLE_SQL,
     "hourly_counts": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) as n from events group by 1, 2",
     "first_seen": "select distinct on (event_id) event_id, user_id, event_type from events",
 }
