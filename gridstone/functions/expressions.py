@@ -17,6 +17,15 @@ def once(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double to so many digits as SQL engines round it: scaled, to the nearest whole number (halves away from 0), scaled back.
+
+    F.round goes by the shortest decimal form instead and differs where a sum of products lies next to a half.
+    """
+    scale = F.lit(float(10**digits))
+    return F.round(value * scale) / scale
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """top / bottom, null where bottom is 0 or null."""
     return top / F.nullif(bottom, F.lit(0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridstone.functions.expressions import cascade, clamp, cosine, jaccard, ratio, tone_label, words
+from gridstone.functions.expressions import cascade, clamp, cosine, jaccard, ratio, rounded, tone_label, words
 from gridstone.operators.relational import insert_new, keyset_page, upsert
 from gridstone.sources.tables import AS_OF, articles, as_of, feed, hours_ago, sql, table
 
@@ -65,8 +65,8 @@ def _horizons(articles: DataFrame, key: str, *hours: int) -> DataFrame:
 def momentum_v2(articles: DataFrame) -> DataFrame:
     """Weighted counts of several horizons per entity, with velocity, direction and tier."""
     a1, a6, a24, a72 = (F.col(f"a{h}") for h in (1, 6, 24, 72))
-    velocity = F.round(a6 / F.greatest(a72 / 12, F.lit(1.0)), 3)
-    momentum = F.round(F.least(F.lit(100.0), 12 * a1 + 5 * a6 + 1.5 * a24 + 0.25 * a72), 2)
+    velocity = rounded(a6 / F.greatest(a72 / 12, F.lit(1.0)), 3)
+    momentum = rounded(F.least(F.lit(100.0), 12 * a1 + 5 * a6 + 1.5 * a24 + 0.25 * a72), 2)
     rows = _horizons(articles, "entity", 1, 6, 24, 72).select("entity", velocity.alias("velocity"), momentum.alias("momentum"))
     m, v = F.col("momentum"), F.col("velocity")
     return rows.select("*", cascade([(v >= 2, "surging"), (v >= 1.2, "rising"), (v < 0.5, "cooling")], "steady").alias("direction"), cascade([(m >= 85, "P0"), (m >= 70, "P1"), (m >= 45, "P2")], "P3").alias("tier"), (m >= 70).alias("spike"))
@@ -75,7 +75,7 @@ def momentum_v2(articles: DataFrame) -> DataFrame:
 def momentum_heuristic(articles: DataFrame) -> DataFrame:
     a24, top = F.col("a24"), F.coalesce(F.col("top_priority"), F.lit(0.0))
     rows = _horizons(articles, "entity", 24, 72)
-    return rows.select("entity", F.round(F.least(F.lit(100.0), 14 * a24 + 0.45 * top), 2).alias("momentum"), ((a24 >= 5) | (top >= 85)).alias("spike"))
+    return rows.select("entity", rounded(F.least(F.lit(100.0), 14 * a24 + 0.45 * top), 2).alias("momentum"), ((a24 >= 5) | (top >= 85)).alias("spike"))
 
 
 def momentum_72h(articles: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def controversy(articles: DataFrame) -> DataFrame:
     base = W.partitionBy("entity")
     spread = F.stddev("mentions").over(base)
     media = F.when(F.coalesce(spread, F.lit(0.0)) == 0, 50.0).otherwise(clamp(50 + 15 * ratio(F.col("mentions") - F.avg("mentions").over(base), spread), 0.0, 100.0))
-    score = F.round(0.35 * (100 * F.col("negative") / F.col("mentions")) + 0.30 * F.least(F.lit(100), 28 * F.col("official")) + 0.20 * F.least(F.lit(100), 35 * F.col("heavy")) + 0.15 * media, 3)
+    score = rounded(0.35 * (100 * F.col("negative") / F.col("mentions")) + 0.30 * F.least(F.lit(100), 28 * F.col("official")) + 0.20 * F.least(F.lit(100), 35 * F.col("heavy")) + 0.15 * media, 3)
     rows = per.withColumn("controversy", score)
     c = F.col("controversy")
     rows = rows.withColumn("change", F.round(c - F.lag(c).over(W.partitionBy("entity").orderBy("day")), 3))
@@ -162,7 +162,7 @@ def regulatory_risk(articles: DataFrame) -> DataFrame:
     for p in parts[1:]:
         joined = joined.join(p, "entity", "full_outer")
     n = {k: F.coalesce(F.col(k), F.lit(0)) for k in ("inv", "pen", "fia", "con")}
-    risk = F.round(0.40 * F.least(F.lit(100), 40 * n["inv"]) + 0.30 * F.least(F.lit(100), 25 * n["pen"]) + 0.20 * F.least(F.lit(100), 20 * n["fia"]) + 0.10 * F.least(F.lit(100), n["con"]), 3)
+    risk = rounded(0.40 * F.least(F.lit(100), 40 * n["inv"]) + 0.30 * F.least(F.lit(100), 25 * n["pen"]) + 0.20 * F.least(F.lit(100), 20 * n["fia"]) + 0.10 * F.least(F.lit(100), n["con"]), 3)
     r = F.col("risk")
     return joined.select("entity", risk.alias("risk")).withColumn("label", cascade([(r >= 75, "CRITICAL"), (r >= 50, "HIGH"), (r >= 25, "MEDIUM"), (r > 5, "LOW")], "CLEAR"))
 
@@ -171,7 +171,7 @@ def risk_v2(articles: DataFrame) -> DataFrame:
     """Fourteen-day risk; entities without any stay out."""
     neg, off, hot = F.count_if(F.col("label") == "negative"), F.count_if(F.col("source") == "official"), F.count_if(F.col("priority") >= 80)
     cap = lambda x: F.least(F.lit(100), x)
-    rows = articles.where(_within(0, 336)).groupBy("entity").agg(F.round(0.35 * cap(18 * hot) + 0.35 * cap(20 * neg) + 0.15 * cap(5 * off) + 0.15 * cap(6 * neg + 5 * hot), 3).alias("risk")).where("risk > 0")
+    rows = articles.where(_within(0, 336)).groupBy("entity").agg(rounded(0.35 * cap(18 * hot) + 0.35 * cap(20 * neg) + 0.15 * cap(5 * off) + 0.15 * cap(6 * neg + 5 * hot), 3).alias("risk")).where("risk > 0")
     r = F.col("risk")
     return rows.withColumn("label", cascade([(r >= 75, "critical"), (r >= 50, "high"), (r >= 25, "medium")], "low"))
 

@@ -136,3 +136,26 @@ def test_files_in_and_out(spark, tmp_path):
     write_partitioned(rows, str(tmp_path / "t"), ["p"], files=2)
     write_partitioned(spark.createDataFrame([(9, "a")], "k int, p string"), str(tmp_path / "t"), ["p"])
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(9, "a"), (2, "b")}
+
+
+def test_hours_count_whole_seconds(spark):
+    """A row half a second past an hour is as old as the hour, as date_diff of seconds has it."""
+    import datetime
+
+    from gridstone.sources.tables import hours_ago
+
+    times = ["2024-01-30 23:59:59.5", "2024-01-30 23:00:00.5", "2024-01-30 23:00:00", "2024-01-28 00:00:00.000001", "2024-01-28 00:00:01", "2024-01-31 00:00:00.5", "2024-01-31 00:00:01"]
+    rows = spark.createDataFrame([(i, datetime.datetime.fromisoformat(t)) for i, t in enumerate(times)], "i int, published_at timestamp_ntz")
+    assert [r[0] for r in rows.orderBy("i").select(hours_ago()).collect()] == [0, 1, 1, 72, 71, 0, -1]
+
+
+def test_rounding_next_to_a_half(spark):
+    """Doubles are rounded scaled, as in SQL: the shortest form of 14 * 3 + 0.45 * 62.1 says 69.945, the scaled double is less."""
+    import duckdb
+
+    from gridstone.functions.expressions import rounded
+
+    given = [(14 * n + 0.45 * (p / 100),) for n in range(3) for p in range(10, 10000, 10)]
+    want = duckdb.sql("select round(x, 2) from (select unnest(?) as x)", params=[[x for (x,) in given]]).fetchall()
+    got = spark.createDataFrame(given, "x double").coalesce(1).select(rounded(F.col("x"), 2)).collect()
+    assert [r[0] for r in got] == [r[0] for r in want]
