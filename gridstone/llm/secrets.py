@@ -254,6 +254,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridstone.llm.common import table
 
     rows = secret_scan(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["rank"] == n)).cast("long").alias(f"n_{RULES[n].kind}") for n in range(BASE_KINDS)]
+    of = lambda n: F.size(F.filter("spans", lambda s: s["rank"] == n))  # noqa: E731 (a second parameter of the inner one would be the element's place)
+    counts = [of(n).cast("long").alias(f"n_{RULES[n].kind}") for n in range(BASE_KINDS)]
     base = shown(F.filter("spans", lambda s: s["rank"] < BASE_KINDS))
     return rows.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
