@@ -29,12 +29,13 @@ def predictions(r: DataFrame) -> DataFrame:
     """A row per race, model and driver: predicted place, win and podium chance, when (a number that grows), circuit (unknown for some), actual place and points."""
     models = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(k).alias("every"), F.lit(t).alias("turned"), F.lit(i).alias("step")) for i, (n, k, t) in enumerate(MODELS)])
     fields = r.groupBy(*RACE).agg(F.count("*").alias("n"))
+    fields = fields.withColumn("whole", F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.lit(0.0), lambda s, k: s + 1 / k))  # once a race: a sum over the field for each starter would be quadratic in it
     rows = r.join(F.broadcast(fields), RACE).withColumn("m", F.explode(models)).where(F.col("round") % F.col("m.every") == 0)  # a row a race is broadcast
     place = F.when(F.col("m.turned"), F.col("n") + 1 - F.col("grid")).otherwise(F.col("grid"))
     circuit = F.when(F.col("round") % 6 == 0, "Unknown").otherwise(F.concat(F.lit("circuit "), F.col("round").cast("string")))
-    rows = rows.select(*RACE, "driver", "team", F.col("m.model").alias("model"), place.cast("long").alias("predicted"), F.col("n"), (F.col("season") * 10_000 + F.col("round") * 100 + F.col("m.step") * 7 % 5).cast("long").alias("made"), circuit.alias("circuit"), F.col("finish").cast("long").alias("actual"), F.col("points").cast("long").alias("points"))
-    win = (1 / (F.col("predicted") * F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.lit(0.0), lambda s, k: s + 1 / k))).cast("double")
-    return rows.withColumn("win", F.round(win, 6)).withColumn("podium", F.least(F.round(3 * F.col("win"), 6), F.lit(1.0))).drop("n")
+    rows = rows.select(*RACE, "driver", "team", F.col("m.model").alias("model"), place.cast("long").alias("predicted"), "n", "whole", (F.col("season") * 10_000 + F.col("round") * 100 + F.col("m.step") * 7 % 5).cast("long").alias("made"), circuit.alias("circuit"), F.col("finish").cast("long").alias("actual"), F.col("points").cast("long").alias("points"))
+    win = (1 / (F.col("predicted") * F.col("whole"))).cast("double")
+    return rows.withColumn("win", F.round(win, 6)).withColumn("podium", F.least(F.round(3 * F.col("win"), 6), F.lit(1.0))).drop("n", "whole")
 
 
 def accuracy(p: DataFrame) -> DataFrame:
