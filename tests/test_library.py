@@ -150,7 +150,7 @@ def test_hours_count_whole_seconds(spark):
 
 
 def test_rounding_next_to_a_half(spark):
-    """Doubles are rounded scaled, as in SQL: the shortest form of 14 * 3 + 0.45 * 62.1 says 69.945, the scaled double is less."""
+    """Doubles are rounded scaled, as in SQL: 0.45 * 2.3 is 1.035 in its shortest form, and less than that half when scaled."""
     import duckdb
 
     from gridstone.functions.expressions import rounded
