@@ -245,14 +245,49 @@ def page_title(html: Column) -> Column:
     return F.trim(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+def _title_sets(titles: DataFrame) -> DataFrame:
+    """doc_id, tokens: the set of words of each title; titles without words are left out."""
+    return titles.select("doc_id", F.array_sort(F.array_distinct(words(F.col("title")))).alias("tokens")).where(F.size("tokens") > 0)
+
+
 def title_classes(titles: DataFrame) -> DataFrame:
     """doc_id, first_id: the smallest doc_id whose title has the same set of words; titles without words are left out."""
-    tokens = F.array_sort(F.array_distinct(words(F.col("title"))))
-    rows = titles.select("doc_id", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    rows = _title_sets(titles)
     first = rows.groupBy("tokens").agg(F.min("doc_id").alias("first_id"))
     return rows.join(first, "tokens").select("doc_id", "first_id", "tokens")
 
 
+#: Longs of a set's bit map: each word sets one of their bits.
+MAPS = 4
+
+
+def _maps(tokens: str) -> list[Column]:
+    """The bit map of a set of words, m0, m1, ...: a bit that one set has and another lacks stands for a word that the other lacks."""
+    bit = "shiftleft(1L, cast(pmod(shiftright(xxhash64(t), 8), 64) as int))"
+    return [F.expr(f"aggregate({tokens}, 0L, (m, t) -> if(pmod(xxhash64(t), {MAPS}) = {k}, m | {bit}, m))").alias(f"m{k}") for k in range(MAPS)]
+
+
+def _lacks(x: str, y: str) -> Column:
+    """How many words of x at least are not in y, by their bit maps."""
+    return F.expr(" + ".join(f"bit_count({x}m{k} & ~{y}m{k})" for k in range(MAPS)))
+
+
+def _meeting(sets: DataFrame, least: float, contained: int, least_words: int) -> DataFrame:
+    """a, b: pairs of sets that may be near, each once and among them all that are; see near_titles."""
+    mapped = sets.select("id", F.size("tokens").alias("n"), "tokens", *_maps("tokens"))  # once a set, before its words are dealt
+    spread = mapped.withColumn("token", F.explode("tokens")).drop("tokens")
+    frequency = spread.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = spread.join(frequency, "token").withColumn("k", F.row_number().over(W.partitionBy("id").orderBy("df", "token")))
+    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    side = lambda rows, x: rows.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}{c}") for c in ("n", "token", *[f"m{k}" for k in range(MAPS)])])
+    shared = (F.col("atoken") == F.col("btoken")) & (F.col("a") != F.col("b")) & (F.col("an") <= F.col("bn"))
+    most = F.least(F.col("an") - _lacks("a", "b"), F.col("bn") - _lacks("b", "a"))  # words that both may have
+    alike = (F.col("an") >= F.lit(least) * F.col("bn") - 1e-9) & (most >= F.lit(least) * (F.col("an") + F.col("bn") - most) - 1e-6)
+    overlap = side(prefix, "a").join(side(prefix.where(F.col("n") >= least_words), "b"), shared & alike)
+    within = side(ranked.where((F.col("k") == 1) & (F.col("n") >= contained)), "a").join(side(spread, "b"), shared & (_lacks("a", "b") == 0))
+    return overlap.select("a", "b").union(within.select("a", "b")).distinct()
+
+
 def near_titles(titles: DataFrame, least: float = 0.58, contained: int = 4, least_words: int = 5) -> DataFrame:
     """low_id, high_id, likeness: near-duplicates among the first articles of title classes (membership: title_classes).
 
@@ -260,17 +295,12 @@ def near_titles(titles: DataFrame, least: float = 0.58, contained: int = 4, leas
     or the larger has `least_words` and their word overlap is `least`. Two exact arms find them.
     Overlap: at least ceil(least * n) of a title's n words are common then, so two such titles
     share one of their n - ceil(least * n) + 1 rarest words, and their sizes differ by that share at
-    most. Containment: the rarest word of the smaller is in the larger.
+    most. Containment: the rarest word of the smaller is in the larger. Pairs that meet in a word grow
+    faster than the titles, so bit maps of both sets rule out the unlike ones inside the joins: what is
+    shuffled after them is little more than the near pairs.
     """
-    sets = title_classes(titles).where("doc_id = first_id").select(F.col("doc_id").alias("id"), "tokens").distinct()
-    spread = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    frequency = spread.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = spread.join(frequency, "token").withColumn("k", F.row_number().over(W.partitionBy("id").orderBy("df", "token")))
-    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
-    side = lambda rows, x: rows.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), "token")
-    overlap = side(prefix, "a").join(side(prefix.where(F.col("n") >= least_words), "b"), "token").where((F.col("an") <= F.col("bn")) & (F.col("an") >= F.lit(least) * F.col("bn") - 1e-9))
-    within = side(ranked.where((F.col("k") == 1) & (F.col("n") >= contained)), "a").join(side(spread, "b"), "token").where("an <= bn")
-    met = overlap.select("a", "b").union(within.select("a", "b")).where("a <> b").distinct()
+    sets = _title_sets(titles).groupBy("tokens").agg(F.min("doc_id").alias("id"))
+    met = _meeting(sets, least, contained, least_words)
     both = met.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     small, large = F.size("x"), F.size("y")
     like = jaccard(F.col("x"), F.col("y"))
