@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridstone.functions.expressions import cascade, ratio, tone_label
+from gridstone.functions.expressions import cascade, ratio, rounded, tone_label
 from gridstone.operators.relational import upsert
 from gridstone.plans.ingest import TOPICS, regex_tags, team_sentiment
 from gridstone.plans.weekend import _CALENDAR, CALENDAR_DAY, calendar, weekend_state
@@ -164,7 +164,7 @@ def controversy_profile(rows: DataFrame) -> DataFrame:
     way = cascade([(F.col("new") > F.col("old"), "escalating"), (F.col("new") < F.col("old"), "cooling")], "stable")
     rows = per.select("*", score.cast("bigint").alias("score"), tier.alias("tier"))
     dominant = F.when(F.col("most") > 0.45 * F.col("total"), F.col("top")).otherwise("mixed")
-    return rows.select("entity", "score", "tier", number.cast("bigint").alias("intensity"), F.round(ratio(F.col("squares").cast("double"), F.col("total") * F.col("total")), 6).alias("concentration"), dominant.alias("dominant"), way.alias("trajectory"))
+    return rows.select("entity", "score", "tier", number.cast("bigint").alias("intensity"), rounded(ratio(F.col("squares").cast("double"), F.col("total") * F.col("total")), 6).alias("concentration"), dominant.alias("dominant"), way.alias("trajectory"))
 
 
 def due(rows: DataFrame, made: DataFrame) -> DataFrame:

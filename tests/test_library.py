@@ -174,3 +174,29 @@ def test_large_fields_cost_their_rows(spark):
     total = predictions(r).agg(F.sum("win")).first()[0]
     assert [x.win for x in got] == [round(1 / sum(1 / k for k in range(1, n + 1)), 6)] and 0.9 < total < 1.1
     assert time.time() - began < 30
+
+
+def test_concentration_next_to_a_half(spark):
+    """402 / 80 squared is 0.0628125, whose double lies below the half: SQL rounds it down."""
+    import datetime
+
+    from gridstone.plans.bulletin import controversy_profile
+
+    parts = next(_parts(80, 402))
+    at = datetime.datetime(2024, 1, 30)
+    rows = [(k * 100 + n, at, f"c{k}", 1, 70.0, "neutral") for k, size in enumerate(parts) for n in range(size)]
+    made = spark.createDataFrame(rows, "guid long, published_at timestamp_ntz, cluster string, entity long, priority double, label string")
+    assert [r.concentration for r in controversy_profile(made).collect()] == [0.062812]
+
+
+def _parts(total: int, squares: int):
+    """Sizes with a given sum and sum of squares."""
+    if total == 0:
+        if squares == 0:
+            yield []
+        return
+    for k in range(int(squares**0.5), 0, -1):
+        if k <= total and k * k <= squares and (total - k) <= squares - k * k <= (total - k) ** 2:
+            for rest in _parts(total - k, squares - k * k):
+                yield [k, *rest]
+                return
