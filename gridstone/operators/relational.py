@@ -94,12 +94,12 @@ def first_independent(nodes: DataFrame, edges: DataFrame, key: str, low: str = "
     edges has each pair once, low < high.
     """
     open_edges = stored(edges.select(F.col(low).alias("low"), F.col(high).alias("high")).distinct())
-    dropped = stored(open_edges.select(F.col("high").alias("node")).limit(0))
+    dropped = None
     while not open_edges.isEmpty():
         waiting = open_edges.select(F.col("high").alias("low")).distinct()
         free = open_edges.join(waiting, "low", "left_anti")  # edges from nodes that nothing before can drop
         gone = stored(free.select(F.col("high").alias("node")).distinct())
-        dropped = stored(dropped.union(gone))
+        dropped = gone if dropped is None else dropped.union(gone)  # no node goes twice, so all rounds together store each once
         left = open_edges.join(gone.withColumnRenamed("node", "high"), "high", "left_anti").join(gone.withColumnRenamed("node", "low"), "low", "left_anti")
         open_edges = stored(left)
-    return nodes.join(dropped.withColumnRenamed("node", key), key, "left_anti")
+    return nodes if dropped is None else nodes.join(dropped.withColumnRenamed("node", key), key, "left_anti")

@@ -47,3 +47,22 @@ def test_near_pairs_are_exact(spark):
             want.add((min(i, j), max(i, j)))
     got = near_titles(spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in sets.items()], "doc_id long, title string"))
     assert want and {(r.low_id, r.high_id) for r in got.collect()} == want
+
+
+def test_dropped_nodes_are_stored_once(spark, monkeypatch):
+    """A chain takes a round for every other node; what earlier rounds dropped is not written again."""
+    from gridstone.operators import relational
+
+    written, whole = [], relational.stored
+
+    def counted(df):
+        if df.columns == ["node"]:
+            written.append(df.count())
+        return whole(df)
+
+    monkeypatch.setattr(relational, "stored", counted)
+    nodes = spark.range(9).withColumnRenamed("id", "key")
+    edges = spark.range(8).selectExpr("id as low_id", "id + 1 as high_id")
+    kept = relational.first_independent(nodes, edges, "key")
+    assert sorted(r.key for r in kept.collect()) == [0, 2, 4, 6, 8]
+    assert sum(written) == 4
