@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridstone.operators.relational import stored
 from gridstone.plans.bulletin import sprint_results
-from gridstone.sources.tables import results, sql
+from gridstone.sources.tables import results_once, sql
 
 RACE = ["season", "round"]
 #: Weight of a race in the ratings, share of it on a circuit of its own and in a sprint, what a new driver starts with, and what a season without a weight of its own counts.
@@ -102,9 +102,13 @@ def elo_with_sprints(r: DataFrame, sprints: DataFrame, block: int = BLOCK) -> Da
     return carried(both, block).join(F.broadcast(named), "number").select(*RACE, "kind", "driver", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"))
 
 
+def _with_sprints(r: DataFrame) -> DataFrame:
+    return elo_with_sprints(r, sprint_results(r))
+
+
 QUERIES = {
-    "elo_ratings": lambda s, d: elo(results(s, d)),
-    "sprint_ratings": lambda s, d: elo_with_sprints(results(s, d), sprint_results(results(s, d))),
+    "elo_ratings": lambda s, d: elo(results_once(s, d)),
+    "sprint_ratings": lambda s, d: _with_sprints(results_once(s, d)),
 }
 
 
