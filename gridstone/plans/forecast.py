@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridstone.operators.relational import previous_mean, stored
 from gridstone.plans.entry import blend
-from gridstone.sources.tables import POINTS, laps, results, sql
+from gridstone.sources.tables import POINTS, laps, results_once, sql
 
 SESSION = ["season", "round"]
 RUN = ["season", "round", "driver"]
@@ -272,7 +272,7 @@ def smoothed(p: DataFrame) -> DataFrame:
 
 
 def _r(f):
-    return lambda s, d: f(results(s, d))
+    return lambda s, d: f(results_once(s, d))
 
 
 QUERIES = {
@@ -281,7 +281,7 @@ QUERIES = {
     "forest_predict": _r(forest),
     "boosted_predict": _r(boosted),
     "monte_carlo": _r(lambda r: simulate_from(starters(r))),
-    "live_simulation": lambda s, d: live_simulation(results(s, d), laps(s, d)),
+    "live_simulation": lambda s, d: live_simulation(results_once(s, d), laps(s, d)),
     "prediction_smoothed": _r(lambda r: smoothed(blend(r))),
 }
 ORACLE_SQL = {
