@@ -17,7 +17,7 @@ from gridstone.plans import forecast
 from gridstone.plans.bulletin import sprint_results
 from gridstone.plans.racing import qualifying
 from gridstone.plans.ratings import _FIELDS, _RECURSE, _recursive, CIRCUIT_SHARE, RACE, SEASON_WEIGHT, SEASON_WEIGHTS, _numbered, _scored, carried
-from gridstone.sources.tables import laps, results, sql
+from gridstone.sources.tables import laps, results_once, sql
 
 RUN = ["season", "round", "driver"]
 #: What stands for a driver, team or circuit without history.
@@ -142,9 +142,17 @@ def matrix_forecast(r: DataFrame, lap: DataFrame, sprints: DataFrame) -> DataFra
     return out
 
 
+def _of_tables(f):
+    def query(s, d):
+        r = results_once(s, d)
+        return f(r, laps(s, d), sprint_results(r))
+
+    return query
+
+
 QUERIES = {
-    "matrix_forecast": lambda s, d: matrix_forecast(results(s, d), laps(s, d), sprint_results(results(s, d))),
-    "training_matrix": lambda s, d: training_matrix(results(s, d), laps(s, d), sprint_results(results(s, d))),
+    "matrix_forecast": _of_tables(matrix_forecast),
+    "training_matrix": _of_tables(training_matrix),
 }
 
 _RATIOS = {
