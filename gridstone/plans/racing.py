@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridstone.functions.expressions import cascade, ratio
-from gridstone.operators.relational import asof_join, islands, previous_mean
+from gridstone.operators.relational import asof_join, islands, previous_mean, stored
 from gridstone.sources.tables import laps, results, sql, table
 
 SESSION = ["season", "round"]
@@ -155,21 +155,22 @@ def calibration(r: DataFrame) -> DataFrame:
     """Chance of a win by grid place, monotone by isotonic regression; the raw share where there are under 50 rows."""
     from pyspark.ml.regression import IsotonicRegression
 
-    rows = r.select("grid", F.col("grid").cast("double").alias("x"), (F.col("finish") == 1).cast("double").alias("won"))
-    grids = rows.select("grid", "x").distinct()
-    if rows.limit(50).count() < 50:
-        return rows.groupBy("grid").agg(F.avg("won").alias("win"))
-    model = IsotonicRegression(featuresCol="x", labelCol="won", isotonic=False).fit(rows)
-    return model.transform(grids).select("grid", F.round("prediction", 6).alias("win"))
+    won = (F.col("finish") == 1).cast("double")
+    places = stored(r.groupBy("grid").agg(F.avg(won).alias("won"), F.count("*").alias("n")))  # a row a place: rows of a place are pooled by the fit anyhow
+    if (places.agg(F.sum("n")).first()[0] or 0) < 50:
+        return places.select("grid", F.col("won").alias("win"))
+    rows = places.select("grid", F.col("grid").cast("double").alias("x"), "won", F.col("n").cast("double").alias("n"))
+    model = IsotonicRegression(featuresCol="x", labelCol="won", weightCol="n", isotonic=False).fit(rows)
+    return model.transform(rows).select("grid", F.round("prediction", 6).alias("win"))
 
 
 def team_report(r: DataFrame, lap: DataFrame) -> DataFrame:
     """Per team and race: best practice, best qualifying place, best finish and points, whichever exist."""
-    teams = r.select(*RUN, "team")
-    p = practice(lap).join(teams, RUN).groupBy("team", *SESSION).agg(F.min("best").alias("practice"))
-    q = qualifying(lap).join(teams, RUN).groupBy("team", *SESSION).agg(F.min("place").alias("qualified"))
-    f = r.groupBy("team", *SESSION).agg(F.min("finish").alias("finished"), F.sum("points").alias("points"))
-    return f.join(p, ["team", *SESSION], "left").join(q, ["team", *SESSION], "left")
+    q = lap.groupBy(*RUN).agg(*[F.min(F.when(F.col("sector") == k, F.col("lap_ms"))).alias(f"q{k}") for k in (1, 2, 3)], F.min(F.when(F.col("sector") <= 3, F.col("lap_ms"))).alias("practice"))
+    q = q.withColumn("best", F.coalesce("q3", "q2", "q1"))  # as in `practice` and `qualifying`, from one pass over the laps
+    place = F.row_number().over(W.partitionBy(*SESSION).orderBy(F.col("best").asc_nulls_last(), "driver"))
+    q = q.select(*RUN, "practice", F.when(F.col("best").isNotNull(), place).alias("place"))
+    return r.join(q, RUN, "left").groupBy("team", *SESSION).agg(F.min("finish").alias("finished"), F.sum("points").alias("points"), F.min("practice").alias("practice"), F.min("place").alias("qualified"))
 
 
 def completeness(r: DataFrame, least: int = 10) -> DataFrame:
@@ -237,7 +238,7 @@ def circuit_memory(r: DataFrame, lap: DataFrame) -> DataFrame:
         (F.count("*") - 1).alias("stops"), F.min(F.when(F.col("island") == 2, F.col("start") - 1)).alias("first_stop"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("island", "compound"))), lambda x: x["compound"]), "-").alias("strategy"),
     )
-    rows = r.join(plan, RUN, "left").withColumn("gain", F.col("grid") - F.col("finish"))
+    rows = stored(r.join(plan, RUN, "left").select(*SESSION, "grid", "finish", "is_dnf", "stops", "first_stop", "strategy", (F.col("grid") - F.col("finish")).alias("gain")))  # read three times
     middle = rows.groupBy("round").agg(F.median("first_stop").alias("middle"))
     rows = rows.join(middle, "round").withColumn("early", F.col("first_stop") <= F.col("middle"))
     stopped = F.col("first_stop").isNotNull()
