@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from gridstone.functions.expressions import cascade, tone_label
 from gridstone.operators.aliases import alias_spans, dictionary, plain_words
-from gridstone.operators.prefix import running
 from gridstone.operators.relational import stored
 from gridstone.plans.bulletin import _topic
 from gridstone.plans.ingest import TOPICS
@@ -57,16 +56,18 @@ def wire(rows: DataFrame) -> DataFrame:
 
 
 def _titles(rows: DataFrame) -> DataFrame:
-    """Each distinct title once, with a number of its own: the work on titles does not grow with their articles."""
-    return rows.where("title is not null").select("title").distinct()
+    """Each distinct title once, stored: the work on titles does not grow with their articles, as no test on a title is pushed down to them."""
+    return stored(rows.where("title is not null").select("title").distinct())
 
 
 def teams_named(rows: DataFrame) -> DataFrame:
     """guid, team, alias, times: every team named in an article's title, by which name and how often; titles of other sports name none."""
     names = {a: team for team, known in TEAM_ALIASES.items() for a in known} | dict.fromkeys(SHUT_OUT)
-    spans = alias_spans(_titles(rows).where(~F.regexp_like(F.lower("title"), F.lit(OTHER_SPORTS))), "title", "title", dictionary(rows.sparkSession, names))
+    titles = _titles(rows)
+    spans = alias_spans(titles.where(~F.regexp_like(F.lower("title"), F.lit(OTHER_SPORTS))), "title", "title", dictionary(rows.sparkSession, names))
     per = spans.groupBy("title", F.col("entity").alias("team"), "alias").agg(F.count("*").alias("times"))
-    return rows.select("guid", "title").join(per, "title").select("guid", "team", "alias", "times")
+    named = stored(titles.join(per, "title", "left")).where("team is not null")  # a left join forgets the tests on titles, which the next join would repeat on all articles
+    return rows.select("guid", "title").join(named, "title").select("guid", "team", "alias", "times")
 
 
 def incident_of(title: Column) -> Column:
@@ -84,30 +85,36 @@ def incident_of(title: Column) -> Column:
 
 
 def story_keys(rows: DataFrame) -> DataFrame:
-    """title, incident, people (joined names, else general), driver (whether it is a drivers' story) of each distinct title."""
+    """title, incident, people (joined names, else general), driver (whether it is a drivers' story) of each distinct title; stored, so that no join infers a test on its articles' titles from them."""
     titles = _titles(rows)
     names = {a: who for who, known in ENTITY_ALIASES.items() for a in known} | dict.fromkeys(SHUT_OUT)
     spans = alias_spans(titles, "title", "title", dictionary(rows.sparkSession, names))
     people = spans.groupBy("title").agg(F.array_join(F.sort_array(F.collect_set("entity")), "+").alias("people"))
     met = titles.join(people, "title", "left")
-    return met.select("title", incident_of(F.col("title")).alias("incident"), F.coalesce("people", F.lit("general")).alias("people"), F.regexp_like(F.lower("title"), F.lit(DRIVER_WORDS)).alias("driver"))
+    return stored(met.select("title", incident_of(F.col("title")).alias("incident"), F.coalesce("people", F.lit("general")).alias("people"), F.regexp_like(F.lower("title"), F.lit(DRIVER_WORDS)).alias("driver")))
 
 
 def incidents(rows: DataFrame, gap_hours: int = GAP_HOURS) -> DataFrame:
     """Incidents: articles that share incident and people, whatever their titles, as long as no pause is longer than a gap.
 
     incident, people, number (from 1 along the time), begins, ends, articles, titles, lead: the title with the greatest
-    priority (ties: the later, then the first by name). Pauses and numbers come from running totals in two
-    levels, so an incident with a third of all articles is no task's own.
+    priority (ties: the later, then the first by name). Articles of a stretch as long as a gap are never parted, so they are
+    totalled by title and stretch before anything else, and only a row a stretch passes through a window over
+    its incident: one with a third of all articles is no task's own.
     """
-    keyed = rows.join(story_keys(rows).where("incident is not null"), "title").withColumn("at", F.timestamp_diff("SECOND", F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"), F.col("published_at"))).where("at is not null")
-    by, width = ["incident", "people"], 24 * HOUR_S
-    times = keyed.groupBy(*by, "at").agg(F.count("*").alias("n"))
-    steps = running(times, by, "at", width, last=["n"]).withColumn("number", (F.col("previous").isNull() | (F.col("at") - F.col("previous.at") > gap_hours * HOUR_S)).cast("long")).drop("previous")
-    numbered = running(steps, by, "at", width, sums=["number"]).select(*by, "at", "number")
+    by, gap = ["incident", "people"], gap_hours * HOUR_S
+    at = F.timestamp_diff("SECOND", F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"), F.col("published_at"))
+    timed = rows.select("title", "published_at", "priority", at.alias("at")).where("title is not null and at is not null")
+    foremost = F.min(F.struct((-F.coalesce("priority", F.lit(-1.0))).alias("a"), (-F.col("at")).alias("b")))
+    totals = timed.groupBy(F.floor(F.col("at") / max(gap, 1)).alias("stretch"), "title").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.min("published_at").alias("begins"), F.max("published_at").alias("ends"), foremost.alias("foremost"))
+    keyed = stored(totals.join(story_keys(rows).where("incident is not null").drop("driver"), "title"))
+    along = W.partitionBy(*by).orderBy("stretch")  # a row a stretch
+    stretches = keyed.groupBy(*by, "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last")).withColumn("before", F.lag("last").over(along))
+    new = (F.col("before").isNull() | (F.col("first") - F.col("before") > gap)).cast("long")
+    numbered = stretches.select(*by, "stretch", F.sum(new).over(along.rowsBetween(W.unboundedPreceding, 0)).alias("number"))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    first = F.min_by("title", F.struct((-F.coalesce("priority", F.lit(-1.0))).alias("a"), (-F.col("at")).alias("b"), F.col("title")))
-    out = keyed.join(numbered, [*by, "at"]).groupBy(*by, "number").agg(F.min("published_at").alias("begins"), F.max("published_at").alias("ends"), F.count("*").alias("articles"), F.countDistinct("title").alias("titles"), first.alias("lead"))
+    lead = F.min_by("title", F.struct("foremost.a", "foremost.b", "title"))
+    out = keyed.join(numbered, [*by, "stretch"]).groupBy(*by, "number").agg(F.min("begins").alias("begins"), F.max("ends").alias("ends"), F.sum("n").alias("articles"), F.countDistinct("title").alias("titles"), lead.alias("lead"))
     return out.select(*by, "number", stamp("begins").alias("begins"), stamp("ends").alias("ends"), "articles", "titles", "lead")
 
 
@@ -116,9 +123,11 @@ def stories(rows: DataFrame) -> DataFrame:
     keys = story_keys(rows)
     words = F.array_join(F.array_sort(F.array_distinct(plain_words(F.col("title")))), " ")
     story = F.when(F.col("incident").isNotNull(), F.concat_ws(":", F.lit("incident"), "incident", "people")).otherwise(F.concat_ws(":", F.lit("title"), words))
-    met = rows.join(keys, "title").withColumn("story", story)
-    first = F.min_by("title", F.struct((-F.coalesce("priority", F.lit(-1.0))).alias("a"), F.col("title")))
-    per = met.groupBy("story").agg(first.alias("title"), F.bool_or("driver").alias("driver"), F.count("*").alias("articles"), F.countDistinct("source").alias("sources"), F.floor(F.max("priority")).cast("long").alias("best"), F.count_if(hours_ago().between(0, 71)).alias("momentum"))
+    lowest = F.min(-F.coalesce("priority", F.lit(-1.0))).alias("a")
+    totals = rows.where("title is not null").groupBy("title", "source").agg(F.count("*").alias("n"), lowest, F.max("priority").alias("priority"), F.count_if(hours_ago().between(0, 71)).alias("momentum"))
+    met = totals.join(keys, "title").withColumn("story", story)
+    first = F.min_by("title", F.struct("a", "title"))
+    per = met.groupBy("story").agg(first.alias("title"), F.bool_or("driver").alias("driver"), F.sum("n").alias("articles"), F.countDistinct("source").alias("sources"), F.floor(F.max("priority")).cast("long").alias("best"), F.sum("momentum").alias("momentum"))
     return per.select("story", "title", "driver", "articles", "sources", (F.col("best") + F.least(F.col("articles"), F.lit(18)) + 3 * F.col("sources")).alias("score"), "momentum", (F.col("best") >= 95).alias("breaking"))
 
 

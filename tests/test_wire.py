@@ -83,6 +83,25 @@ def test_incidents_across_titles(spark):
     assert wire.incidents(table.limit(0)).count() == 0
 
 
+def test_tests_on_titles_are_not_pushed_to_articles(spark):
+    """What a title says is worked out once a title and stored: no plan that is left tests the titles of articles by expressions."""
+    rows = wire.wire(articles(spark, SF))
+    for found in (wire.story_keys(rows), wire.incidents(rows), wire.stories(rows), wire.teams_named(rows)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "stewards|" not in plan and "pga" not in plan
+    assert not wire.incidents(rows).inputFiles()  # articles are totalled and stored by then
+
+
+def test_incidents_with_no_gap_and_ties(spark):
+    base = datetime.datetime(1999, 12, 31, 23, 59, 58)
+    at = lambda s: base + datetime.timedelta(seconds=s)
+    rows = [(1, "Stewards meet", at(0), 5.0), (2, "Stewards sit", at(0), 5.0), (3, "Stewards rise", at(1), None), (4, "Stewards meet", at(7202), 5.0), (5, "Stewards sit", at(7203), 5.0), (6, "Stewards sit", at(14404), 5.0)]
+    table = spark.createDataFrame(rows, "guid long, title string, published_at timestamp_ntz, priority double")
+    got = lambda hours: sorted((r.number, r.begins[11:], r.ends[11:], r.articles, r.titles, r.lead) for r in wire.incidents(table, hours).collect())
+    assert got(2) == [(1, "23:59:58", "23:59:59", 3, 3, "Stewards meet"), (2, "02:00:00", "02:00:01", 2, 2, "Stewards sit"), (3, "04:00:02", "04:00:02", 1, 1, "Stewards sit")]
+    assert [r[0] for r in got(0)] == [1, 2, 3, 4, 5] and [r[:1] + r[3:] for r in got(3)] == [(1, 6, 3, "Stewards sit")]
+
+
 def test_awards_by_hand(spark):
     told = spark.createDataFrame([("a", "A", True, 9, 1, 100, 5, False), ("b", "B", False, 9, 7, 90, 9, False), ("c", "C", False, 9, 6, 90, 9, False), ("d", "D", True, 1, 1, 10, 0, False)], "story string, title string, driver boolean, articles long, sources long, score long, momentum long, breaking boolean")
     got = sorted((r.label, r.place, r.story) for r in wire.awards(told, 2).collect())
