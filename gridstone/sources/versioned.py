@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gridstone.operators.relational import upsert
+from gridstone.operators.relational import stored, upsert
 
 _PART = "_part"
 
@@ -115,7 +115,7 @@ class VersionedTable:
         rest = [c for c in names if c not in self.keys and c != newest_by]
         order = F.struct(*([newest_by] if newest_by else []), *rest)
         sound = changes.select(*names).where(" and ".join(f"`{k}` is not null" for k in self.keys))
-        single = sound.groupBy(*self.keys).agg(F.max(order).alias("_r")).select(*self.keys, "_r.*").select(*names)
+        single = stored(sound.groupBy(*self.keys).agg(F.max(order).alias("_r")).select(*self.keys, "_r.*").select(*names))  # read three times; a stream's batch would be worked out anew each time
         touched = [r[0] for r in single.select(self._part()).distinct().collect()]  # a row a bucket at most
         if not touched:
             return before["version"]

@@ -2,7 +2,7 @@
 
 Both keep their state in Spark's state store (RocksDB), a key's state apart from all others', and
 both take the event time as a plain number, so that Spark drops no row for being late: the
-watermark only fires timers, and a late row is told from others by the processor itself.
+watermark only fires timers, and a late row is told from others by the alerts' processor itself.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HOUR_MS = 3_600_000
-LATEST = "key long, at long, seq long, what string, value double, rows long"
 ALERT = "cluster string, kind string, hour_ms long, n long, z double"
 
 
@@ -46,32 +45,17 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(top).select("key", "r.*")
 
 
-class LatestState(StatefulProcessor):
-    """Emits a key's row whenever it is later than the one it holds; repeated and older rows change nothing. rows counts all that came."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "at long, seq long, what string, value double, rows long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = tuple(self.held.get()) if self.held.exists() else None
-        best, n = before[:4] if before else None, before[4] if before else 0
-        for batch in rows:
-            n += len(batch)
-            for row in batch.sort_values(["at", "seq"], kind="stable").tail(64).itertuples(index=False):  # ties of (at, seq) are repeats of an event
-                found = (int(row.at), int(row.seq) if pd.notna(row.seq) else -(2**63), row.what or "", None if pd.isna(row.value) else float(row.value))
-                if best is None or found[:3] > best[:3] or found[:3] == best[:3] and (best[3] is None or found[3] is not None and found[3] > best[3]):
-                    best = found
-        self.held.update((*best, n))
-        if before is None or best != before[:4]:
-            yield pd.DataFrame([(key[0], *best, n)], columns=["key", "at", "seq", "what", "value", "rows"])
-
-    def close(self) -> None:
-        pass
-
-
 def latest_stream(rows: DataFrame) -> DataFrame:
-    """A stream of changes of the latest row of each key."""
-    return rows.groupBy("key").transformWithStateInPandas(LatestState(), LATEST, "Update", "None")
+    """A stream of changes of the latest row of each key: the row, and rows, how many of the key came so far. For update mode.
+
+    Repeated and older rows change nothing and are not told: beside a key's row its state holds the time of the batch
+    that brought it (of equal rows the first one's), and only rows that this batch brought are passed on. Should two batches bear one
+    time, a row may be told twice, but a change is never left out.
+    """
+    batch = F.unix_micros(F.current_timestamp())  # in a stream, the same for all rows of a batch
+    top = F.max(F.struct("at", "seq", "what", "value", "came")).alias("r")
+    held = rows.withColumn("came", -batch).groupBy("key").agg(top, F.count("*").alias("rows"))
+    return held.where(F.col("r.came") == -batch).select("key", "r.at", "r.seq", "r.what", "r.value", "rows")
 
 
 class SpikeAlerts(StatefulProcessor):

@@ -47,6 +47,23 @@ def test_latest_state_of_shuffled_repeated_and_late_batches(spark, tmp_path):
     assert len(target.versions()) == len(batches) - 1  # a repeated batch and one without news commit nothing
 
 
+def test_latest_state_tells_changes_only_and_keeps_nulls(spark, tmp_path):
+    shape = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    parts = [
+        [(None, at(5), 1, None, None, None), (2, at(5), 2, "view", None, None), (3, at(1), 3, "view", 1.0, None), (4, None, 4, "view", 1.0, None)],
+        [(2, at(5), 2, "view", 7.0, None), (3, at(1), 3, "view", 1.0, None), (1, at(4), 1, "click", 1.0, None), (5, at(9), 5, "view", 1.0, None)],
+    ]
+    told = []
+    with rocks_state(spark):
+        for some in parts:
+            spark.createDataFrame(some, shape).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = latest_stream(state_rows(spark.readStream.schema(shape).parquet(f"{tmp_path}/in")))
+            assert "Python" not in stream._jdf.queryExecution().analyzed().toString() and "InPandas" not in stream._jdf.queryExecution().analyzed().toString()
+            run(stream, "Update", lambda batch, n: told.append(sorted((r.key, r.seq, r.what, r.value, r.rows) for r in batch.collect())), tmp_path)
+    assert told == [[(1, None, None, None, 1), (2, 2, "view", None, 1), (3, 3, "view", 1.0, 1)], [(2, 2, "view", 7.0, 2), (5, 5, "view", 1.0, 1)]]
+
+
 def test_alert_stream_equals_the_table(spark, tmp_path):
     events = table(spark, "/root/testdata/sf0.01", "events")
     source, out = str(tmp_path / "in"), f"file://{tmp_path}/out"
@@ -101,6 +118,17 @@ def test_merge_rewrites_touched_buckets_only(spark, people):
     assert people.vacuum(1) > 0 and len(people.versions()) == 1 and people.read().count() == 41
 
 
+def test_changes_are_worked_out_once(spark, people):
+    seen = spark.sparkContext.accumulator(0)
+
+    def number(k):
+        seen.add(1)
+        return k
+
+    people.merge(spark.range(10).select(F.udf(number, "long").asNondeterministic()("id").alias("id"), F.lit("n").alias("name"), F.lit(1).cast("long").alias("at")), "at")
+    assert people.read().count() == 10 and seen.value == 10
+
+
 def test_failed_writers_leave_the_table(spark, people, monkeypatch, tmp_path):
     people.merge(make(spark, (1, "a", 1), (2, "b", 1)), "at")
     broken = make(spark, (1, "z", 9)).withColumn("name", F.raise_error(F.lit("lost")).cast("string"))
