@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridstone.operators.relational import stored
+
 
 def running(df: DataFrame, by: Sequence[str], at: str, width: int, sums: Sequence[str] = (), maxes: Sequence[str] = (), last: Sequence[str] = ()) -> DataFrame:
     """df with each of sums and maxes replaced by its running total or maximum per group in order of the number `at`.
@@ -80,9 +82,10 @@ def _placed(df: DataFrame, by: Sequence[str], value: str, pieces: int) -> DataFr
     """Distinct values of each group with how often they occur (n), cut into pieces at sketched quantiles, and how many rows stand before their piece (ahead) and in the group (total).
 
     The sketch only places the cuts; all counts are exact. Equal values are one row, so no value is too frequent.
+    The cuts are stored: a sketch depends on the order in which rows reach it, and rows and sizes must be of the same pieces.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    cuts = counts.groupBy(*by).agg(F.percentile_approx("v", [k / pieces for k in range(1, pieces)] or [1.0], 1000).alias("cuts"))
+    cuts = stored(counts.groupBy(*by).agg(F.percentile_approx("v", [k / pieces for k in range(1, pieces)] or [1.0], 1000).alias("cuts")))  # a row a group
     at = F.size(F.filter("cuts", lambda c: c < F.col("v")))
     rows = counts.join(cuts, list(by)).select(*by, "v", "n", at.alias("piece"))
     sizes = rows.groupBy(*by, "piece").agg(F.sum("n").alias("rows"))
