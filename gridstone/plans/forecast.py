@@ -30,6 +30,8 @@ PIT_LOSS, MOST_GAIN, FUEL_MS, SHAPE, SCALE, SAFETY_CAR, MOST_SAFETY_CARS = 21.0,
 RACE_LAPS = 58
 #: Simulated races a task takes on, about.
 RUNS_A_TASK = 32
+#: Trees of a forest fitted at once, at most: a row carries a number for each while they grow, and their bins should not outgrow a core's cache.
+TREES_A_FIT = 20
 
 
 def model_features(r: DataFrame) -> DataFrame:
@@ -57,12 +59,12 @@ def model_features(r: DataFrame) -> DataFrame:
 def _prepared(r: DataFrame, features: DataFrame | None = None, names: Sequence[str] = FEATURES, older: float = 0.55, newer: float = 2.25, latest: float = 2.0, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """Training and test rows: earlier seasons and the last one, with medians of the training rows for nulls and a weight of each training race.
 
-    features has names, `finish` and the race of each starter; model_features(r) where it is not given.
+    features has names, `finish` and the race of each starter, stored; model_features(r) where it is not given. Both are
+    stored with their vectors, which every pass of a fit reads.
     """
     from pyspark.ml.feature import Imputer, VectorAssembler
 
-    f = model_features(r) if features is None else features
-    f = stored(f.withColumns({c: F.col(c).cast("double") for c in (*names, "finish")}))  # read by every pass of a fit
+    f = (stored(model_features(r)) if features is None else features).withColumns({c: F.col(c).cast("double") for c in (*names, "finish")})
     last = f.agg(F.max("season").alias("last"))  # one row
     f = f.crossJoin(F.broadcast(last))
     train, test = f.where("season < last"), f.where("season = last").drop("last")
@@ -74,7 +76,7 @@ def _prepared(r: DataFrame, features: DataFrame | None = None, names: Sequence[s
         medians = Imputer(strategy="median", inputCols=names, outputCols=names).fit(train)
         train, test = medians.transform(train), medians.transform(test)
     vectors = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
-    return vectors.transform(train), vectors.transform(test)
+    return stored(vectors.transform(train).select(*RUN, "finish", "weight", "features")), stored(vectors.transform(test).select(*RUN, "grid", "finish", "features"))
 
 
 def _clipped(p: DataFrame) -> DataFrame:
@@ -82,12 +84,10 @@ def _clipped(p: DataFrame) -> DataFrame:
     return p.select(*RUN, F.round(F.least(F.greatest("prediction", F.lit(1.0)), n), 4).alias("predicted"))
 
 
-def ridge(r: DataFrame, alpha: float = 50.0, features: DataFrame | None = None, names: Sequence[str] = FEATURES) -> DataFrame:
-    """Finishing places of the last season by weighted ridge regression on the seasons before, clipped to the field; the grid where there are none."""
+def _ridge(train: DataFrame, test: DataFrame, alpha: float = 50.0) -> DataFrame:
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.regression import LinearRegression
 
-    train, test = _prepared(r, features, names)
     w, y = F.col("weight"), F.col("finish")
     total, mean, square = train.agg(F.sum(w), F.sum(w * y) / F.sum(w), F.sum(w * y * y) / F.sum(w)).first()
     if not total or square <= mean * mean:
@@ -99,29 +99,55 @@ def ridge(r: DataFrame, alpha: float = 50.0, features: DataFrame | None = None,
     return _clipped(model.transform(scaler.transform(test)))
 
 
-def forest(r: DataFrame, trees: int = 200, depth: int = 6, leaf: int = 10, features: DataFrame | None = None, names: Sequence[str] = FEATURES) -> DataFrame:
-    """As `ridge`, by a random forest."""
+def _forest(train: DataFrame, test: DataFrame, trees: int = 200, depth: int = 6, leaf: int = 10) -> DataFrame:
+    """Trees are fitted some at a time, each fit with draws of its own; a forest is the mean of its trees, however they are grouped."""
     from pyspark.ml.regression import RandomForestRegressor
 
-    train, test = _prepared(r, features, names)
     if train.isEmpty():
         return _clipped(test.withColumn("prediction", F.col("grid")))
-    model = RandomForestRegressor(labelCol="finish", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=7).fit(train)
-    return _clipped(model.transform(test))
+    fits = -(-trees // TREES_A_FIT)
+    sizes = [trees // fits + (k < trees % fits) for k in range(fits)]  # even: a fit of one tree alone would draw neither rows nor features
+    for k, n in enumerate(sizes):
+        model = RandomForestRegressor(labelCol="finish", weightCol="weight", predictionCol=f"mean_{k}", numTrees=n, maxDepth=depth, minInstancesPerNode=leaf, seed=7 + 1_000_000 * k).fit(train)
+        test = model.transform(test)
+    return _clipped(test.withColumn("prediction", sum((n * F.col(f"mean_{k}") for k, n in enumerate(sizes)), F.lit(0.0)) / trees))
 
 
-def boosted(r: DataFrame, least_races: int = 8, rounds: int = 30, depth: int = 3, features: DataFrame | None = None, names: Sequence[str] = FEATURES) -> DataFrame:
-    """As `ridge`, by boosted trees; by the forest where the newest training season has too few races for them."""
+def _boosted(train: DataFrame, test: DataFrame, least_races: int = 8, rounds: int = 30, depth: int = 3) -> DataFrame:
     from pyspark.ml.regression import GBTRegressor
 
-    train, test = _prepared(r, features, names)
     races = train.select(*SESSION).distinct().groupBy("season").count().agg(F.max_by("count", "season")).first()[0]
     if not races or races < least_races:
-        return forest(r, features=features, names=names)
+        return _forest(train, test)
     model = GBTRegressor(labelCol="finish", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=7).fit(train)
     return _clipped(model.transform(test))
 
 
+def ridge(r: DataFrame, alpha: float = 50.0, features: DataFrame | None = None, names: Sequence[str] = FEATURES) -> DataFrame:
+    """Finishing places of the last season by weighted ridge regression on the seasons before, clipped to the field; the grid where there are none."""
+    return _ridge(*_prepared(r, features, names), alpha)
+
+
+def forest(r: DataFrame, trees: int = 200, depth: int = 6, leaf: int = 10, features: DataFrame | None = None, names: Sequence[str] = FEATURES) -> DataFrame:
+    """As `ridge`, by a random forest."""
+    return _forest(*_prepared(r, features, names), trees, depth, leaf)
+
+
+def boosted(r: DataFrame, least_races: int = 8, rounds: int = 30, depth: int = 3, features: DataFrame | None = None, names: Sequence[str] = FEATURES) -> DataFrame:
+    """As `ridge`, by boosted trees; by the forest where the newest training season has too few races for them."""
+    return _boosted(*_prepared(r, features, names), least_races, rounds, depth)
+
+
+def by_models(features: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Places of the last season by all three on the same rows, prepared once: season, round, driver, ridge, forest, boosted."""
+    rows = _prepared(features, features, names)
+    out = None
+    for name, model in (("ridge", _ridge), ("forest", _forest), ("boosted", _boosted)):
+        one = model(*rows).withColumnRenamed("predicted", name)
+        out = one if out is None else out.join(one, RUN)
+    return out
+
+
 def _steps(place: np.ndarray, table) -> np.ndarray:
     edges = [edge for edge, _ in table[:-1]]
     return np.array([value for _, value in table])[np.searchsorted(edges, place)]

@@ -134,12 +134,7 @@ KNOWN = (
 
 def matrix_forecast(r: DataFrame, lap: DataFrame, sprints: DataFrame) -> DataFrame:
     """Places of the last season by three models, each fitted on all that the matrix knows of the seasons before: season, round, driver, ridge, forest, boosted."""
-    f = stored(training_matrix(r, lap, sprints).select(*RUN, "team", "finish", *KNOWN))
-    out = None
-    for name, model in (("ridge", forecast.ridge), ("forest", forecast.forest), ("boosted", forecast.boosted)):
-        rows = model(r, features=f, names=KNOWN).withColumnRenamed("predicted", name)
-        out = rows if out is None else out.join(rows, RUN)
-    return out
+    return forecast.by_models(stored(training_matrix(r, lap, sprints).select(*RUN, "team", "finish", *KNOWN)), KNOWN)
 
 
 def _of_tables(f):

@@ -39,6 +39,29 @@ def test_models_beat_the_middle_of_the_field(spark, model):
     assert n == r.where(F.col("season") == r.agg(F.max("season")).first()[0]).count() and low >= 1 and error < blind
 
 
+def test_trees_are_fitted_some_at_a_time(spark, monkeypatch):
+    """No fit grows more trees than a row can carry numbers for; what the forest says is the mean of all its trees; rows are prepared once for all models."""
+    from pyspark.ml.feature import Imputer
+    from pyspark.ml.regression import RandomForestRegressor
+
+    fits, prepared, fit, impute = [], [], RandomForestRegressor.fit, Imputer.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, rows: fits.append(fit(self, rows)) or fits[-1])
+    monkeypatch.setattr(Imputer, "fit", lambda self, rows: prepared.append(1) or impute(self, rows))
+    r = results(spark, SF)
+    got = {(x["round"], x.driver): x.predicted for x in forecast.forest(r, trees=21, depth=3).collect()}
+    assert [m.getNumTrees for m in fits] == [11, 10]
+    trees = [t for m in fits for t in m.trees]
+    assert len(trees) == 21 and len({t.toDebugString.split("\n", 1)[1] for t in trees}) > 15  # draws differ between fits
+    test = forecast._prepared(r)[1].where("round = 5").collect()
+    field = max(x.finish for x in test)
+    for x in test[:5]:
+        assert got[5, x.driver] == pytest.approx(min(max(np.mean([t.predict(x.features) for t in trees]), 1), field), abs=1e-4)
+    prepared.clear()
+    fits.clear()
+    forecast.by_models(forecast.stored(forecast.model_features(r)), forecast.FEATURES)
+    assert len(prepared) == 1 and sum(m.getNumTrees for m in fits) == 200 and max(m.getNumTrees for m in fits) <= forecast.TREES_A_FIT
+
+
 def test_models_without_earlier_seasons_give_the_grid(spark):
     r = results(spark, SF).where("season = 1996")
     for model in (forecast.ridge, forecast.forest, forecast.boosted):
